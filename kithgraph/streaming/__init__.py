@@ -1,0 +1,5 @@
+"""No streaming operators are in scope: every input is a finished batch table.
+
+The only windows in the feature set (7-day activity, day gaps) run over a
+complete event log and live in ``kithgraph.operators.activity``.
+"""
