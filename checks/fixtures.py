@@ -192,6 +192,8 @@ def sql(body: str, *needs: str) -> str:
     for need in needs:
         add(need)
     steps = ",\n".join(f"{name} as ({SQL[name][1]})" for name in order)
+    body = body.strip()
+    # A body that opens with a comma brings further steps of its own.
     return f"with recursive {steps}\n{body}" if order else body
 
 
@@ -199,3 +201,88 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, since sums depend on the order of addition."""
     doubles = [n for n, t in df.dtypes if t == "double"]
     return reduce(lambda d, c: d.withColumn(c, F.round(c, digits)), doubles, df)
+
+
+# Shared steps that several areas check against.
+SQL.update({
+    "reach": (["sym"], """
+        select customer_id as a, customer_id as b from sym
+        union
+        select r.a, s.other_id from reach r join sym s on s.customer_id = r.b"""),
+    "comp": (["reach"], "select a as customer_id, min(b) as component_id from reach group by 1"),
+    "ringm": (["comp"], """
+        select printf('R-%04d', n) as ring_id, customer_id, size
+        from comp join (select component_id, count(*) as size, row_number() over (order by count(*) desc, component_id) as n
+                        from comp group by 1) using (component_id)"""),
+    "scored": (["cust", "sc"], "select customer_id, label, risk, previous_risk from cust join sc using (customer_id)"),
+    "lab": (["rev"], """
+        select customer_id, mark as analyst_label from (
+          select customer_id, arg_max(coalesce(mark, -1), id) as mark from (
+            select id, unnest(members) as customer_id,
+                   case when decision = 'reset' or (target_type = 'ring' and not list_contains(included, unnest(members))) then null
+                        when decision = 'confirm' then 1 else 0 end as mark
+            from rev) group by 1)
+        where mark >= 0"""),
+    "temporal": (["ev"], """
+        select customer_id, count(*) as total_event_count,
+               count(*) filter (event_type = 'purchase') as purchase_count,
+               count(*) filter (event_type = 'payment') as payment_count,
+               count(*) filter (event_type = 'credit_limit_increase') as limit_increase_count,
+               count(distinct day) as distinct_event_dates, greatest(max(day) - min(day), 1) as event_span_days,
+               count(*) / greatest(max(day) - min(day), 1) * 30 as events_per_30_days,
+               max(same_day) as max_events_single_day, max(week) as max_events_7d,
+               coalesce(min(gap), greatest(max(day) - min(day), 1)) as min_days_between_events,
+               coalesce(avg(gap), greatest(max(day) - min(day), 1)) as mean_days_between_events,
+               avg(utilization_pct) as mean_utilization_pct, max(utilization_pct) as max_utilization_pct,
+               max(utilization_pct) - min(utilization_pct) as utilization_range, max(credit_limit_at_time)::bigint as max_credit_limit
+        from (select *, count(*) over (partition by customer_id, day) as same_day,
+                     count(*) over (partition by customer_id order by day range between current row and 6 following) as week,
+                     day - lag(day) over (partition by customer_id order by event_date) as gap
+              from (select *, date_diff('day', date '1970-01-01', event_date::date) as day from ev))
+        group by 1"""),
+    "ringsum": (["ringm", "cust", "sc"], """
+        select ring_id, count(*) as size, avg(risk) as score, max(risk) as max_risk, count(*) filter (risk >= 0.6) as n_high,
+               (count(*) filter (risk >= 0.6) >= 2 or avg(risk) >= 0.6)::int as suspected,
+               case when count(open_date) >= 2 then date_diff('day', min(open_date), max(open_date)) end as open_span_days,
+               count(label) as n_labeled, count(*) filter (label = 1) as n_fraud
+        from ringm join cust using (customer_id) join sc using (customer_id) group by 1"""),
+    "deg": (["cust", "sym"], """
+        select customer_id, count(other_id) + 1 as d from cust left join sym using (customer_id) group by 1"""),
+    "adj": (["deg"], """
+        select a.customer_id, a.other_id, 1 / sqrt(p.d * q.d) as weight
+        from (select customer_id, other_id from sym union all select customer_id, customer_id from cust) a
+        join deg p on p.customer_id = a.customer_id join deg q on q.customer_id = a.other_id"""),
+    "true_rings": (["cust"], "select truth_ring from cust where truth_ring is not null group by 1 having count(*) >= 2"),
+    "walk": (["sym"], """
+        select 'C000000024' as customer_id, 0 as hop
+        union
+        select other_id, hop + 1 from walk join sym using (customer_id) where hop < 3"""),
+    "status": (["rev"], """
+        select target_id as ring_id, case decision when 'confirm' then 'confirmed' when 'dismiss' then 'dismissed' else 'pending' end as status,
+               case when decision <> 'reset' then created_at end as reviewed_at, note
+        from (select *, row_number() over (partition by target_id order by id desc) as rn from rev where target_type = 'ring') where rn = 1"""),
+})
+
+
+def membership(spark: SparkSession, folder: str) -> DataFrame:
+    """Every connected component as one ring: with no component above 50 none is split, so SQL can follow."""
+    from kithgraph.operators import edges as e, rings as r
+    from kithgraph.session import durable
+
+    edges = durable(e.identity_edges(links(spark, folder), TYPES), "edges")
+    return durable(r.number_rings(r.candidate_groups(edges, max_size=50)), "membership")
+
+
+def edges_of(spark: SparkSession, folder: str) -> DataFrame:
+    from kithgraph.operators import edges as e
+
+    return e.identity_edges(links(spark, folder), TYPES)
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return customers(spark, folder).select("customer_id", "label").join(scores(spark, folder), "customer_id")
+
+
+def flags(df: DataFrame) -> DataFrame:
+    """Booleans as 0/1."""
+    return df.withColumns({n: F.col(n).cast("int") for n, t in df.dtypes if t == "boolean"})

@@ -57,8 +57,8 @@ def feedback_summary(reviews: DataFrame, active_version: int, labels_in_model: i
     one = F.lit(1).alias("_one")
     labels = feedback_labels(reviews).agg(
         F.count("*").alias("n_labels"),
-        F.count_if("analyst_label = 1").alias("fraud"),
-        F.count_if("analyst_label = 0").alias("legit"),
+        F.count_if(F.expr("analyst_label = 1")).alias("fraud"),
+        F.count_if(F.expr("analyst_label = 0")).alias("legit"),
     ).select("*", one)
     since = F.count_if(F.coalesce("model_version", F.lit(0)) >= active_version)
     log = reviews.agg(F.count("*").alias("n_reviews"), since.alias("reviews_since_model")).select("*", one)

@@ -18,7 +18,7 @@ from .ordered import with_rank, with_running_sums
 def score_steps(scored: DataFrame) -> DataFrame:
     """One row per distinct score, highest first: counts here and at or above it."""
     per_score = scored.filter("label is not null").groupBy("risk").agg(
-        F.count_if("label = 1").alias("pos"), F.count_if("label = 0").alias("neg")
+        F.count_if(F.expr("label = 1")).alias("pos"), F.count_if(F.expr("label = 0")).alias("neg")
     )
     return with_running_sums(per_score, [F.desc("risk")], {"tp": "pos", "fp": "neg"}, rank="step")
 
@@ -79,7 +79,7 @@ def at_k(scored: DataFrame, ks: list[int] = settings.AT_K) -> DataFrame:
     Only the rows of the largest K are needed, so this is a top-k and not a full ranking.
     """
     labelled = scored.filter("label is not null")
-    counts = labelled.agg(F.count("*").alias("n"), F.count_if("label = 1").alias("p")).first()
+    counts = labelled.agg(F.count("*").alias("n"), F.count_if(F.expr("label = 1")).alias("p")).first()
     usable = [k for k in ks if k <= counts["n"]]
     positives = max(int(counts["p"]), 1)
     spark = scored.sparkSession
@@ -90,8 +90,8 @@ def at_k(scored: DataFrame, ks: list[int] = settings.AT_K) -> DataFrame:
     ranked = top.withColumn("n", F.expr("row_number() over (order by risk desc, customer_id)"))
     wanted = F.explode(F.filter(F.array(*[F.lit(k) for k in usable]), lambda k: k >= F.col("n")))
     return ranked.select(wanted.alias("k"), "label").groupBy("k").agg(
-        (F.count_if("label = 1") / F.col("k")).alias("precision"),
-        (F.count_if("label = 1") / F.lit(positives)).alias("recall"),
+        (F.count_if(F.expr("label = 1")) / F.col("k")).alias("precision"),
+        (F.count_if(F.expr("label = 1")) / F.lit(positives)).alias("recall"),
     )
 
 
@@ -144,7 +144,7 @@ def risk_histogram(scored: DataFrame, bins: int = settings.HISTOGRAM_BINS) -> Da
     """Customers, fraud and legitimate per equal bin of [0, 1], empty bins included."""
     edges = unit_edges(bins)
     counted = scored.groupBy(equal_width_bin(F.col("risk"), edges).alias("bin")).agg(
-        F.count("*").alias("count"), F.count_if("label = 1").alias("fraud"), F.count_if("label = 0").alias("legit")
+        F.count("*").alias("count"), F.count_if(F.expr("label = 1")).alias("fraud"), F.count_if(F.expr("label = 0")).alias("legit")
     )
     spine = scored.sparkSession.createDataFrame(
         [(i, edges[i], edges[i + 1]) for i in range(bins)], "bin int, start double, end double"
@@ -176,9 +176,9 @@ def version_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     """Customers (``customer_id, level, risk``) whose level or score moved between two versions, as one row."""
     old = before.select("customer_id", F.col("level").alias("old_level"), F.col("risk").alias("old_risk"))
     return now.join(old, "customer_id").agg(
-        F.count_if("level <> old_level").alias("level_changes"),
-        F.count_if("level = 'high' and old_level <> 'high'").alias("newly_high"),
-        F.count_if("level <> 'high' and old_level = 'high'").alias("no_longer_high"),
+        F.count_if(F.expr("level <> old_level")).alias("level_changes"),
+        F.count_if(F.expr("level = 'high' and old_level <> 'high'")).alias("newly_high"),
+        F.count_if(F.expr("level <> 'high' and old_level = 'high'")).alias("no_longer_high"),
         F.coalesce(F.avg(F.abs(F.col("risk") - F.col("old_risk"))), F.lit(0.0)).alias("mean_abs_score_change"),
     )
 

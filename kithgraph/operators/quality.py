@@ -27,7 +27,7 @@ def class_histogram(frame: DataFrame, column: str, bins: int = 20, edges: list[f
     """Fraud and legitimate customers per bin of a numeric column; empty bins included."""
     edges = edges or value_edges(frame, column, bins)
     counted = frame.filter(F.col(column).isNotNull()).groupBy(equal_width_bin(F.col(column), edges).alias("bin")).agg(
-        F.count_if("label = 0").alias("legitimate"), F.count_if("label = 1").alias("fraud")
+        F.count_if(F.expr("label = 0")).alias("legitimate"), F.count_if(F.expr("label = 1")).alias("fraud")
     )
     spine = frame.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
     return spine.join(counted, "bin", "left").fillna(0)
@@ -82,7 +82,7 @@ def dataset_summary(customers: DataFrame, links: DataFrame, edges: DataFrame, ev
     """Row counts and label counts of a dataset, as one row."""
     one = F.lit(1).alias("_one")
     out = customers.agg(
-        F.count("*").alias("n_customers"), F.count("label").alias("n_labeled"), F.count_if("label = 1").alias("n_fraud_labels")
+        F.count("*").alias("n_customers"), F.count("label").alias("n_labeled"), F.count_if(F.expr("label = 1")).alias("n_fraud_labels")
     ).select("*", one)
     types = F.array_join(F.array_sort(F.collect_set("attribute_type")), ",")
     out = out.join(links.agg(F.count("*").alias("n_links"), types.alias("attribute_types")).select("*", one), "_one")

@@ -90,7 +90,7 @@ def ring_truth(membership: DataFrame, customers: DataFrame) -> DataFrame:
     known = membership.select("ring_id", "customer_id").join(
         customers.select("customer_id", "label", "truth_ring"), "customer_id"
     )
-    counts = known.groupBy("ring_id").agg(F.count("label").alias("n_labeled"), F.count_if("label = 1").alias("n_fraud"))
+    counts = known.groupBy("ring_id").agg(F.count("label").alias("n_labeled"), F.count_if(F.expr("label = 1")).alias("n_fraud"))
     dominant = (
         known.filter("truth_ring is not null").groupBy("ring_id", "truth_ring").agg(F.count("*").alias("n"))
         .groupBy("ring_id").agg(F.max(F.struct("n", "truth_ring")).alias("d"))

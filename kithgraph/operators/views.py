@@ -165,9 +165,9 @@ def review_progress(rings: DataFrame, reviews: DataFrame) -> DataFrame:
     rows = with_status(rings.filter("suspected").select("ring_id"), reviews)
     return rows.agg(
         F.count("*").alias("suspected"),
-        F.count_if("status <> 'pending'").alias("reviewed"),
-        F.count_if("status = 'confirmed'").alias("confirmed"),
-        F.count_if("status = 'dismissed'").alias("dismissed"),
+        F.count_if(F.expr("status <> 'pending'")).alias("reviewed"),
+        F.count_if(F.expr("status = 'confirmed'")).alias("confirmed"),
+        F.count_if(F.expr("status = 'dismissed'")).alias("dismissed"),
     )
 
 
