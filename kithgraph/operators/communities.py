@@ -1,14 +1,15 @@
 """Weighted modularity communities inside large components (Blondel et al., 2008), as joins.
 
 All nodes judge the same snapshot of the communities at once. To keep two neighbours from swapping
-places for ever, only the nodes whose hash has the round's parity move. Results are deterministic.
+places for ever, about half of the nodes, drawn by a hash of node and round, may move in a round.
+Results are deterministic.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable
+from ..session import durable, durable_with
 from .components import connected_components
 from .edges import ENDS
 
@@ -18,7 +19,6 @@ MAX_LEVELS = 12
 
 def _local_moves(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Move nodes to the neighbouring community of largest modularity gain until none improves."""
-    still = 0
     for round_no in range(MAX_ROUNDS):
         placed = nodes.select("node", "community")
         near = (
@@ -38,17 +38,15 @@ def _local_moves(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
             .groupBy("node", "now", "strength", "total")
             .agg(choice.alias("best"))
         )
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == round_no % 2
-        nodes = durable(
-            moved.select(
-                "node", F.when(turn, F.col("best.community")).otherwise(F.col("now")).alias("community"),
-                "strength", "total", (turn & (F.col("best.community") != F.col("now"))).alias("moved"),
-            ),
+        turn = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(2)) == 0
+        better = F.col("best.community") != F.col("now")
+        nodes, seen = durable_with(
+            moved.select("node", F.when(turn, F.col("best.community")).otherwise(F.col("now")).alias("community"), "strength", "total", better.alias("_better")),
             "moves",
+            better=F.count_if("_better"),
         )
-        still = 0 if not nodes.filter("moved").isEmpty() else still + 1
-        nodes = nodes.drop("moved")
-        if still == 2:
+        nodes = nodes.drop("_better")
+        if not seen["better"]:
             break
     return nodes
 

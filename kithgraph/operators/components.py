@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import durable
+from ..session import durable_with
 from .edges import ENDS
 
 
@@ -37,16 +37,14 @@ def connected_components(edges: DataFrame, ends: list[str] = ENDS) -> DataFrame:
     shared folder, so the plan stays one round long and survives lost executors.
     """
     a, b = F.col(ends[0]), F.col(ends[1])
-    stars = durable(
-        edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "stars"
-    )
-    seen = None
+    first = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
+    mark = {"n": F.count("*"), "edges": F.bit_xor(F.xxhash64("hi", "lo"))}
+    stars, seen = durable_with(first, "stars", **mark)
     while True:
-        mark = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if mark == seen:
+        stars, now = durable_with(_small_star(_large_star(stars)), "stars", **mark)
+        if now == seen:
             break
-        seen = mark
-        stars = durable(_small_star(_large_star(stars)), "stars")
+        seen = now
     members = stars.select(F.col("hi").alias("customer_id"), F.col("lo").alias("component_id"))
     roots = stars.select(F.col("lo").alias("customer_id"), F.col("lo").alias("component_id")).distinct()
     return members.unionByName(roots)

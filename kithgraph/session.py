@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings the operators are written for. AQE sizes shuffle partitions and splits skewed
 # join partitions; forcing skew handling lets it do so even where that costs one more exchange.
@@ -26,6 +26,7 @@ def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("kithgraph")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -60,7 +61,14 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     Cuts lineage like a checkpoint, survives lost executors, and unlike an RDD checkpoint keeps
     column pruning and gives the optimizer true sizes.
     """
+    return durable_with(df, name)[0]
+
+
+def durable_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``durable``, with aggregates observed by the write itself, so they need no second pass."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    watch = Observation(name)
+    seen = df.observe(watch, *[m.alias(k) for k, m in metrics.items()]) if metrics else df
+    seen.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), watch.get if metrics else {}
