@@ -10,6 +10,8 @@ from . import vocabulary as v
 NUMBER_NOISE = r"[,\s$€£₹%]"
 NUMBER_SHAPE = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 
+ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$"
+
 # Accepted date shapes and how each is read; month first where both readings fit.
 DATE_SHAPES = [
     (r"^\d{8}$", ["yyyyMMdd"]),
@@ -52,7 +54,7 @@ def to_moment(text: Column) -> Column:
         reading = F.coalesce(*[F.try_to_timestamp(source, F.lit(f)) for f in formats])
         hit = text.rlike(shape)
         parsed = F.when(hit, reading) if parsed is None else parsed.when(hit, reading)
-    return parsed.otherwise(text.try_cast("timestamp"))
+    return parsed.otherwise(F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp")))
 
 
 def full_name(parts: list[Column], fallback: Column) -> Column:
