@@ -241,7 +241,7 @@ SQL.update({
               from (select *, date_diff('day', date '1970-01-01', event_date::date) as day from ev))
         group by 1"""),
     "ringsum": (["ringm", "cust", "sc"], """
-        select ring_id, count(*) as size, avg(risk) as score, max(risk) as max_risk, count(*) filter (risk >= 0.6) as n_high,
+        select ring_id, count(*) as size, round(avg(risk), 12) as score, max(risk) as max_risk, count(*) filter (risk >= 0.6) as n_high,
                (count(*) filter (risk >= 0.6) >= 2 or avg(risk) >= 0.6)::int as suspected,
                case when count(open_date) >= 2 then date_diff('day', min(open_date), max(open_date)) end as open_span_days,
                count(label) as n_labeled, count(*) filter (label = 1) as n_fraud

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import durable_with
+from ..session import durable
 from .edges import ENDS
 
 
@@ -15,11 +15,8 @@ def _large_star(stars: DataFrame) -> DataFrame:
         F.struct(F.col("lo").alias("node"), F.col("lo").alias("near")),
     )).alias("p")).groupBy("p.node").agg(F.min("p.near").alias("least"))
     # The right side has one row per node, so a node with very many neighbours is split by the skew join.
-    return (
-        stars.join(near.withColumnRenamed("node", "lo"), "lo")
-        .select("hi", F.col("least").alias("lo"))
-        .distinct()
-    )
+    # Repeats may stay: there are never more rows than edges, and the small star drops them.
+    return stars.join(near.withColumnRenamed("node", "lo"), "lo").select("hi", F.col("least").alias("lo"))
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
@@ -30,6 +27,16 @@ def _small_star(stars: DataFrame) -> DataFrame:
     return moved.filter("hi > lo").unionByName(own).distinct()
 
 
+def _finished(stars: DataFrame) -> bool:
+    """Whether every node hangs on one centre and no centre hangs on another."""
+    role = F.explode(F.array(
+        F.struct(F.col("hi").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")),
+        F.struct(F.col("lo").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")),
+    )).alias("r")
+    roles = stars.select(role).groupBy("r.node").agg(F.sum("r.leaf").alias("leaf"), F.max("r.centre").alias("centre"))
+    return roles.filter("leaf + centre > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, ends: list[str] = ENDS) -> DataFrame:
     """``customer_id, component_id`` for every linked customer; the id is the smallest member.
 
@@ -37,14 +44,10 @@ def connected_components(edges: DataFrame, ends: list[str] = ENDS) -> DataFrame:
     shared folder, so the plan stays one round long and survives lost executors.
     """
     a, b = F.col(ends[0]), F.col(ends[1])
-    first = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    mark = {"n": F.count("*"), "edges": F.bit_xor(F.xxhash64("hi", "lo"))}
-    stars, seen = durable_with(first, "stars", **mark)
-    while True:
-        stars, now = durable_with(_small_star(_large_star(stars)), "stars", **mark)
-        if now == seen:
-            break
-        seen = now
+    first = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    stars = durable(_small_star(_large_star(first)), "stars")
+    while not _finished(stars):
+        stars = durable(_small_star(_large_star(stars)), "stars")
     members = stars.select(F.col("hi").alias("customer_id"), F.col("lo").alias("component_id"))
     roots = stars.select(F.col("lo").alias("customer_id"), F.col("lo").alias("component_id")).distinct()
     return members.unionByName(roots)
