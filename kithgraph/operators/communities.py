@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable, durable_with
+from ..session import durable
 from .components import connected_components
 from .edges import ENDS
 
@@ -40,13 +40,16 @@ def _local_moves(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
         )
         turn = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(2)) == 0
         better = F.col("best.community") != F.col("now")
-        nodes, seen = durable_with(
-            moved.select("node", F.when(turn, F.col("best.community")).otherwise(F.col("now")).alias("community"), "strength", "total", better.alias("_better")),
+        nodes = durable(
+            moved.select(
+                "node", F.when(turn, F.col("best.community")).otherwise(F.col("now")).alias("community"),
+                "strength", "total", better.alias("better"),
+            ),
             "moves",
-            better=F.count_if("_better"),
         )
-        nodes = nodes.drop("_better")
-        if not seen["better"]:
+        settled = nodes.filter("better").isEmpty()
+        nodes = nodes.drop("better")
+        if settled:
             break
     return nodes
 
