@@ -35,7 +35,7 @@ def evidence_between(spark, d):
 
 
 def components(spark, d):
-    return C.component_of(fx.customers(spark, d), edges_of(spark, d))
+    return C.component_of(fx.customers(spark, d), durable(edges_of(spark, d), "edges"))
 
 
 def split_groups(spark, d):

@@ -63,9 +63,8 @@ def plain_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\s+", " ")
 
 
-def identity_key(kind: Column, raw: Column) -> Column:
-    """The matching key of one identity value, NULL when unusable."""
-    text = placeholder_to_null(raw)
+def key_of(kind: Column, text: Column) -> Column:
+    """The matching key of a usable text, NULL when its type rejects it."""
     return (
         F.when(kind == "phone", phone_key(text))
         .when(kind == "email", email_key(text))
@@ -76,6 +75,11 @@ def identity_key(kind: Column, raw: Column) -> Column:
     )
 
 
+def identity_key(kind: Column, raw: Column) -> Column:
+    """The matching key of one identity value, NULL when unusable."""
+    return key_of(kind, placeholder_to_null(raw))
+
+
 def hashed(key: Column) -> Column:
     return F.left(F.sha2(key, 256), F.lit(16))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import settings
+from ..functions.metadata import InputError
 from ..functions.vocabulary import CORE_TYPES
 
 VALUE = ["attribute_type", "attribute_id"]
@@ -20,32 +21,22 @@ def link_set(links: DataFrame) -> DataFrame:
     return links.select("customer_id", *VALUE).dropDuplicates()
 
 
-def hottest_values(holders: DataFrame, cap: int) -> DataFrame:
-    """The most widely held values above the cap: at most ``HOT_KEYS`` rows, safe to broadcast."""
-    return (
-        holders.filter(F.col("customers") > cap)
-        .orderBy(F.desc("customers"), *VALUE)
-        .limit(settings.HOT_KEYS)
-        .select(*VALUE)
-    )
-
-
 def linking_groups(links: DataFrame, cap: int = settings.MAX_VALUE_HOLDERS, distinct: bool = True) -> DataFrame:
     """Members of every value held by 2 to ``cap`` customers, as one array of at most ``cap`` ids.
 
-    A value above the cap makes no edges. The hottest of them leave by a broadcast anti join before
-    any shuffle on the value, so a value held by a third of all rows never meets one task; the other
-    values are counted with partial aggregation and only bounded groups are gathered.
+    A value above the cap makes no edges, so ``cap + 1`` holders are enough to know that it is one.
+    The row-number filter is pushed below the shuffle: every task sends at most ``cap + 1`` rows per
+    value, so a value held by a third of all rows costs no more than any other. Links are read and
+    shuffled once.
     """
+    spark = links.sparkSession
+    if cap + 1 > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        raise InputError("A cap this large needs a higher spark.sql.optimizer.windowGroupLimitThreshold.")
     pairs = link_set(links) if distinct else links.select("customer_id", *VALUE)
-    holders = value_holders(pairs)
-    cool = pairs.join(F.broadcast(hottest_values(holders, cap)), VALUE, "left_anti")
-    usable = holders.filter(F.col("customers").between(2, cap)).select(*VALUE)
-    return (
-        cool.join(usable, VALUE, "left_semi")
-        .groupBy(*VALUE)
-        .agg(F.array_sort(F.collect_list("customer_id")).alias("members"))
-    )
+    order = Window.partitionBy(*VALUE).orderBy("customer_id")
+    few = pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap + 1)
+    members = F.array_sort(F.collect_list("customer_id"))
+    return few.groupBy(*VALUE).agg(members.alias("members")).filter(F.size("members").between(2, cap))
 
 
 def identity_edges(
@@ -173,12 +164,14 @@ def label_mix(customers: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_holders(links: DataFrame, cap: int = settings.MAX_VALUE_HOLDERS) -> DataFrame:
-    """Every link with the number of other customers holding its value and whether that made it ignored.
+    """Every link (a set of customer and value) with the number of other holders of its value, and
+    whether the value is held too widely to make edges.
 
-    The hottest values come from a broadcast of at most ``HOT_KEYS`` rows and their links are not
-    shuffled; all others are joined on the value.
+    The most widely held values come from a broadcast of at most ``HOT_KEYS`` rows and their links
+    are not shuffled; all others are joined on the value.
     """
-    holders = links.groupBy(*VALUE).agg(F.count_distinct("customer_id").alias("customers"))
+    links = links.filter(F.col("attribute_type").isNotNull() & F.col("attribute_id").isNotNull())
+    holders = value_holders(links)
     hot = holders.filter(F.col("customers") > cap).orderBy(F.desc("customers"), *VALUE).limit(settings.HOT_KEYS)
     warm = links.join(F.broadcast(hot), VALUE)
     rest = links.join(F.broadcast(hot.select(*VALUE)), VALUE, "left_anti").join(holders, VALUE)
