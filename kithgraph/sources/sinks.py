@@ -54,7 +54,7 @@ def customer_export(customers: DataFrame) -> DataFrame:
 def write_csv(frame: DataFrame, path: str) -> None:
     """CSV with a header; nested columns become JSON text."""
     nested = [f.name for f in frame.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
-    frame.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, emptyValue="")
+    frame.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
 def from_json_columns(frame: DataFrame, schemas: dict[str, str]) -> DataFrame:
