@@ -111,10 +111,8 @@ def restrict_edges(edges: DataFrame, types: list[str]) -> DataFrame:
 
 
 def hub_report(links: DataFrame, cap: int = settings.MAX_VALUE_HOLDERS) -> DataFrame:
-    """The ten most widely held values above the cap."""
-    sizes = links.groupBy(*VALUE).agg(
-        F.count_distinct("customer_id").alias("customers"), F.min("attribute_value").alias("value")
-    )
+    """The ten most widely held values above the cap (``links`` is a set of customer and value)."""
+    sizes = links.groupBy(*VALUE).agg(F.count("*").alias("customers"), F.min("attribute_value").alias("value"))
     return (
         sizes.filter(F.col("customers") > cap)
         .orderBy(F.desc("customers"), "attribute_id")

@@ -67,12 +67,13 @@ def edge_summary(membership: DataFrame, edges: DataFrame) -> DataFrame:
 def ring_evidence(membership: DataFrame, links: DataFrame, top: int = settings.RING_EVIDENCE_ROWS) -> DataFrame:
     """Values held by two or more members, widest first; the report keeps the first ``top`` per ring.
 
-    The row-number filter is pushed below the shuffle, so only ``top`` rows per ring and task move.
+    Links are a set of customer and value, so rows are members. The row-number filter is pushed below
+    the shuffle, so only ``top`` rows per ring and task move.
     """
     held = (
         links.join(membership.select("customer_id", "ring_id"), "customer_id")
         .groupBy("ring_id", "attribute_type", "attribute_id")
-        .agg(F.count_distinct("customer_id").alias("members"), F.min("attribute_value").alias("value"))
+        .agg(F.count("*").alias("members"), F.min("attribute_value").alias("value"))
         .filter("members >= 2")
     )
     order = Window.partitionBy("ring_id").orderBy(F.desc("members"), "attribute_type", "attribute_id")

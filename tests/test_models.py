@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kithgraph.functions.metadata import InputError
 from kithgraph.model import Dataset
 from kithgraph.operators import attribution as AT, explain as X, features as FT, models as ML, scoring as SC
-from kithgraph.plans import analyse as PL, experiment as EX
+from kithgraph.plans import analyse as PL, experiment as EX, read as RD
 from kithgraph.operators.edges import identity_edges
 from kithgraph.session import durable
 from checks import fixtures as fx
@@ -132,6 +132,21 @@ def test_analyse_then_retrain_keeps_ring_ids(spark, data, tmp_path):
     a, b = [v.table(spark, "ring_members").select("ring_id", "customer_id") for v in (first, second)]
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
+    view = RD.overview(spark, second, reviews)
+    assert view["top_customers"].count() == 10 and view["histogram"].agg(F.sum("count")).first()[0] == 150
+    assert view["feedback"].first()["fraud"] == len(members)
+    detail = RD.ring_detail(spark, second, reviews, "R-0001")
+    assert detail["ring"].first()["status"] == "confirmed" and detail["members"].count() == len(members)
+    assert detail["history"].count() == 1 and set(members) <= {r[0] for r in detail["nodes"].select("customer_id").collect()}
+    person = RD.customer_detail(spark, second, reviews, members[0], data.events)
+    assert person["customer"].first()["analyst_label"] == 1 and not person["connections"].isEmpty() and not person["attributes"].isEmpty()
+    assert person["ring"].first()["ring_id"] == "R-0001" and person["reviews"].count() == 1
+    with pytest.raises(InputError):
+        RD.customer_detail(spark, second, reviews, "nobody")
+    shown = RD.network(spark, second, reviews, suspected_only=False, max_nodes=100)
+    assert 0 < shown["nodes"].count() <= 100 and not shown["edges"].isEmpty()
+    assert [r["version"] for r in RD.history(spark, second).collect()] == [1, 2]
+
 
 def test_unlabelled_data_is_scored_by_transfer(spark, data, tmp_path):
     hidden = Dataset(data.customers.withColumn("label", F.lit(None).cast("int")).withColumn("truth_ring", F.lit(None).cast("string")), data.links)
