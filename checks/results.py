@@ -166,9 +166,12 @@ def queue_links(spark, d):
 
 def connections(spark, d):
     edges = durable(fx.edges_of(spark, d), "edges")
-    rows = V.connections(results(spark, d, edges=edges), edges, fx.links(spark, d), _labels(spark, d), WHO)
-    shared = F.array_join(F.transform("shared", lambda s: F.concat(s["type"], F.lit("="), s["value"])), ",")
-    return rounded(rows.withColumns({"types": F.array_join("types", ","), "shared": shared}))
+    rows = V.connections(results(spark, d, edges=edges), edges, _labels(spark, d), WHO)
+    return rounded(rows.withColumn("types", F.array_join("types", ",")))
+
+
+def connection_evidence(spark, d):
+    return V.connection_evidence(fx.edges_of(spark, d), fx.links(spark, d), WHO)
 
 
 def ring_members(spark, d):
@@ -250,6 +253,7 @@ QUERIES = {
     "queue_links": queue_links,
     "customer_events": lambda s, d: rounded(V.customer_events(fx.events(s, d), WHO).withColumn("event_date", F.to_date("event_date").cast("string"))),
     "connections": connections,
+    "connection_evidence": connection_evidence,
     "ring_members": ring_members,
     "ring_graph": ring_graph,
     "network_rings": network_rings,
@@ -457,11 +461,12 @@ SQL = {
         select customer_id, event_date::date::varchar as event_date, event_type, round(utilization_pct, 6) as utilization_pct, credit_limit_at_time
         from ev where customer_id = '{WHO}' order by event_date limit 1000""", "ev"),
     "connections": sql(f"""
-        select res.customer_id, name, round(risk, 6) as risk, risk_level, ring_id, label, analyst_label, {_TYPES} as types, shared
+        select res.customer_id, name, round(risk, 6) as risk, risk_level, ring_id, label, analyst_label, {_TYPES} as types
         from sym join res on res.customer_id = other_id left join lab on lab.customer_id = other_id
-        left join (select a.customer_id, string_agg(a.attribute_type || '=' || a.attribute_value, ',' order by a.attribute_type, a.attribute_value) as shared
-                   from lnk a join lnk m using (attribute_type, attribute_id) where m.customer_id = '{WHO}' group by 1) s on s.customer_id = other_id
         where sym.customer_id = '{WHO}'""", "res", "sym", "lab"),
+    "connection_evidence": sql(f"""
+        select a.customer_id, attribute_type, a.attribute_value from lnk a join lnk m using (attribute_type, attribute_id)
+        where m.customer_id = '{WHO}' and a.customer_id in (select other_id from sym where customer_id = '{WHO}')""", "lnk", "sym"),
     "ring_members": sql(f"""
         select {_BRIEF.replace('risk,', 'round(risk, 6) as risk,', 1)}, (risk >= 0.3 or not bool_or(risk >= 0.3) over ())::int as suggested
         from res left join lab using (customer_id) where ring_id = '{RING}'""", "res", "lab"),

@@ -134,22 +134,25 @@ def customer_events(events: DataFrame, customer_id: str) -> DataFrame:
     return events.filter(F.col("customer_id") == customer_id).orderBy("event_date").limit(EVENT_ROWS)
 
 
-def connections(customers: DataFrame, edges: DataFrame, links: DataFrame, labels: DataFrame, customer_id: str) -> DataFrame:
-    """Accounts linked to one account, riskiest first, with the identity values held in common.
+def connections(customers: DataFrame, edges: DataFrame, labels: DataFrame, customer_id: str) -> DataFrame:
+    """Accounts linked to one account, riskiest first, with the types shared."""
+    linked = neighbours(edges, customer_id).withColumnRenamed("other_id", "customer_id")
+    rows = customers.join(linked, "customer_id").join(labels, "customer_id", "left")
+    return rows.select(
+        "customer_id", "name", "risk", "risk_level", "ring_id", "label", "analyst_label", "types"
+    ).orderBy(F.desc("risk"), "customer_id")
+
+
+def connection_evidence(edges: DataFrame, links: DataFrame, customer_id: str) -> DataFrame:
+    """The identity values each linked account has in common with one account, one row per value.
 
     Widely held values count here too. The account's own keys are looked up in the links of the
     linked accounts only.
     """
-    linked = neighbours(edges, customer_id).withColumnRenamed("other_id", "customer_id")
+    linked = neighbours(edges, customer_id).select(F.col("other_id").alias("customer_id"))
     mine = links.filter(F.col("customer_id") == customer_id).select("attribute_type", "attribute_id")
-    theirs = links.join(linked.select("customer_id"), "customer_id", "left_semi").join(mine, ["attribute_type", "attribute_id"], "left_semi")
-    shared = theirs.groupBy("customer_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("attribute_type").alias("type"), F.col("attribute_value").alias("value")))).alias("shared")
-    )
-    rows = customers.join(linked, "customer_id").join(shared, "customer_id", "left").join(labels, "customer_id", "left")
-    return rows.select(
-        "customer_id", "name", "risk", "risk_level", "ring_id", "label", "analyst_label", "types", "shared"
-    ).orderBy(F.desc("risk"), "customer_id")
+    theirs = links.join(linked, "customer_id", "left_semi").join(mine, ["attribute_type", "attribute_id"], "left_semi")
+    return theirs.select("customer_id", "attribute_type", "attribute_value")
 
 
 def ring_members(customers: DataFrame, membership: DataFrame, labels: DataFrame, threshold: float, ring_id: str) -> DataFrame:

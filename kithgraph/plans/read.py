@@ -47,7 +47,8 @@ def customer_detail(
         "customer": me.join(_labels(reviews), "customer_id", "left"),
         "contributions": version.table(spark, "contributions").filter(F.col("customer_id") == customer_id),
         "attributes": attributes.filter(F.col("customer_id") == customer_id),
-        "connections": views.connections(customers, edges, attributes, _labels(reviews), customer_id),
+        "connections": views.connections(customers, edges, _labels(reviews), customer_id),
+        "connection_evidence": views.connection_evidence(edges, attributes, customer_id),
         "ring": rings.join(me.select("ring_id"), "ring_id", "left_semi"),
         "reviews": fb.review_history(reviews, customer_id),
     }
