@@ -269,8 +269,9 @@ def membership(spark: SparkSession, folder: str) -> DataFrame:
     from kithgraph.operators import edges as e, rings as r
     from kithgraph.session import durable
 
-    edges = durable(e.identity_edges(links(spark, folder), TYPES), "edges")
-    return durable(r.number_rings(r.candidate_groups(edges, max_size=50)), "membership")
+    groups = durable(e.linking_groups(links(spark, folder)), "groups")
+    found = r.candidate_groups(e.edges_from_groups(groups, TYPES), max_size=50, stars=e.stars_from_groups(groups))
+    return durable(r.number_rings(found), "membership")
 
 
 def edges_of(spark: SparkSession, folder: str) -> DataFrame:

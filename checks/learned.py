@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from kithgraph.functions.metadata import feature_group
 from kithgraph.model import Dataset, FeatureTable
 from kithgraph.operators import features as FT, models as ML, scoring as SC
@@ -15,7 +13,7 @@ from . import fixtures as fx
 from .scores import groups, train_test
 
 # Small learners: the checks are about the data flow.
-LEARNERS = ML.Learners(boosting_rounds=10, forest_trees=20, depth=4, min_leaf=5)
+LEARNERS = ML.Learners(boosting_rounds=10, forest_trees=20, depth=4, forest_depth=6, min_leaf=5)
 
 
 def dataset(spark, d) -> Dataset:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kithgraph.functions import phrases as P, vocabulary as v
+from kithgraph.functions import phrases as P
 from kithgraph.functions.values import risk_level
 from kithgraph.operators import attribution as AT, edges as E, explain as X, feedback as FB, neighbourhood as N, rings as R, views as V
 from kithgraph.operators.metrics import risk_ranks

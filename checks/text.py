@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions import identity as idn, values as val, vocabulary as v
 from kithgraph.operators import canonical as C, profiling as P
-from kithgraph.session import durable
 from kithgraph.sources.tables import ROW, as_text, restore_types
 
 from . import fixtures as fx
-from .fixtures import flags, rounded, sql
+from .fixtures import rounded, sql
 
 # One text column per rule over k (the customer key) and p (0 for the row, 1 for its repeat). Both engines
 # read the same expressions.

@@ -30,7 +30,6 @@ REVIEWS = T.StructType([
     T.StructField("created_at", T.TimestampType()),
     T.StructField("model_version", T.IntegerType()),
 ])
-CUSTOMER_CORE = ["customer_id", "name", "label", "truth_ring", "open_date"]
 
 
 @dataclass(frozen=True)

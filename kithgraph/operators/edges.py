@@ -49,7 +49,12 @@ def identity_edges(
 
     ``cap`` bounds the pairs of one value to cap*(cap-1)/2 and is part of the definition of an edge.
     """
-    firsts = linking_groups(links, cap, distinct).select(
+    return edges_from_groups(linking_groups(links, cap, distinct), types)
+
+
+def edges_from_groups(groups: DataFrame, types: list[str]) -> DataFrame:
+    """Linked pairs of bounded groups (``attribute_type, members``), pre-aggregated before the shuffle."""
+    firsts = groups.select(
         "attribute_type", "members", F.posexplode("members").alias("_i", "source_customer_id")
     )
     pairs = firsts.select(
@@ -62,6 +67,16 @@ def identity_edges(
     return edges.withColumn("shared_attribute_count", sum(F.col(f"shared_{t}") for t in types))
 
 
+def stars_from_groups(groups: DataFrame) -> DataFrame:
+    """Each group as links from its smallest member to the others.
+
+    It connects the same accounts as all pairs of the group do, with n - 1 rows instead of n(n-1)/2,
+    so components are found from it.
+    """
+    hub = F.element_at("members", 1)
+    return groups.select(hub.alias(ENDS[0]), F.explode(F.expr("slice(members, 2, size(members))")).alias(ENDS[1])).distinct()
+
+
 def edge_types(links: DataFrame) -> list[str]:
     """Core types first, then the others in name order; one row per type reaches the driver."""
     present = {r[0] for r in links.select("attribute_type").distinct().collect() if r[0]}

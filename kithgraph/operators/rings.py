@@ -16,9 +16,12 @@ from .edges import ENDS, flag_columns, induced_subgraph
 from .ordered import with_rank, with_rank_within
 
 
-def candidate_groups(edges: DataFrame, max_size: int = settings.MAX_RING_SIZE) -> DataFrame:
-    """``customer_id, group_id``: components up to ``max_size``, communities of the larger ones."""
-    found = durable(connected_components(edges), "components")
+def candidate_groups(edges: DataFrame, max_size: int = settings.MAX_RING_SIZE, stars: DataFrame | None = None) -> DataFrame:
+    """``customer_id, group_id``: components up to ``max_size``, communities of the larger ones.
+
+    Components come from ``stars`` where given: fewer rows that connect the same accounts.
+    """
+    found = durable(connected_components(edges if stars is None else stars), "components")
     sizes = found.groupBy("component_id").agg(F.count("*").alias("size"))
     large = found.join(sizes.filter(F.col("size") > max_size).select("component_id"), "component_id", "left_semi")
     if large.isEmpty():

@@ -131,11 +131,12 @@ def analyse(
         feedback = spark.createDataFrame([], NO_FEEDBACK)
     feedback = durable(feedback.join(data.customers.select("customer_id"), "customer_id", "left_semi"), "feedback")
     types = graph.edge_types(data.links)
-    edges = durable(graph.identity_edges(data.links, types, cap, distinct=False), "edges")
+    groups = durable(graph.linking_groups(data.links, cap, distinct=False), "groups")
+    edges = durable(graph.edges_from_groups(groups, types), "edges")
     table = ft.assemble_features(data, edges, types)
     table = FeatureTable(durable(table.frame, "features"), table.tabular, table.network, table.temporal, table.labels)
     result = scoring.score_dataset(data, edges, types, table, feedback, reference, f"{root}/calibration", learners)
-    membership = durable(rg.number_rings(rg.candidate_groups(edges, max_ring)), "membership")
+    membership = durable(rg.number_rings(rg.candidate_groups(edges, max_ring, graph.stars_from_groups(groups))), "membership")
     rings = rg.summarise_rings(membership, edges, data.links, data.customers, result.scores, result.threshold)
     rings = durable(rings.withColumn("explanation", explain.ring_explanation()), "rings")
     customers = durable(scored_customers(data, edges, table, result, membership, rings, feedback, types), "customers")

@@ -11,7 +11,6 @@ from ..functions.metadata import InputError
 
 # Position of a row in its source: file, byte offset of the block, then order inside the block.
 ROW = "_row"
-ROW_PARTS = ["path", "block", "at"]
 
 
 def _row_position():

@@ -43,6 +43,15 @@ def test_edges_match_brute_force(spark, cap):
     assert got == brute_edges(rows, cap)
 
 
+def test_stars_connect_what_pairs_connect(spark):
+    draw = random.Random(9)
+    rows = [(f"c{draw.randrange(90):03d}", "phone", f"v{draw.randrange(60)}") for _ in range(150)]
+    groups = E.linking_groups(links(spark, rows), 20)
+    stars, edges = E.stars_from_groups(groups), E.edges_from_groups(groups, ["phone"])
+    found = [{r[0]: r[1] for r in C.connected_components(x).collect()} for x in (stars, edges)]
+    assert found[0] == found[1] and stars.count() <= edges.count()
+
+
 def test_two_values_of_one_type_count_once(spark):
     rows = [(c, "phone", x) for c in "ab" for x in ("1", "2")]
     edge = E.identity_edges(links(spark, rows), ["phone"]).first()

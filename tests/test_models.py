@@ -11,7 +11,7 @@ from kithgraph.operators.edges import identity_edges
 from kithgraph.session import durable
 from checks import fixtures as fx
 
-SMALL = ML.Learners(boosting_rounds=2, forest_trees=3, depth=2, min_leaf=2, parallel=8)
+SMALL = ML.Learners(boosting_rounds=2, forest_trees=3, depth=2, forest_depth=3, min_leaf=2, parallel=8)
 
 
 @pytest.fixture(scope="module")
