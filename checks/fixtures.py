@@ -66,7 +66,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("event_date"),
         F.expr("case event_type when 'signup' then 'payment' when 'click' then 'credit_limit_increase' else event_type end").alias("event_type"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("utilization_pct"),
-        (F.get_json_object("props", "$.k").cast("double") * 100).alias("credit_limit_at_time"),
+        (F.regexp_extract("props", r'"k": (\d+)', 1).cast("double") * 100).alias("credit_limit_at_time"),
     )
 
 
