@@ -56,3 +56,27 @@ def test_every_sql_has_its_query():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 150
+
+
+def test_typed_tables_become_a_dataset(spark):
+    from kithgraph.operators.canonical import typed_dataset
+
+    def table(rows, columns):
+        return spark.createDataFrame(rows, columns)
+
+    data = typed_dataset(
+        table([("a", "Ann", 1, "ring_0001", "2025-01-01", 50000, 700, 30), ("b", "Bo", 0, "", "2025-02-01", 40000, 650, 10)],
+              ["customer_id", "full_name", "is_synthetic_fraud", "ring_id", "account_open_date", "annual_income", "credit_score", "account_tenure_days"]),
+        table([("a", "phone", "phone_1"), ("a", "address", "address_1"), ("b", "device", "device_1"), ("b", "email", "email_9")], ["customer_id", "attribute_type", "attribute_id"]),
+        table([("a", "2025-03-01", "purchase", 0.5, 1000)], ["customer_id", "event_date", "event_type", "utilization_pct", "credit_limit_at_time"]),
+        table([("phone_1", "555-1234")], ["phone_id", "phone_number"]), table([("email_1", "x@y.example")], ["email_id", "email_address"]),
+        table([("address_1", "1 Main St", "Springfield", "IL", "62701")], ["address_id", "street", "city", "state", "zip"]),
+        table([("device_1", "abcdef0123456789")], ["device_id", "device_fingerprint"]),
+    )
+    shown = {r["attribute_id"]: r["attribute_value"] for r in data.links.collect()}
+    assert shown == {
+        "phone_1": "555-1234", "address_1": "1 Main St, Springfield, IL 62701", "device_1": "device abcdef012345", "email_9": "email_9",
+    }
+    rows = {r["customer_id"]: r for r in data.customers.collect()}
+    assert rows["a"]["label"] == 1 and rows["b"]["truth_ring"] is None and rows["a"]["annual_income"] == 50000.0
+    assert data.events.first()["credit_limit_at_time"] == 1000.0
