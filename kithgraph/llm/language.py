@@ -115,9 +115,12 @@ def held_out() -> F.Column:
 
 def _bounded(rows: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, by a hash of the text; all rows of a rarer language."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row for each language that is learned
+    if not counts:
+        return rows.select("text", "lang").limit(0)
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["n"])])
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, "lang").filter(place * F.col("n") < per_language).select("text", "lang")
+    return rows.filter(place < F.element_at(rate, F.col("lang"))).select("text", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
