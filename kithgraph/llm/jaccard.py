@@ -12,7 +12,9 @@ size of the input; an error in it changes the order and the cost, never the resu
 
 Equal sets are one item. Signatures are shuffled and sorted, and a run of equal signatures gives pairs of neighbours by
 length first. These are verified on the whole texts and connected. Only runs whose items are then still in several
-components give their remaining pairs across components. So a group of thousands of near copies costs a few pairs each.
+components are looked at again: an item is compared with every larger component that it meets in a run, unless the
+parity bitmaps of the two sets already tell that too many tokens differ. For that, items and members are packed, so a
+component of thousands of near copies costs a few packs and not a row for each pair, and no link is lost.
 
 Defined results: NULL texts and texts without a word have no tokens and link with nothing; texts of less than five words
 are one token; repeated rows are copies; a NULL id is never the smallest; an empty table gives an empty result.
@@ -36,6 +38,8 @@ FREQUENT = 64
 WINDOW = 3
 CLASS_TOKENS = 32
 FLUSH = 1 << 16
+BITS_LEAST, BITS_MOST = 256, 8192
+PACK_ROWS, PACK_BYTES, PACK_PARTS = 256, 2 << 20, 16
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,6 +98,24 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap, about as long as the set, of the parities of token slots; sets that differ in d tokens differ in d bits at most."""
+    width = min(BITS_MOST, max(BITS_LEAST, 1 << int(len(tokens)).bit_length()))
+    slots = (tokens & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit numbers, the longer ones folded to ``width`` bytes."""
+    rows = []
+    for b in bits:
+        row = np.frombuffer(b, np.uint64)
+        while len(row) * 8 > width:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        rows.append(row)
+    return np.stack(rows)
+
+
 def bands() -> np.ndarray:
     """Lowest length of each band; the longest length similar to one of a band lies in it or the next."""
     lows = [1]
@@ -138,18 +160,19 @@ def _texts(batch: pa.RecordBatch, column: int):
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``doc_id, n, key`` and partial sketches ``slice, counts``, both written once from one pass over the texts."""
+    """Members ``doc_id, n, key, bits`` and partial sketches ``slice, counts``, both written once from one pass over the texts."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "key", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "key", "bits", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
-            sizes, keys, places, held = [], [], [], 0
+            sizes, keys, bits, places, held = [], [], [], [], 0
             for text in _texts(batch, 1):
                 tokens = shingles(text)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens))
+                bits.append(parity(tokens))
                 places.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 held += len(tokens)
                 if held > 1 << 20:
@@ -158,18 +181,18 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     places = []
             if places:
                 np.add(counts, np.bincount(np.concatenate(places), minlength=len(counts)).astype(np.uint32), out=counts)
-            columns = [batch.column(0).to_pylist(), sizes, keys, [None] * len(sizes), [None] * len(sizes)]
+            columns = [batch.column(0).to_pylist(), sizes, keys, bits, [None] * len(sizes), [None] * len(sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         pack = zstandard.ZstdCompressor(level=1)
         for i in range(0, len(counts), SLICE):
             part = counts[i : i + SLICE]
             if part.any():
-                columns = [[None], [None], [None], [i // SLICE], [pack.compress(_narrow(part))]]
+                columns = [[None], [None], [None], [None], [i // SLICE], [pack.compress(_narrow(part))]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, slice int, counts binary"), "survey")
-    return both.filter("slice is null").select("doc_id", "n", "key"), both.filter("slice is not null").select("slice", "counts")
+    both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, bits binary, slice int, counts binary"), "survey")
+    return both.filter("slice is null").select("doc_id", "n", "key", "bits"), both.filter("slice is not null").select("slice", "counts")
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -277,19 +300,28 @@ def runs(signed: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "sig bigint, a bigint, b bigint, n int")
 
 
-def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose texts reach the similarity, judged on whole sets."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = members.join(asked, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+def blobs_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, blob``: one compressed text for each key."""
 
     def pack(batches):
         # A set fills eight bytes a token; the compressed text is less and gives the same tokens.
-        shrink = zstandard.ZstdCompressor(level=3)
+        shrink, done = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shrink.compress(t) for t in _texts(batch, 1)], pa.binary())], ["key", "blob"])
+            found = [], []
+            for text in _texts(batch, 0):
+                key = set_key(shingles(text))
+                if key not in done:
+                    done.add(key)
+                    found[0].append(key)
+                    found[1].append(shrink.compress(text))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], ["key", "blob"])
+
+    texts = docs.select("text").mapInArrow(pack, "key bigint, blob binary")
+    return durable(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("blob").alias("blob")), "texts")
+
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(first, "doc_id").select("key", "text")
-    blobs = durable(texts.mapInArrow(pack, "key bigint, blob binary"), "texts")
+def verify(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose texts reach the similarity, judged on whole sets."""
     partners = pairs.join(blobs.select(F.col("key").alias("b"), "blob"), "b").select("a", "b", "blob")
     own = blobs.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), "blob")
     # One item with very many partners is dealt to several tasks, each with the item's own text.
@@ -323,27 +355,127 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= LEAST_PERCENT * (len(x) + len(y) - shared)
 
 
-def cross_pairs(long_runs: DataFrame, group: DataFrame) -> DataFrame:
-    """``a, b``: pairs of similar length in long runs whose items are in different components."""
-    placed = long_runs.join(group, "key", "left").select("sig", "key", "n", F.coalesce("component", "key").alias("component"))
+def late_candidates(long_runs: DataFrame, members: DataFrame, group: DataFrame) -> DataFrame:
+    """``key, component``: items to compare with a larger component that they meet in a long run."""
+    sizes = group.groupBy("component").agg(F.count("*").alias("size"))
+    placed = long_runs.join(group.join(sizes, "component"), "key", "left").select(
+        "sig", "key", "n", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size")
+    )
     several = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-    rows = placed.join(several, "sig").repartition("sig").sortWithinPartitions("sig", "n", "key")
+    kept = placed.join(several, "sig")
+    bits = members.join(kept.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("bits").alias("bits"))
+    rows = kept.join(bits, "key").select("sig", "key", "n", "component", "size", "bits").repartition("sig").sortWithinPartitions("sig", "n", "key")
+
+    def candidates(key, n, component, size, bits):
+        """Unique (item, component) of a run sorted by length."""
+        out = []
+        for i in range(0, len(n), PACK_ROWS):
+            for j in range(0, i + 1, PACK_ROWS):
+                a, b = slice(i, i + PACK_ROWS), slice(j, j + PACK_ROWS)
+                if 100 * n[b][-1] < LEAST_PERCENT * n[a][0]:
+                    continue
+                width = min(map(len, bits[a] + bits[b]))
+                apart = np.zeros((len(n[a]), len(n[b])), np.int64)
+                one, two = folded(bits[a], width), folded(bits[b], width)
+                for w in range(one.shape[1]):
+                    apart += np.bitwise_count(one[:, w, None] ^ two[None, :, w])
+                total = n[a][:, None] + n[b][None]
+                # At most this share of all tokens of two similar sets is in only one of them.
+                near = apart * (100 + LEAST_PERCENT) <= (100 - LEAST_PERCENT) * total
+                near &= _similar_length(n[a][:, None], n[b][None]) & (component[a][:, None] != component[b][None])
+                x, y = np.nonzero(near)
+                x, y = x + i, y + j
+                smaller = (size[x] < size[y]) | ((size[x] == size[y]) & (component[x] < component[y]))
+                out.append(np.stack([np.where(smaller, key[x], key[y]), np.where(smaller, component[y], component[x])]))
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def run(batches):
+        rest, bits = [np.zeros(0, np.int64)] * 5, []
+        for last, batch in _with_end(batches):
+            if batch is not None:
+                rest = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
+                bits += batch.column(5).to_pylist()
+            sig = rest[0]
+            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+            stops = np.r_[starts[1:], len(sig)] if len(sig) else starts
+            whole = len(starts) if last else max(0, len(starts) - 1)  # the last run may go on
+            found = [candidates(*(r[a:b] for r in rest[1:]), bits[a:b]) for a, b in zip(starts[:whole], stops[:whole], strict=True)]
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["key", "component"])
+            done = int(stops[whole - 1]) if whole else 0
+            rest, bits = [r[done:] for r in rest], bits[done:]
+
+    return rows.mapInArrow(run, "key bigint, component bigint").distinct()
+
+
+def _with_end(batches):
+    for batch in batches:
+        yield False, batch
+    yield True, None
+
+
+def _packs(rows: DataFrame) -> DataFrame:
+    """``component, part, keys, blobs``: rows of ``component, key, blob`` in packs of bounded size."""
+
+    def run(batches):
+        held, keys, blobs, size = None, [], [], 0
+        for last, batch in _with_end(batches):
+            for row in [] if batch is None else zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if keys and (row[:2] != held or len(keys) >= PACK_ROWS or size > PACK_BYTES):
+                    yield flush(held, keys, blobs)
+                    keys, blobs, size = [], [], 0
+                held = row[:2]
+                keys.append(row[2])
+                blobs.append(row[3])
+                size += len(row[3])
+        if keys:
+            yield flush(held, keys, blobs)
+
+    def flush(held, keys, blobs):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([held[0]]), pa.array([held[1]], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([blobs], pa.list_(pa.binary()))],
+            ["component", "part", "keys", "blobs"],
+        )
+
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PACK_PARTS)).cast("int")).select("component", "part", "key", "blob")
+    laid = parted.repartition("component", "part").sortWithinPartitions("component", "part", "key")
+    return laid.mapInArrow(run, "component bigint, part int, keys array<bigint>, blobs array<binary>")
+
+
+def verify_late(blobs: DataFrame, candidates: DataFrame, group: DataFrame) -> DataFrame:
+    """``a, b``: for each item and component at least one link, if there is any."""
+    asked = _packs(candidates.join(blobs, "key")).select("component", F.col("keys").alias("asks"), F.col("blobs").alias("ask_blobs"))
+    targets = candidates.select("component").distinct()
+    lone = targets.join(group.select("component").distinct(), "component", "left_anti").select("component", F.col("component").alias("key"))
+    inside = group.join(targets, "component", "left_semi").select("component", "key").unionByName(lone)
+    own = _packs(inside.join(blobs, "key"))
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PACK_PARTS - 1))))
+    met = spread.join(own, ["component", "part"]).select("asks", "ask_blobs", "keys", "blobs")
 
     def run(batches):
-        held, waiting = None, [np.zeros(0, np.int64)] * 3
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for sig, key, n, component in zip(*(c.to_numpy() for c in batch.columns), strict=True):
-                if sig != held:
-                    held, waiting = sig, [np.zeros(0, np.int64)] * 3
-                keys, sizes, groups = waiting
-                near = sizes * 100 >= LEAST_PERCENT * int(n)  # sorted by length: who is too short now stays so
-                keys, sizes, groups = keys[near], sizes[near], groups[near]
-                other = keys[(groups != component) & (keys != key)]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, key)), pa.array(np.maximum(other, key))], ["a", "b"])
-                waiting = [np.append(keys, key), np.append(sizes, n), np.append(groups, component)]
+            out = [], []
+            for asks, ask_blobs, keys, stored in zip(*(batch.column(i) for i in range(4)), strict=True):
+                asks, keys = asks.as_py(), keys.as_py()
+                sets = [shingles(unpack.decompress(b.as_py())) for b in stored]
+                lengths = np.array([len(t) for t in sets])
+                every = np.concatenate(sets)
+                by = np.argsort(every, kind="stable")
+                every, owner = every[by], np.repeat(np.arange(len(sets)), lengths)[by]
+                for x, blob in zip(asks, ask_blobs, strict=True):
+                    tokens = shingles(unpack.decompress(blob.as_py()))
+                    low, high = np.searchsorted(every, tokens), np.searchsorted(every, tokens, side="right")
+                    hits = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))
+                    shared = np.bincount(owner[hits], minlength=len(sets))
+                    similar = np.flatnonzero(100 * shared >= LEAST_PERCENT * (len(tokens) + lengths - shared))
+                    if len(similar):
+                        out[0].append(x)
+                        out[1].append(keys[similar[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return durable(met.mapInArrow(run, "a bigint, b bigint").filter("a <> b"), "links")
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
@@ -351,16 +483,15 @@ def join_similar(docs: DataFrame) -> DataFrame:
     members, parts = survey(docs)
     found = durable(runs(index(docs, sum_sketch(parts))), "runs")
     pairs = durable(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    links = verify(docs, members, pairs)
-    group = _groups(links)
-    late = durable(
-        cross_pairs(found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct(), group).join(
-            pairs, ["a", "b"], "left_anti"
-        ),
-        "pairs",
-    )
+    long_runs = found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct()
+    # Pairs of one signature are within a long run or hold both of its items, so these are all keys that can be asked for.
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long_runs.select("key"))
+    blobs = blobs_of(docs, keys.distinct())
+    links = verify(blobs, pairs)
+    group = durable(_groups(links), "groups")
+    late = durable(late_candidates(long_runs, members, group), "late")
     if not late.isEmpty():
-        group = _groups(links.unionByName(verify(docs, members, late)))
+        group = _groups(links.unionByName(verify_late(blobs, late, group)))
     return _label(members, group)
 
 
