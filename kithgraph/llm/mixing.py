@@ -133,7 +133,8 @@ def pieces(placed: DataFrame, sources: DataFrame) -> DataFrame:
     met = placed.filter("size > 0").select(
         "row_nr", "source_nr", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block")
     )
-    taken = met.join(draw_slots(sources), ["source_nr", "block"])
+    # The slots are many more than the sources they are made from suggest; they must not be broadcast.
+    taken = met.hint("merge").join(draw_slots(sources).hint("merge"), ["source_nr", "block"])
     low = F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")
     high = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("words")) - F.col("start")
     return taken.select("row_nr", "epoch", "shard", low.alias("low"), high.alias("high")).filter("high > low")
@@ -143,7 +144,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words the mix takes of it."""
     placed, sources = place_documents(docs, ["doc_id"])
     taken = pieces(placed, sources).groupBy("row_nr").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
-    return placed.join(taken, "row_nr", "left").select(
+    return placed.hint("merge").join(taken.hint("merge"), "row_nr", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
     )
 
@@ -153,7 +154,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     placed, sources = place_documents(docs, docs.columns)
     parts = pieces(placed.drop("text"), sources).groupBy("row_nr", "epoch")
     taken = parts.agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_parts"), F.sum(F.col("high") - F.col("low")).alias("_n"))
-    met = placed.join(taken, "row_nr")
+    met = placed.hint("merge").join(taken.hint("merge"), "row_nr")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), " ")
     text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(cut)
