@@ -151,7 +151,7 @@ def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: int) -> np.ndarra
         for gap in range(1, int(np.bincount(kind.astype(np.int64)).max(initial=0))):
             same = kind[gap:] == kind[:-gap]
             one, two = prefix[:-gap][same], prefix[gap:][same]
-            found.append(mix(np.minimum(one, two) * _MIX[0] + np.maximum(one, two) * _MIX[1] + np.uint64(b) * _MUL))
+            found.append(mix(np.minimum(one, two) * _MIX[0] + np.maximum(one, two) * _MIX[1] + _MIX[2] ** np.full(1, b, np.uint64)))
     return np.unique(np.concatenate(found))
 
 
@@ -183,18 +183,40 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 np.add(counts, np.bincount(np.concatenate(places), minlength=len(counts)).astype(np.uint32), out=counts)
             columns = [batch.column(0).to_pylist(), sizes, keys, bits, [None] * len(sizes), [None] * len(sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-        pack = zstandard.ZstdCompressor(level=1)
-        for i in range(0, len(counts), SLICE):
-            part = counts[i : i + SLICE]
-            if part.any():
-                columns = [[None], [None], [None], [None], [i // SLICE], [pack.compress(_narrow(part))]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for number, data in _slices(counts):
+            columns = [[None], [None], [None], [None], [number], [data]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, bits binary, slice int, counts binary"), "survey")
     return both.filter("slice is null").select("doc_id", "n", "key", "bits"), both.filter("slice is not null").select("slice", "counts")
 
 
+def _slices(counts: np.ndarray):
+    """The parts of a sketch that are not empty."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for i in range(0, len(counts), SLICE):
+        if counts[i : i + SLICE].any():
+            yield i // SLICE, pack.compress(_narrow(counts[i : i + SLICE]))
+
+
+def key_sketch(keys: DataFrame) -> np.ndarray:
+    """A sketch of keys: a key whose slot is 0 is not among them."""
+
+    def run(batches):
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            counts += np.bincount(_slot(batch.column(0).to_numpy()), minlength=len(counts)).astype(np.uint32)
+        rows = list(_slices(counts))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "counts"])
+
+    return sum_sketch(keys.mapInArrow(run, "slice int, counts binary"))
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _narrow(counts: np.ndarray) -> bytes:
     """Counts in the smallest type; the length tells which."""
     top = int(counts.max(initial=0))
@@ -275,7 +297,11 @@ def runs(signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int32())], names)
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         lengths = np.diff(np.r_[starts, len(sig)])
-        many = np.repeat((lengths > WINDOW + 1) | (long & (np.arange(len(starts)) == 0)), lengths)
+        parts = long & (np.arange(len(starts)) == 0)
+        many = np.repeat((lengths > WINDOW + 1) | parts, lengths)
+        # Runs of the same items are one run: they are named by their items, unless they come in parts.
+        same = np.add.reduceat(mix(key.view(np.uint64)), starts).view(np.int64)
+        sig = np.repeat(np.where(parts, sig[starts], same), lengths)
         if many.any():
             yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(key[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(n[many])], names)
 
@@ -301,7 +327,8 @@ def runs(signed: DataFrame) -> DataFrame:
 
 
 def blobs_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key, blob``: one compressed text for each key."""
+    """``key, blob``: one compressed text for each key; a sketch of the keys keeps most other texts from the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_sketch(keys) > 0)
 
     def pack(batches):
         # A set fills eight bytes a token; the compressed text is less and gives the same tokens.
@@ -310,7 +337,7 @@ def blobs_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
             found = [], []
             for text in _texts(batch, 0):
                 key = set_key(shingles(text))
-                if key not in done:
+                if key not in done and shared.value[_slot(np.array([key], np.int64))[0]]:
                     done.add(key)
                     found[0].append(key)
                     found[1].append(shrink.compress(text))
@@ -449,8 +476,9 @@ def verify_late(blobs: DataFrame, candidates: DataFrame, group: DataFrame) -> Da
     targets = candidates.select("component").distinct()
     lone = targets.join(group.select("component").distinct(), "component", "left_anti").select("component", F.col("component").alias("key"))
     inside = group.join(targets, "component", "left_semi").select("component", "key").unionByName(lone)
-    own = _packs(inside.join(blobs, "key"))
-    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PACK_PARTS - 1))))
+    own = durable(_packs(inside.join(blobs, "key")), "packs")
+    # Items go to the parts that their component has: one for a lone item, PACK_PARTS for a large component.
+    spread = asked.join(own.select("component", "part").distinct(), "component")
     met = spread.join(own, ["component", "part"]).select("asks", "ask_blobs", "keys", "blobs")
 
     def run(batches):
@@ -483,10 +511,10 @@ def join_similar(docs: DataFrame) -> DataFrame:
     members, parts = survey(docs)
     found = durable(runs(index(docs, sum_sketch(parts))), "runs")
     pairs = durable(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    long_runs = found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct()
+    long_runs = durable(found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct(), "long_runs")
     # Pairs of one signature are within a long run or hold both of its items, so these are all keys that can be asked for.
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long_runs.select("key"))
-    blobs = blobs_of(docs, keys.distinct())
+    blobs = blobs_of(docs, durable(keys.distinct(), "keys"))
     links = verify(blobs, pairs)
     group = durable(_groups(links), "groups")
     late = durable(late_candidates(long_runs, members, group), "late")
