@@ -72,19 +72,24 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))  # type: ignore[return-value]
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether every sum of products stays exact in doubles."""
+    return not a.size or not b.size or a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) < 2.0**52
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact a @ b.T as longs: in doubles while every sum stays exact, else in Python's integers."""
     a, b = _same_width(a, b)
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    if a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) < 2.0**52:
+    if _exact(a, b):
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return np.clip(a.astype(object) @ b.astype(object).T, -_LONG - 1, _LONG).astype(np.int64)
 
 
 def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best rows of each query, by score, then id."""
-    order = np.lexsort((ids, -score, query))
+    order = np.lexsort((ids, ~score, query))  # ~ turns the order round and cannot overflow
     first = np.r_[True, query[order][1:] != query[order][:-1]] if len(order) else np.zeros(0, bool)
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     return order[rank < k]
@@ -136,8 +141,11 @@ def search_shard(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, ids:
     queries, cells = _same_width(queries, cells)
     starts = np.arange(0, len(cells), BLOCK)
     upper, lower = np.maximum.reduceat(cells, starts), np.minimum.reduceat(cells, starts)
-    bounds = inner(np.maximum(queries, 0), upper) + inner(np.minimum(queries, 0), lower)
-    order = np.argsort(-bounds, axis=1, kind="stable")
+    if _exact(queries, cells):
+        bounds = inner(np.maximum(queries, 0), upper) + inner(np.minimum(queries, 0), lower)
+    else:  # scores may be clipped, and sums of clipped parts bound nothing
+        bounds = np.full((len(queries), len(starts)), _LONG)
+    order = np.argsort(~bounds, axis=1, kind="stable")
     everyone, kth = np.arange(len(queries)), floors.copy()
     found = (np.zeros(0, np.int64),) * 3
     for turn in range(len(starts)):
