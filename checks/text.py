@@ -256,7 +256,7 @@ def _type(c):
     joined, snake = f"array_to_string({_words(c)}, '')", f"array_to_string({_words(c)}, '_')"
     known = " ".join(f"when '{a}' then '{b}'" for a, b in v.ATTRIBUTE_SYNONYMS.items())
     prefixes = " ".join(f"when starts_with({joined}, '{p}') then '{p}'" for p in v.ATTRIBUTE_PREFIXES)
-    return f"coalesce(case {joined} {known} end, case {prefixes} end, nullif(left({snake}, 32), ''), 'identifier')"
+    return f"coalesce(case {joined} {known} end, case {prefixes} end, nullif({snake}, ''), 'identifier')"
 
 
 def _event(c):
@@ -286,7 +286,7 @@ SQL = {
     "identity_keys": sql(f"""
         select k, p, {_key('phone', 'mobile')} as phone_key, {_key('email', 'email')} as email_key, {_key('address', 'street')} as address_key,
                {_key('national_id', 'passport')} as national_id_key, {_key('ip', 'login_ip')} as ip_key, {_key('device', 'device_id')} as device_key,
-               'national_id:' || left(sha256(lower(client_id)), 16) as hashed, '•••• ' || right(client_id, 4) as masked from messy""", "messy"),
+               'national_id:' || sha256(lower(client_id)) as hashed, '•••• ' || right(client_id, 4) as masked from messy""", "messy"),
     "values_read": sql(f"""
         select k, p, {_label('is_fraud')} as label, {_number('income')} as income, ({_date('opened')})::varchar as opened,
                {_name('first_name', 'last_name', 'client_id')} as name, nullif(concat_ws(', ', street, city), '') as address from messy""", "messy"),
@@ -297,7 +297,7 @@ SQL = {
                count(*) filter (client_id is null) as missing from messy""", "messy"),
     "numbered_ids": "select c_custkey, 'C' || lpad((row_number() over (order by c_custkey))::varchar, 6, '0') as customer_id from customer",
     "wide_links": sql(f"""
-        select client_id as customer_id, t as attribute_type, t || ':' || case when t = 'national_id' then left(sha256(key), 16) else key end as attribute_id,
+        select client_id as customer_id, t as attribute_type, t || ':' || case when t = 'national_id' then sha256(key) else key end as attribute_id,
                case when t = 'national_id' then '•••• ' || right(key, 4) else arg_min(trim(raw), p * 1000000000 + k) end as attribute_value
         from ({_LONG}) where key is not null group by client_id, t, key""", "messy"),
     "long_links": sql(f"""
@@ -305,7 +305,7 @@ SQL = {
                           'Value  ' || (5550000 + k % 50) as raw from (select c_custkey as k from customer)),
         keyed as (select *, case when t = 'phone' then {_key('phone', 'raw')} when t = 'email' then {_key('email', 'raw')} when t = 'address' then {_key('address', 'raw')}
                          when t in ('national_id', 'bank_account') then {_key('national_id', 'raw')} when t = 'ip' then {_key('ip', 'raw')} else {_key('device', 'raw')} end as key from long)
-        select who as customer_id, t as attribute_type, t || ':' || case when t in ('national_id', 'bank_account') then left(sha256(key), 16) else key end as attribute_id,
+        select who as customer_id, t as attribute_type, t || ':' || case when t in ('national_id', 'bank_account') then sha256(key) else key end as attribute_id,
                case when t in ('national_id', 'bank_account') then '•••• ' || right(key, 4) else raw end as attribute_value
         from keyed where key is not null and who in (select customer_id from cust)""", "cust"),
     "event_log": sql(f"""

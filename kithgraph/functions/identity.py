@@ -20,7 +20,7 @@ def lookup(mapping: dict[str, str], key: Column, default: Column | None = None)
 
 def strip(text: Column) -> Column:
     """Drop white space of every kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def placeholder_to_null(text: Column) -> Column:
@@ -60,7 +60,7 @@ def ip_key(text: Column) -> Column:
 
 
 def plain_key(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"\s+", " ")
+    return F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
 
 
 def key_of(kind: Column, text: Column) -> Column:
@@ -81,7 +81,7 @@ def identity_key(kind: Column, raw: Column) -> Column:
 
 
 def hashed(key: Column) -> Column:
-    return F.left(F.sha2(key, 256), F.lit(16))
+    return F.sha2(key, 256)
 
 
 def attribute_id(kind: Column, key: Column) -> Column:
@@ -107,7 +107,7 @@ def attribute_type(raw: Column) -> Column:
     result = lookup(v.ATTRIBUTE_SYNONYMS, joined)
     for prefix in v.ATTRIBUTE_PREFIXES:
         result = F.coalesce(result, F.when(joined.startswith(prefix), F.lit(prefix)))
-    snake = F.left(F.array_join(words, "_"), F.lit(32))
+    snake = F.array_join(words, "_")
     return F.coalesce(result, F.nullif(snake, F.lit("")), F.lit("identifier"))
 
 

@@ -17,10 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import settings
 from .models import ScoringModel
 
-# Orders per customer, and the number of customers from which fewer are used.
+# Fixed value: orders per customer, at every table size.
 ORDERS = 12
-ORDERS_LARGE = 4
-LARGE = 50_000
 
 
 def paired_orders(features: list[str], count: int, seed: int = settings.SEED) -> list[list[str]]:
@@ -49,18 +47,15 @@ def switched_sets(orders: list[list[str]], features: list[str]) -> list[dict]:
     ]
 
 
-def shapley(model: ScoringModel, frame: DataFrame, baseline: dict[str, float], orders: int | None = None) -> DataFrame:
+def shapley(model: ScoringModel, frame: DataFrame, baseline: dict[str, float], orders: int = ORDERS) -> DataFrame:
     """``customer_id, risk, baseline_score, phi_<feature>``; the phi of a row add up to risk - baseline_score.
 
-    A feature at the baseline in every row is left out of the orders and earns nothing.
+    The orders depend on the features of the model only, so a customer's contributions do not change
+    with the other rows. A feature at the baseline in every row earns nothing and is not switched.
     """
     features = model.features
-    moves = frame.agg(
-        F.count("*").alias("_n"), *[F.max(F.col(f) != F.lit(baseline[f])).alias(f) for f in features]
-    ).first()
+    moves = frame.agg(*[F.max(F.col(f) != F.lit(baseline[f])).alias(f) for f in features]).first()
     moving = [f for f in features if moves[f]]
-    if orders is None:
-        orders = ORDERS if moves["_n"] <= LARGE else ORDERS_LARGE
     spark = frame.sparkSession
     typical = spark.range(1).select(F.lit("typical").alias("customer_id"), *[F.lit(float(baseline[f])).alias(f) for f in features])
     baseline_score = float(model.score(typical).first()["risk"])
@@ -68,7 +63,8 @@ def shapley(model: ScoringModel, frame: DataFrame, baseline: dict[str, float], o
         return model.score(frame).select(
             "customer_id", "risk", F.lit(baseline_score).alias("baseline_score"), *[F.lit(0.0).alias(f"phi_{f}") for f in features]
         )
-    sets = switched_sets(paired_orders(moving, orders), moving)
+    drawn = [[f for f in order if f in moving] for order in paired_orders(features, orders)]
+    sets = switched_sets(drawn, moving)
     layout = F.from_json(F.lit(json.dumps(sets)), "array<struct<off:array<boolean>,credit:array<double>>>")
     typical_values = F.array(*[F.lit(float(baseline[f])) for f in moving])
     values = F.array(*[F.col(f).cast("double") for f in moving])

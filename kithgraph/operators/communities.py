@@ -7,19 +7,24 @@ Results are deterministic.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from .components import connected_components
 from .edges import ENDS
 
-MAX_ROUNDS = 24
-MAX_LEVELS = 12
-
-
 def _local_moves(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Move nodes to the neighbouring community of largest modularity gain until none improves."""
-    for round_no in range(MAX_ROUNDS):
+    """Move nodes to the neighbouring community of largest modularity gain until none improves.
+
+    Moves made at once can lower the modularity together, though each alone would raise it. Every
+    round therefore also keeps a safe move, the best single one of each component. A component whose
+    joint moves brought nothing goes back to its safe move, so its modularity rises at least every
+    second round and the loop ends by itself.
+    """
+    nodes = nodes.select("*", F.col("community").alias("safe"), F.lit(None).cast("double").alias("reached"))
+    for round_no in count():
         placed = nodes.select("node", "community")
         near = (
             adjacency.join(placed.withColumnRenamed("node", "other"), "other")
@@ -32,26 +37,39 @@ def _local_moves(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
         others_mass = F.col("mass") - F.when(own, F.col("strength")).otherwise(0.0)
         gain = F.round(F.col("inside") - F.col("strength") * others_mass / F.col("total"), 9)
         choice = F.min(F.struct((-gain).alias("loss"), (~own).alias("foreign"), "community"))
-        moved = (
+        # The part of a node in the modularity of its component: its links inside minus those expected.
+        part = F.max(F.when(own, F.col("inside") - F.col("strength") * F.col("mass") / F.col("total")))
+        moved = durable(
             near.join(mass, "community")
             .join(nodes.withColumnRenamed("community", "now"), "node")
-            .groupBy("node", "now", "strength", "total")
-            .agg(choice.alias("best"))
+            .groupBy("node", "now", "safe", "reached", "component_id", "strength", "total")
+            .agg(choice.alias("best"), F.max(F.when(own, gain)).alias("stay"), part.alias("part"))
+            .withColumn("better", F.col("best.community") != F.col("now")),
+            "moves",
+        )
+        single = F.min(F.when(F.col("better"), F.struct((F.col("best.loss") + F.col("stay")).alias("loss"), "node")))
+        state = moved.groupBy("component_id").agg(
+            F.round(F.sum("part"), 9).alias("modularity"), F.max("reached").alias("before"), single["node"].alias("mover")
         )
+        fell = F.coalesce(F.col("modularity") <= F.col("before"), F.lit(False))
         turn = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(2)) == 0
-        better = F.col("best.community") != F.col("now")
+        alone = F.when(F.col("node") == F.col("mover"), F.col("best.community")).otherwise(F.col("now"))
+        joint = F.when(turn, F.col("best.community")).otherwise(F.col("now"))
         nodes = durable(
-            moved.select(
-                "node", F.when(turn, F.col("best.community")).otherwise(F.col("now")).alias("community"),
-                "strength", "total", better.alias("better"),
+            moved.join(state, "component_id").select(
+                "node", F.when(fell, F.col("safe")).otherwise(joint).alias("community"), "component_id", "strength", "total",
+                F.when(fell, F.col("safe")).otherwise(alone).alias("safe"),
+                # After going back there is nothing to compare with: the safe move is known to gain.
+                F.when(~fell, F.col("modularity")).alias("reached"),
+                (fell | F.col("mover").isNotNull()).alias("moving"),
             ),
             "moves",
         )
-        settled = nodes.filter("better").isEmpty()
-        nodes = nodes.drop("better")
+        settled = nodes.filter("moving").isEmpty()
+        nodes = nodes.drop("moving")
         if settled:
             break
-    return nodes
+    return nodes.drop("safe", "reached")
 
 
 def communities(edges: DataFrame, component: DataFrame) -> DataFrame:
@@ -74,12 +92,13 @@ def communities(edges: DataFrame, component: DataFrame) -> DataFrame:
     total = placed.groupBy("component_id").agg(F.sum("strength").alias("total"))
     nodes = durable(
         placed.join(total, "component_id").select(
-            F.col("customer_id").alias("node"), F.col("customer_id").alias("community"), "strength", "total"
+            F.col("customer_id").alias("node"), F.col("customer_id").alias("community"), "component_id", "strength", "total"
         ),
         "nodes",
     )
     membership = None
-    for _ in range(MAX_LEVELS):
+    # Each level but the last has fewer nodes than the one before.
+    while True:
         before = nodes.count()
         nodes = _local_moves(nodes, adjacency)
         step = nodes.select("node", "community")
@@ -90,9 +109,9 @@ def communities(edges: DataFrame, component: DataFrame) -> DataFrame:
                 membership.withColumnRenamed("community", "node").join(step, "node").drop("node"), "membership"
             )
         merged = nodes.groupBy(F.col("community").alias("node")).agg(
-            F.sum("strength").alias("strength"), F.first("total").alias("total")
+            F.sum("strength").alias("strength"), F.first("total").alias("total"), F.first("component_id").alias("component_id")
         ).withColumn("community", F.col("node"))
-        merged = durable(merged.select("node", "community", "strength", "total"), "nodes")
+        merged = durable(merged.select("node", "community", "component_id", "strength", "total"), "nodes")
         if merged.count() == before:
             break
         adjacency = durable(

@@ -52,21 +52,20 @@ def ego_network(edges: DataFrame, customer_id: str, hops: int = 2, max_nodes: in
     return spark.createDataFrame(found, schema), truncated
 
 
-def boundary_accounts(membership: DataFrame, edges: DataFrame, ring_id: str, top: int = BOUNDARY_ROWS) -> DataFrame:
-    """Outside accounts with the most links into a ring (ties by id)."""
+def boundary_accounts(membership: DataFrame, edges: DataFrame, ring_id: str, top: int | None = BOUNDARY_ROWS) -> DataFrame:
+    """The ``top`` outside accounts (all for None) with the most links into a ring (ties by id)."""
     inside = membership.filter(F.col("ring_id") == ring_id).select("customer_id")
     links = both_directions(edges.select(*ENDS)).join(inside, "customer_id", "left_semi")
     outside = links.join(inside.withColumnRenamed("customer_id", "other_id"), "other_id", "left_anti")
-    return (
-        outside.groupBy(F.col("other_id").alias("customer_id")).agg(F.count("*").alias("links"))
-        .orderBy(F.desc("links"), "customer_id").limit(top)
-    )
+    counted = outside.groupBy(F.col("other_id").alias("customer_id")).agg(F.count("*").alias("links"))
+    ordered = counted.orderBy(F.desc("links"), "customer_id")
+    return ordered if top is None else ordered.limit(top)
 
 
-def ring_graph(membership: DataFrame, edges: DataFrame, ring_id: str) -> tuple[DataFrame, DataFrame]:
-    """Members and boundary accounts with a member flag, and the edges among them."""
+def ring_graph(membership: DataFrame, edges: DataFrame, ring_id: str, top: int | None = BOUNDARY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Members and the ``top`` boundary accounts (all for None) with a member flag, and the edges among them."""
     inside = membership.filter(F.col("ring_id") == ring_id).select("customer_id", F.lit(True).alias("member"))
-    outside = boundary_accounts(membership, edges, ring_id).select("customer_id", F.lit(False).alias("member"))
+    outside = boundary_accounts(membership, edges, ring_id, top).select("customer_id", F.lit(False).alias("member"))
     nodes = inside.unionByName(outside)
     return nodes, induced_subgraph(nodes, edges)
 

@@ -7,6 +7,8 @@ once, and shifted by the row counts (or sums) of the ranges before: one number p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
@@ -54,9 +56,12 @@ def with_rank_within(df: DataFrame, groups: list[str], order: list[Column], name
         pieces.withColumn("_carry", F.sum("n").over(earlier)).filter("_carry > 0").drop("n")
     )
     inside = F.row_number().over(Window.partitionBy("_range", *groups).orderBy("_at"))
+    carries = carries.select("_carry", *[F.col(g).alias(f"_of_{g}") for g in ["_range", *groups]])
+    # A NULL group crosses borders like any other.
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in ["_range", *groups]])
     return (
         laid.withColumn("_inside", inside)
-        .join(F.broadcast(carries), ["_range", *groups], "left")
+        .join(F.broadcast(carries), same, "left")
         .select(*df.columns, (F.col("_inside") + F.coalesce("_carry", F.lit(0))).cast("bigint").alias(name))
     )
 

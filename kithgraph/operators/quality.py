@@ -17,8 +17,13 @@ def ring_size_distribution(truth: DataFrame) -> DataFrame:
 
 
 def value_edges(frame: DataFrame, column: str, bins: int) -> list[float]:
-    """Edges of equal bins between the smallest and the largest value: one row reaches the driver."""
-    low, high = frame.agg(F.min(column), F.max(column)).first()
+    """Edges of equal bins between the smallest and the largest value: one row reaches the driver.
+
+    A column without values gets the bins of 0 to 1, all empty.
+    """
+    low, high = frame.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    if low is None:
+        low, high = 0.0, 1.0
     width = (high - low) / bins
     return [low + i * width for i in range(bins)] + [float(high)]
 
@@ -34,18 +39,22 @@ def class_histogram(frame: DataFrame, column: str, bins: int = 20, edges: list[f
 
 
 def distribution_gap(frame: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Relative difference of the class means and the mean difference of the binned densities."""
+    """Relative difference of the class means and the mean difference of the binned densities.
+
+    NULL where a measure has no meaning: no relative difference to a mean of 0, no density of a constant column.
+    """
     edges = value_edges(frame, column, bins)
     one = F.lit(1).alias("_one")
     means = frame.agg(
         F.avg(F.when(F.col("label") == 0, F.col(column))).alias("legit_mean"),
         F.avg(F.when(F.col("label") == 1, F.col(column))).alias("fraud_mean"),
     )
-    relative = F.abs(F.col("legit_mean") - F.col("fraud_mean")) / F.col("legit_mean")
+    relative = F.try_divide(F.abs(F.col("legit_mean") - F.col("fraud_mean")), F.col("legit_mean"))
     histogram = class_histogram(frame, column, bins, edges)
     totals = histogram.agg(F.sum("legitimate").alias("l"), F.sum("fraud").alias("f")).first()
     width = F.lit((edges[-1] - edges[0]) / bins)
-    gap = F.sum(F.abs(F.col("legitimate") / (totals["l"] or 1) - F.col("fraud") / (totals["f"] or 1)) / width) / bins
+    share = F.abs(F.col("legitimate") / (totals["l"] or 1) - F.col("fraud") / (totals["f"] or 1))
+    gap = F.sum(F.try_divide(share, width)) / bins
     variation = histogram.agg(gap.alias("total_variation")).select("*", one)
     return means.select(relative.alias("mean_difference"), one).join(variation, "_one").drop("_one")
 

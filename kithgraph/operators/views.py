@@ -18,7 +18,6 @@ BRIEF = [
     "analyst_label",
 ]
 SORTS = ("risk", "name", "degree", "customer_id")
-EVENT_ROWS = 1000
 
 
 def briefs(customers: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,8 +129,10 @@ def queue_links(ranked: DataFrame) -> DataFrame:
     return near.join(left, ["suspected", "place"], "left").join(right, ["suspected", "place"], "left")
 
 
-def customer_events(events: DataFrame, customer_id: str) -> DataFrame:
-    return events.filter(F.col("customer_id") == customer_id).orderBy("event_date").limit(EVENT_ROWS)
+def customer_events(events: DataFrame, customer_id: str, rows: int | None = None) -> DataFrame:
+    """A customer's events by date: all of them, or the first ``rows``."""
+    ordered = events.filter(F.col("customer_id") == customer_id).orderBy("event_date")
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def connections(customers: DataFrame, edges: DataFrame, labels: DataFrame, customer_id: str) -> DataFrame:
