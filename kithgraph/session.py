@@ -65,3 +65,10 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, as the file system of the path tells."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place))
