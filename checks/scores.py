@@ -299,9 +299,9 @@ SQL = {
         select group_id, ((row_number() over (partition by pos > 0 order by size desc, md5('42' || group_id), group_id) - 1)
                  % (select least(5, count(*) filter (pos > 0), count(*) filter (size > pos)) from g))::int as fold from g""", "grp"),
     "training_possible": sql("""
-        select *, (n_fraud >= 10 and n_legit >= 10 and fraud_groups >= 2)::int as possible
+        select *, (n_fraud >= 10 and n_legit >= 10 and fraud_groups >= 2 and legit_groups >= 2)::int as possible
         from (select count(*) filter (label = 1) as n_fraud, count(*) filter (label = 0) as n_legit,
-                     count(distinct group_id) filter (label = 1) as fraud_groups from grp)""", "grp"),
+                     count(distinct group_id) filter (label = 1) as fraud_groups, count(distinct group_id) filter (label = 0) as legit_groups from grp)""", "grp"),
     "split_report": sql("""
         select side, count(*) as customers, count(*) filter (label = 1) as fraud, count(distinct truth_ring) filter (label = 1) as rings
         from sides join cust using (customer_id) group by 1""", "sides"),

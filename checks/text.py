@@ -178,7 +178,27 @@ def restored(spark, d):
     return restore_types(t, ["income"], ["truth_ring"])
 
 
+# Every order's known moment, written in one of these shapes; the seconds since midnight are given by the order key.
+WRITTEN = [
+    "M/d/yyyy h:mm:ss a", "d MMM yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MMM d, yyyy H:mm:ss", "dd-MMM-yy HH:mm:ss", "yyyyMMdd'T'HHmmss",
+    "d MMMM yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d'T'HH:mm:ss'+00:00'", "MMMM d yyyy hh:mm:ss a",
+]
+
+
+def moments_read(spark, d):
+    """Dates with a time of day in many shapes, some behind spaces that do not break."""
+    o = fx.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    moment = F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400 + F.col("o_orderkey") * 7919 % 86400)
+    shape = F.col("o_orderkey") % len(WRITTEN)
+    text = F.lit(None).cast("string")
+    for i, pattern in enumerate(WRITTEN):
+        text = F.when(shape == i, F.date_format(moment, pattern)).otherwise(text)
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("\u00a0"), text)).otherwise(text)
+    return o.select("o_orderkey", F.unix_seconds(val.to_moment(text)).alias("seconds"))
+
+
 QUERIES = {
+    "moments_read": moments_read,
     "identity_keys": identity_keys,
     "values_read": values_read,
     "type_names": type_names,
@@ -283,6 +303,7 @@ _SOURCES = [("phone", "mobile"), ("email", "email"), ("address", "nullif(concat_
 _LONG = " union all ".join(f"select client_id, k, p, '{t}' as t, {c} as raw, {_key(t, c)} as key from messy where client_id is not null" for t, c in _SOURCES)
 
 SQL = {
+    "moments_read": "select o_orderkey, (epoch(o_orderdate::date)::bigint + o_orderkey * 7919 % 86400)::bigint as seconds from orders",
     "identity_keys": sql(f"""
         select k, p, {_key('phone', 'mobile')} as phone_key, {_key('email', 'email')} as email_key, {_key('address', 'street')} as address_key,
                {_key('national_id', 'passport')} as national_id_key, {_key('ip', 'login_ip')} as ip_key, {_key('device', 'device_id')} as device_key,

@@ -7,32 +7,35 @@ from pyspark.sql import Column, functions as F
 from . import vocabulary as v
 
 # Text removed from a number, and what then counts as a number.
-NUMBER_NOISE = r"[,\s$€£₹%]"
+NUMBER_NOISE = r"(?U)[,\s$€£₹%]"
 NUMBER_SHAPE = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 
 ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$"
 
-# Accepted date shapes and how each is read; month first where both readings fit.
+# Accepted shapes of a date and how each is read; month first where both readings fit.
 DATE_SHAPES = [
-    (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", ["d MMMM yyyy"]),
-    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d yyyy"]),
-    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", ["MMMM d yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ["M/d/yyyy H:mm", "d/M/yyyy H:mm"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ["M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss"]),
+    (r"\d{8}", ["yyyyMMdd"]),
+    (r"\d{4}-\d{1,2}-\d{1,2}", ["yyyy-M-d"]),
+    (r"\d{4}/\d{1,2}/\d{1,2}", ["yyyy/M/d"]),
+    (r"\d{1,2}/\d{1,2}/\d{4}", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"\d{1,2}/\d{1,2}/\d{2}", ["M/d/yy", "d/M/yy"]),
+    (r"\d{1,2}-\d{1,2}-\d{4}", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", ["M.d.yyyy", "d.M.yyyy"]),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", ["d MMM yyyy"]),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{4}", ["d-MMM-yyyy"]),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{2}", ["d-MMM-yy"]),
+    (r"\d{1,2} [A-Za-z]{4,} \d{4}", ["d MMMM yyyy"]),
+    (r"[A-Za-z]{3} \d{1,2} \d{4}", ["MMM d yyyy"]),
+    (r"[A-Za-z]{4,} \d{1,2} \d{4}", ["MMMM d yyyy"]),
 ]
+# A time of day may follow, of 12 or 24 hours, with a fraction and an offset, or as plain digits.
+CLOCK_SHAPE = r"([T ]\d.*)?$"
+CLOCK = "[['T'][ ]h:mm[:ss][.SSSSSS][ ]a][['T'][ ]H:mm[:ss][.SSSSSS][ ][XXX]]['T'HHmmss]"
 
 
 def parse_label(text: Column) -> Column:
     """1, 0 or NULL."""
-    word = F.lower(F.trim(text))
+    word = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
     return F.when(word.isin(v.POSITIVE_WORDS), F.lit(1)).when(word.isin(v.NEGATIVE_WORDS), F.lit(0))
 
 
@@ -42,23 +45,24 @@ def to_number(text: Column) -> Column:
 
 
 def to_moment(text: Column) -> Column:
-    """Timestamp of a date written in any accepted shape, NULL when unreadable.
+    """Timestamp of a date, with or without a time of day, written in any accepted shape; NULL when unreadable.
 
     The shape decides the format first, so a row pays for one or two parses and not for a failed
     parse per format.
     """
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    parsed = None
+    text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    plain = F.regexp_replace(F.regexp_replace(text, ",", ""), r"(?i)\bsept\b", "Sep")
+    parsed = F.when(text.rlike(ISO_SHAPE) & text.try_cast("timestamp").isNotNull(), text.try_cast("timestamp"))
     for shape, formats in DATE_SHAPES:
-        source = F.regexp_replace(text, ",", "")
-        reading = F.coalesce(*[F.try_to_timestamp(source, F.lit(f)) for f in formats])
-        hit = text.rlike(shape)
-        parsed = F.when(hit, reading) if parsed is None else parsed.when(hit, reading)
-    return parsed.otherwise(F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp")))
+        reading = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f + CLOCK)) for f in formats])
+        if formats[0].endswith(("/yy", "-yy")):  # 69 to 99 are years of the last century
+            reading = F.when(F.year(reading) >= 2069, reading - F.expr("interval 100 years")).otherwise(reading)
+        parsed = parsed.when(plain.rlike(f"^{shape}{CLOCK_SHAPE}"), reading)
+    return parsed
 
 
 def full_name(parts: list[Column], fallback: Column) -> Column:
-    joined = F.trim(F.regexp_replace(F.concat_ws(" ", *parts), r"\s+", " "))
+    joined = F.trim(F.regexp_replace(F.concat_ws(" ", *parts), r"(?U)\s+", " "))
     return F.coalesce(F.nullif(joined, F.lit("")), fallback)
 
 

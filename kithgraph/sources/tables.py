@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.identity import strip
 from ..functions.metadata import InputError
 
+# The text of a CSV record that does not have the fields of the header.
+RECORD = "_record"
 # Position of a row in its source: file, byte offset of the block, then order inside the block.
 ROW = "_row"
 
@@ -30,33 +33,58 @@ def as_text(frame: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", rows: int | None = None) -> DataFrame:
-    """A CSV, Parquet or JSON table as text columns plus the row position, with the usual upload checks."""
+def _surplus(record: Column, fields: int, sep: str) -> Column:
+    """Whether a CSV record has more fields than the header: it is counted by separators outside quoted cells."""
+    mark = re.escape(sep)
+    bare = F.regexp_replace(record, rf'(^|{mark})\s*"[^"]*(?:""[^"]*)*"', "$1")
+    return F.regexp_count(bare, F.lit(mark)) >= fields
+
+
+def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
+    if not first:
+        raise InputError(f"{path} is empty.")
+    header = [h.strip().lstrip("\ufeff") for h in next(csv.reader([first[0][0]], delimiter=sep))]
+    named = [h for h in header if h]
+    if len(set(named)) < len(named):
+        raise InputError(f"{path} names a column twice.")
+    if RECORD in named:
+        raise InputError(f"{RECORD} is a reserved column name.")
+    return [h or f"_unnamed_{i}" for i, h in enumerate(header)]
+
+
+def read_table(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", rows: int | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """A CSV, Parquet or JSON table as text columns plus the row position, with the usual upload checks.
+
+    A CSV cell in quotes may hold line breaks. To know where a row ends a file is then read from its start by one task;
+    ``line_breaks=False`` is for large files without such cells and lets them be split. A row with more fields than the
+    header is an error; missing fields at the end of a row are NULL.
+    """
+    checks = [F.count("*").alias("_n")]
     if path.rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(path)
     elif path.rstrip("/").endswith(".json"):
         raw = spark.read.json(path)
     else:
-        first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-        if not first:
-            raise InputError(f"{path}: the file is empty.")
-        header = [h.strip().lstrip("﻿") for h in next(csv.reader([first[0][0]], delimiter=sep))]
-        named = [h for h in header if h]
-        if len(set(named)) < len(named):
-            raise InputError(f"{path}: column names must be unique.")
-        names = [h or f"_unnamed_{i}" for i, h in enumerate(header)]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        names = _header(spark, path, sep, encoding)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RECORD]])
         raw = spark.read.csv(
-            path, schema=schema, header=True, sep=sep, encoding=encoding, enforceSchema=True,
-            ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"',
+            path, schema=schema, header=True, sep=sep, encoding=encoding, enforceSchema=True, multiLine=line_breaks,
+            ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"', columnNameOfCorruptRecord=RECORD,
         )
+        # Spark tells the fields of a record only where all columns are read.
+        checks.append(F.max(F.xxhash64(*[F.col(f"`{n}`") for n in names])).alias("_all"))
+        checks.append(F.min(F.when(_surplus(F.col(RECORD), len(names), sep), F.col(RECORD))).alias("_bad"))
     frame = as_text(raw)
     blank = [c for c in frame.columns if c.startswith("_unnamed_")]
-    if blank:
-        used = frame.agg(*[F.count(F.col(c)).alias(c) for c in blank]).first()
-        frame = frame.drop(*[c for c in blank if not used[c]])
-    if frame.isEmpty():
-        raise InputError(f"{path}: no rows found.")
+    checked = frame.agg(*checks, *[F.count(F.col(c)).alias(c) for c in blank]).first()
+    if not checked["_n"]:
+        raise InputError(f"{path} has no rows.")
+    if len(checks) > 1 and checked["_bad"] is not None:
+        raise InputError(f"{path} has a row with more fields than the header: {checked['_bad'][:200]}")
+    frame = frame.drop(RECORD, *[c for c in blank if not checked[c]])
     return frame if rows is None else frame.orderBy(ROW).limit(rows)
 
 

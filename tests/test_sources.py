@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
+from kithgraph.functions.metadata import InputError
 from kithgraph.model import LINKS
 from kithgraph.sources.sinks import from_json_columns, write_csv
 from kithgraph.sources.tables import read_table, read_typed
@@ -30,6 +31,39 @@ def test_uploads_may_be_parquet_and_use_other_separators(spark, tmp_path):
     assert [c for c in table.columns if c != "_row"] == ["id", "t"] and table.filter("t = 'x'").count() == 1
 
 
+def test_csv_cells_keep_line_breaks_and_surplus_fields_are_an_error(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('id,street,city\nc1,"12 Main\nStreet",A\nc2,"1, ""High"" Road"\n')
+    rows = {r["id"]: (r["street"], r["city"]) for r in read_table(spark, str(tmp_path / "b.csv")).collect()}
+    assert rows == {"c1": ("12 Main\nStreet", "A"), "c2": ('1, "High" Road', None)}
+    (tmp_path / "s.csv").write_text("id,street\nc1,1 Low Road\nc2,12 Main, Street\n")
+    for line_breaks in (True, False):
+        with pytest.raises(InputError, match="more fields"):
+            read_table(spark, str(tmp_path / "s.csv"), line_breaks=line_breaks)
+    (tmp_path / "e.csv").write_text("id,street\n")
+    with pytest.raises(InputError, match="no rows"):
+        read_table(spark, str(tmp_path / "e.csv"))
+
+
+def test_dates_with_times_and_spaces_of_every_kind(spark):
+    from pyspark.sql import functions as F
+
+    from kithgraph.functions.identity import identity_key
+    from kithgraph.functions.values import to_moment
+
+    cases = {
+        "3/4/2025 5:06 PM": "2025-03-04 17:06:00", "1 Mar 2025 10:00": "2025-03-01 10:00:00", "2025/03/04 10:00": "2025-03-04 10:00:00",
+        "Mar 5 2025 10:00": "2025-03-05 10:00:00", "04-Mar-25": "2025-03-04 00:00:00", "15 Sept 2025": "2025-09-15 00:00:00",
+        "20250304T101112": "2025-03-04 10:11:12", "13/1/2025 0:05": "2025-01-13 00:05:00", "12/31/2024 12:00 am": "2024-12-31 00:00:00",
+        "1 Mar 2025 10:00 +02:00": "2025-03-01 08:00:00", "2025-03-04T10:11:12Z": "2025-03-04 10:11:12", "2025": "2025-01-01 00:00:00",
+        "1 Mar 2025 25:00": None, "13 May 2025 13:00 PM": None, "soon": None, "": None, "31/31/2025": None,
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["m"] for r in frame.select("t", to_moment(F.col("t")).cast("string").alias("m")).collect()}
+    assert got == cases
+    keys = spark.createDataFrame([("device", "\u00a0N/A\u00a0"), ("email", "\u00a0A@b.example")], "k string, v string")
+    assert [r[0] for r in keys.select(identity_key(F.col("k"), F.col("v"))).collect()] == [None, "a@b.example"]
+
+
 def test_nested_columns_survive_csv(spark, tmp_path):
     spark.createDataFrame([("a", ["x", "y"])], "id string, m array<string>").write.parquet(str(tmp_path / "n"))
     write_csv(spark.read.parquet(str(tmp_path / "n")), str(tmp_path / "n_csv"))
