@@ -4,7 +4,8 @@ Equal vectors of one label are taken together first. Each label is split, level
 bounded size, and a vector goes to its ``overlap`` nearest pivots, so the cells are overlapping cluster shards. In every
 shard each vector gets robust-pruned neighbours; the lists of all shards are united. Then a beam search over the united
 lists starts from the shard's medoid and the vector itself, and once it is within range it expands through everything in
-range. Pairs are verified by cosine in double precision. Last, the links of a fixed-size sample of vectors are compared
+range. A search leaves its shard: round by round it goes on in the other shards of what is in range and of the best points
+that it met, entering by these points, until there is no such shard left. Pairs are verified by cosine in double precision. Last, the links of a fixed-size sample of vectors are compared
 with brute force over all rows; if too few were found, the shards are rebuilt with more overlap.
 
 Defined results: vectors that are NULL, zero, or hold NULL or non-finite components, and rows without a label, link with
@@ -152,11 +153,9 @@ def build_shard(unit: np.ndarray) -> list[np.ndarray]:
     return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
 
 
-def search_range(unit: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (point, other point in range) met by a range-expanding greedy search for every point."""
+def search_range(unit: np.ndarray, lists: list[np.ndarray], least: float, asked: np.ndarray, entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list]:
+    """Pairs (asked vector, point in range) met by a range-expanding greedy search from the entries; the best points of each with scores."""
     n = len(unit)
-    if n < 2:
-        return np.zeros(0, int), np.zeros(0, int)
     sizes = np.array([len(x) for x in lists])
     starts, flat = np.cumsum(sizes) - sizes, np.concatenate(lists).astype(int)
 
@@ -165,29 +164,28 @@ def search_range(unit: np.ndarray, lists: list[np.ndarray], least: float) -> tup
         at = np.repeat(np.arange(len(v)), sizes[v])
         return at, flat[np.arange(len(at)) - np.repeat(np.cumsum(sizes[v]) - sizes[v], sizes[v]) + starts[v][at]]
 
-    medoid = int(np.argmax(unit @ unit.mean(axis=0)))
-    asks, others = [], []
-    for low in range(0, n, SEARCHES):
-        q = np.arange(low, min(n, low + SEARCHES))
+    asks, others, best_of = [], [], []
+    for low in range(0, len(asked), SEARCHES):
+        q = asked[low : low + SEARCHES]
         met = np.zeros((len(q), n), bool)
         rows = np.arange(len(q))
-        beam = np.stack([np.full(len(q), medoid), q], axis=1)
-        met[rows[:, None], beam] = True
-        score = np.einsum("ij,ikj->ik", unit[q], unit[beam])
-        opened = np.zeros(beam.shape, bool)
-        inside = [(rows, q)]
-        for _ in range(HOPS):
-            at = np.where(opened, -9.0, score).argmax(axis=1)
-            go = ~opened[rows, at]
-            if not go.any():
-                break
-            opened[rows[go], at[go]] = True
-            r, v = neighbours(beam[rows[go], at[go]])
-            r = rows[go][r]
+        beam, score, opened = np.zeros((len(q), 0), int), np.zeros((len(q), 0)), np.zeros((len(q), 0), bool)
+        inside = []
+        first = entries[low : low + SEARCHES]
+        r, v = np.repeat(rows, [len(x) for x in first]), np.concatenate(first).astype(int)
+        for hop in range(HOPS + 1):
+            if hop:
+                at = np.where(opened, -9.0, score).argmax(axis=1)
+                go = ~opened[rows, at]
+                if not go.any():
+                    break
+                opened[rows[go], at[go]] = True
+                r, v = neighbours(beam[rows[go], at[go]])
+                r = rows[go][r]
             new = ~met[r, v]
             r, v = r[new], v[new]
             met[r, v] = True
-            value = np.einsum("ij,ij->i", unit[q[r]], unit[v])
+            value = np.einsum("ij,ij->i", q[r], unit[v])
             inside.append((r[value >= least], v[value >= least]))
             counts = np.bincount(r, minlength=len(q))
             column = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -197,9 +195,10 @@ def search_range(unit: np.ndarray, lists: list[np.ndarray], least: float) -> tup
             opened = np.concatenate([opened, values < -2], 1)
             best = np.argsort(-score, axis=1, kind="stable")[:, :BEAM]
             beam, score, opened = (np.take_along_axis(x, best, 1) for x in (beam, score, opened))
+        best_of += [[(float(s), int(v)) for s, v in zip(x, y, strict=True) if s > -2] for x, y in zip(score, beam, strict=True)]
         r, v = (np.concatenate(x) for x in zip(*inside, strict=True))
         while len(r):  # in range: go on through all neighbours of what is in range
-            asks.append(q[r])
+            asks.append(low + r)
             others.append(v)
             at, b = neighbours(v)
             pairs = np.unique(r[at] * n + b)
@@ -207,10 +206,104 @@ def search_range(unit: np.ndarray, lists: list[np.ndarray], least: float) -> tup
             new = ~met[a, b]
             a, b = a[new], b[new]
             met[a, b] = True
-            hit = np.einsum("ij,ij->i", unit[q[a]], unit[b]) >= least
+            hit = np.einsum("ij,ij->i", q[a], unit[b]) >= least
             r, v = a[hit], b[hit]
-    a, b = np.concatenate(asks), np.concatenate(others)
-    return a[a != b], b[a != b]
+    empty = [np.zeros(0, int)]
+    return np.concatenate(asks or empty), np.concatenate(others or empty), best_of
+
+
+VISIT = "cell string, q bigint, entries array<bigint>, inside array<bigint>, beam array<struct<score: double, id: bigint, homes: array<string>>>, moves array<struct<cell: string, ids: array<bigint>>>"
+
+
+def visit_cells(laid: DataFrame, least: float) -> DataFrame:
+    """One row for each search in a cell: what is in range, the best points, and the other cells of what is in range.
+
+    ``laid`` has ``cell, part, asks, id, vector, near, homes``: the points of a cell, then the vectors that ask there with the
+    points they enter by. A point that asks in its own cell enters by itself and the medoid.
+    """
+
+    def answer(cell, names, raw, unit, lists, homes, place, asks):
+        medoid = int(np.argmax(unit @ unit.mean(axis=0)))
+        asked = _unit([r[4] for r in asks])
+        entries = [np.unique([medoid, place[r[3]]]) if r[5] is None else np.array([place[x] for x in r[5]], int) for r in asks]
+        a, b, best = search_range(unit, lists, least - 1e-9, asked, entries)
+        own = np.array([r[3] for r in asks])
+        keep = names[b] != own[a]
+        a, b = a[keep], b[keep]
+        keep = np.zeros(len(a), bool)
+        given = [np.frombuffer(r[4], np.float64) for r in asks]
+        for i in range(0, len(a), 4096):
+            x, y = np.stack([given[j] for j in a[i : i + 4096]]), np.stack([raw[j] for j in b[i : i + 4096]])
+            keep[i : i + 4096] = cosines(x, y) >= least
+        inside: list[list] = [[] for _ in asks]
+        moves: list[dict] = [{} for _ in asks]
+        for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+            inside[i].append(int(names[j]))
+            for home in homes[j]:
+                moves[i].setdefault(home, []).append(int(names[j]))
+        rows = [
+            {
+                "cell": cell, "q": r[3], "entries": r[5] or [], "inside": inside[i],
+                "beam": [{"score": round(s, 9), "id": int(names[v]), "homes": homes[v]} for s, v in best[i]],
+                "moves": [{"cell": c, "ids": ids} for c, ids in moves[i].items()],
+            }
+            for i, r in enumerate(asks)
+        ]
+        return pa.RecordBatch.from_pylist(rows, VISIT_ARROW)
+
+    def run(batches):
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (cell, _), group in groupby(rows, key=lambda r: r[:2]):
+            points, asks, shard = [], [], None
+            for r in group:
+                if r[2] != 1:
+                    points.append(r)
+                if r[2] == 0:
+                    continue
+                asks.append(r if r[2] == 1 else (*r[:5], None))
+                if r[2] == 1 and len(asks) == 512:
+                    shard = shard or _shard(cell, points)
+                    yield answer(cell, *shard, asks)
+                    asks = []
+            shard = shard or _shard(cell, points)
+            for i in range(0, len(asks), 512):
+                yield answer(cell, *shard, asks[i : i + 512])
+
+    return laid.select("cell", "part", "asks", "id", "vector", "near", "homes").mapInArrow(run, VISIT)
+
+
+VISIT_ARROW = pa.schema([
+    ("cell", pa.string()), ("q", pa.int64()), ("entries", pa.list_(pa.int64())), ("inside", pa.list_(pa.int64())),
+    ("beam", pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64()), ("homes", pa.list_(pa.string()))]))),
+    ("moves", pa.list_(pa.struct([("cell", pa.string()), ("ids", pa.list_(pa.int64()))]))),
+])
+
+
+def _shard(cell, points):
+    names, unit = np.array([r[3] for r in points]), _unit([r[4] for r in points])
+    raw = [np.frombuffer(r[4], np.float64) for r in points]
+    place = {name: i for i, name in enumerate(names.tolist())}
+    lists = [np.array([place[x] for x in r[5] if x in place], int) for r in points]
+    homes = [[h for h in r[6] if h != cell] for r in points]
+    return names, raw, unit, lists, homes, place
+
+
+def next_visits(state: DataFrame, last: DataFrame) -> DataFrame:
+    """``q, cell, entries``: where searches go on in other cells.
+
+    A point in range is entered in each of its cells where it was not met. Of all points that a vector met, the ``BEAM``
+    best are entered in each of their cells that the vector has not asked yet.
+    """
+    done = state.groupBy("q", "cell").agg(F.flatten(F.collect_list(F.concat("inside", "entries"))).alias("done"))
+    moves = last.select("q", F.explode("moves").alias("m")).select("q", "m.cell", F.col("m.ids").alias("ids"))
+    inside = moves.groupBy("q", "cell").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).join(done, ["q", "cell"], "left")
+    ranged = inside.select("q", "cell", F.array_except("ids", F.coalesce("done", F.array().cast("array<bigint>"))).alias("entries")).filter("size(entries) > 0")
+    mine = state.join(last.select("q").distinct(), "q", "left_semi").groupBy("q")
+    best = mine.agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("beam"))), False), 1, BEAM).alias("beam"))
+    # The cell that met a point is left out of its homes; the vector has asked there.
+    near = best.select("q", F.explode("beam").alias("b")).select("q", "b.id", F.explode("b.homes").alias("cell"))
+    greedy = near.join(state.select("q", "cell").distinct(), ["q", "cell"], "left_anti").groupBy("q", "cell").agg(F.collect_set("id").alias("entries"))
+    return ranged.unionByName(greedy).groupBy("q", "cell").agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))
 
 
 def link_pairs(points: DataFrame, overlap: int, least: float = LEAST_COSINE) -> DataFrame:
@@ -218,35 +311,35 @@ def link_pairs(points: DataFrame, overlap: int, least: float = LEAST_COSINE) ->
     cells = durable(shards_of(points, overlap).repartition("cell").sortWithinPartitions("cell", "id"), "shards")
 
     def build(batches):
-        for _, rows in _by_cell(batches):
+        for cell, rows in _by_cell(batches):
             names = np.array([r[1] for r in rows])
             lists = [names[x].tolist() for x in build_shard(_unit([r[2] for r in rows]))]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lists, pa.list_(pa.int64()))], ["id", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array([cell] * len(rows)), pa.array(names), pa.array(lists, pa.list_(pa.int64()))], ["cell", "id", "near"])
 
     laid = cells.repartition("cell").sortWithinPartitions("cell", "id")
-    lists = laid.mapInArrow(build, "id bigint, near array<bigint>")
+    lists = laid.mapInArrow(build, "cell string, id bigint, near array<bigint>")
     # At most overlap x levels lists of bounded length come together for a point.
-    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
-    def search(batches):
-        for _, rows in _by_cell(batches):
-            names, unit = np.array([r[1] for r in rows]), _unit([r[2] for r in rows])
-            place = {name: i for i, name in enumerate(names.tolist())}
-            lists = [np.array([place[x] for x in r[3] if x in place], int) for r in rows]
-            a, b = search_range(unit, lists, least - 1e-9)
-            if len(a):
-                raw = [np.frombuffer(r[2], np.float64) for r in rows]
-                pairs = np.unique(np.minimum(a, b) * len(rows) + np.maximum(a, b))
-                a, b = pairs // len(rows), pairs % len(rows)
-                keep = np.zeros(len(a), bool)
-                for i in range(0, len(a), 4096):
-                    x, y = np.stack([raw[j] for j in a[i : i + 4096]]), np.stack([raw[j] for j in b[i : i + 4096]])
-                    keep[i : i + 4096] = cosines(x, y) >= least
-                one, two = names[a[keep]], names[b[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
-
-    met = cells.join(united, "id").select("cell", "id", "vector", "near").repartition("cell").sortWithinPartitions("cell", "id")
-    return durable(met.mapInArrow(search, "a bigint, b bigint").distinct(), "links")
+    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_set("cell").alias("homes"))
+    members = durable(cells.join(united, "id").select("cell", "id", "vector", "near", "homes"), "members")
+    order = ["cell", "part", "asks", "id"]
+    own = members.withColumn("part", F.lit(0)).withColumn("asks", F.lit(2))
+    last = durable(visit_cells(own.repartition("cell").sortWithinPartitions(*order), least), "visits")
+    state = last
+    while True:
+        visits = durable(next_visits(state, last), "moves")
+        # A cell that many ask is searched in several tasks of bounded size.
+        parts = visits.groupBy("cell").agg(F.expr(f"cast((count(*) + {CELL - 1}) div {CELL} as int)").alias("parts"))
+        if visits.isEmpty():
+            break
+        base = members.join(parts, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("asks", F.lit(0)).drop("parts")
+        dealt = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
+        asking = dealt.join(points.select(F.col("id").alias("q"), "vector"), "q").select(
+            "cell", F.col("q").alias("id"), "vector", F.col("entries").alias("near"), F.lit(None).cast("array<string>").alias("homes"), "part", F.lit(1).alias("asks")
+        )
+        last = durable(visit_cells(base.unionByName(asking).repartition("cell", "part").sortWithinPartitions(*order), least), "visits")
+        state = state.unionByName(last)
+    met = state.select("q", F.explode("inside").alias("v"))
+    return durable(met.select(F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b")).distinct(), "links")
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:

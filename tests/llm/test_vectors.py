@@ -88,3 +88,19 @@ def test_near_duplicates_odd_rows(session):
 def test_recall_on_given_vectors(session, sf):
     points = neighbours._valid(table(session, sf, "embeddings")).distinct().withColumnRenamed("vec_id", "id")
     assert neighbours.recall(points, neighbours.link_pairs(points, 2, 0.3), 0.3) >= 0.9
+
+
+def test_search_leaves_its_cell(session, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(150, 8))
+    rows = [(i, [float(np.float32(x)) for x in base[i % 150] + rng.normal(size=8) * 0.2], 0, "x", "y") for i in range(900)]
+    points = neighbours._valid(session.createDataFrame(rows, SCHEMA)).withColumnRenamed("vec_id", "id")
+    at = {}
+    for r in neighbours.shards_of(points, 2).collect():
+        at.setdefault(r["id"], set()).add(r["cell"])
+    links = brute_links(rows, 0.93)
+    apart = {(a, b) for a, b in links if not at[a] & at[b]}
+    found = {tuple(r) for r in neighbours.link_pairs(points, 2).collect()}
+    assert found <= links and apart
+    assert len(found & apart) >= 0.95 * len(apart) and len(found) >= 0.95 * len(links)
