@@ -4,9 +4,10 @@ Equal vectors of one label are taken together first. Each label is split, level
 bounded size, and a vector goes to its ``overlap`` nearest pivots, so the cells are overlapping cluster shards. In every
 shard each vector gets robust-pruned neighbours; the lists of all shards are united. Then a beam search over the united
 lists starts from the shard's medoid and the vector itself, and once it is within range it expands through everything in
-range. A search leaves its shard: round by round it goes on in the other shards of what is in range and of the best points
-that it met, entering by these points, until there is no such shard left. Pairs are verified by cosine in double precision. Last, the links of a fixed-size sample of vectors are compared
-with brute force over all rows; if too few were found, the shards are rebuilt with more overlap.
+range. A search leaves its shard: round by round it goes on in the other shards of what is in range and of the best
+points that it met, entering by these points, until there is no such shard left. Pairs are verified by cosine in double
+precision. Last, the links of a fixed-size sample of vectors, drawn by hash whatever was found, are compared with brute
+force over all rows; if too few were found, by vector or by link, the shards are rebuilt with more overlap.
 
 Defined results: vectors that are NULL, zero, or hold NULL or non-finite components, and rows without a label, link with
 nothing and are kept; vectors of different length do not link; repeated rows (same id, label, vector) count once; extra
@@ -35,7 +36,7 @@ BEAM = 16
 HOPS = 60
 SEARCHES = 64
 OVERLAPS = (2, 4, 8)
-AUDIT_ROWS = 128
+AUDIT_ROWS = 4096
 LEAST_RECALL = 0.95
 
 
@@ -349,35 +350,43 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def recall(points: DataFrame, pairs: DataFrame, least: float = LEAST_COSINE, rows: int = AUDIT_ROWS) -> float:
-    """Share of the links of ``rows`` sampled points, by brute force over all points, that ``pairs`` has."""
+    """Share of the links of ``rows`` sampled points, by brute force over all points, that ``pairs`` has.
+
+    The sample does not look at ``pairs``. The lesser of the mean over the sampled points with links and the share of all
+    their links counts, so neither small nor large groups hide the other.
+    """
     label = F.concat_ws("/", "label", F.length("vector").cast("string"))
-    # Half of the sample are points with links, where there are such.
-    some = points.orderBy(F.xxhash64("id"), "id").limit(rows // 2)
-    linked = points.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows // 2)
-    sample = some.unionByName(linked).select(label.alias("l"), "id", "vector").distinct().collect()
+    sample = points.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(rows).select(label.alias("l"), "id", "vector").distinct().collect()
     if not sample:
         return 1.0
     asked = {}
     for r in sample:
         asked.setdefault(r["l"], []).append((r["id"], r["vector"]))
-    asked = {k: ([i for i, _ in v], _unit([x for _, x in v])) for k, v in asked.items()}
+    asked = {k: (np.array([i for i, _ in v]), _unit([x for _, x in v])) for k, v in asked.items()}
 
     def run(batches):
+        counts = {k: np.zeros(len(names), np.int64) for k, (names, _) in asked.items()}
         for batch in batches:
-            a, b = [], []
+            by: dict = {}
             for label, key, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if label in asked:
-                    names, unit = asked[label]
-                    x = np.frombuffer(vector, np.float64)
-                    for i in np.flatnonzero(unit @ (x / np.sqrt(x @ x)) >= least + 1e-12):
-                        if names[i] != key:
-                            a.append(min(names[i], key))
-                            b.append(max(names[i], key))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    truth = points.select(label.alias("l"), "id", "vector").mapInArrow(run, "a bigint, b bigint").distinct()
-    counts = truth.join(pairs.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("found").alias("found")).first()
-    return counts["found"] / counts["n"] if counts["n"] else 1.0
+                    by.setdefault(label, []).append((key, vector))
+            for label, met in by.items():
+                names, unit = asked[label]
+                for i in range(0, len(met), 512):
+                    part = met[i : i + 512]
+                    near = unit @ _unit([x for _, x in part]).T >= least + 1e-12
+                    near &= names[:, None] != np.array([k for k, _ in part])[None]
+                    counts[label] += near.sum(axis=1)
+        names, n = (np.concatenate(x) for x in zip(*((asked[k][0], c) for k, c in counts.items()), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(names[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], ["id", "n"])
+
+    # All pairs are verified, so counts by point tell how many are missing without a row for each true link.
+    truth = points.select(label.alias("l"), "id", "vector").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).join(F.broadcast(truth.select("id")), "id", "left_semi")
+    met = truth.join(ends.groupBy("id").agg(F.count("*").alias("m")), "id", "left").withColumn("m", F.least(F.coalesce("m", F.lit(0)), "n"))
+    counts = met.agg(F.avg(F.col("m") / F.col("n")).alias("points"), (F.sum("m") / F.sum("n")).alias("links")).first()
+    return 1.0 if counts["links"] is None else min(counts["points"], counts["links"])
 
 
 def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataFrame:

@@ -104,3 +104,17 @@ def test_search_leaves_its_cell(session, monkeypatch):
     found = {tuple(r) for r in neighbours.link_pairs(points, 2).collect()}
     assert found <= links and apart
     assert len(found & apart) >= 0.95 * len(apart) and len(found) >= 0.95 * len(links)
+
+
+def test_audit_sees_missing_isolated_pairs(session):
+    rng = np.random.default_rng(4)
+    group = np.ones(16) + rng.normal(size=(120, 16)) * 0.01
+    pairs = np.repeat(rng.normal(size=(200, 16)), 2, axis=0) + rng.normal(size=(400, 16)) * 0.01
+    rows = [(i, [float(np.float32(x)) for x in v], 0, "x", "y") for i, v in enumerate([*group, *pairs])]
+    points = neighbours._valid(session.createDataFrame(rows, SCHEMA)).withColumnRenamed("vec_id", "id")
+    links = brute_links(rows, 0.93)
+    whole = neighbours.recall(points, session.createDataFrame(sorted(links), "a long, b long"))
+    # All links of the large group and one isolated pair of ten.
+    some = [(a, b) for a, b in sorted(links) if b < 120 or a % 20 == 0]
+    assert whole == 1.0 and len(some) > 0.95 * len(links)
+    assert neighbours.recall(points, session.createDataFrame(some, "a long, b long")) < 0.5
