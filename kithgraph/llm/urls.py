@@ -4,8 +4,9 @@ Given rules (host suffix and path prefix, longest wins) judge the pages they fit
 FP-growth mines which combinations of URL tokens go with a verdict, rules below the support or confidence asked for are
 pruned, and the rest judge the other pages through an inverted index from token to rule.
 
-Mined rules have at most ``LONGEST`` tokens and each holds for at least ``SUPPORT`` of the labelled pages, which bounds
-their number whatever the input. The index joins on tokens, and a page answers to a rule when as many of its tokens hit
+Mined rules may have any number of tokens. Each holds for at least ``SUPPORT`` of the labelled pages, which bounds their
+number. A rule of three or more tokens is dropped only if some of its tokens alone give the same verdict with no lower
+confidence, so that no page is judged otherwise without it. The index joins on tokens, and a page answers to a rule when as many of its tokens hit
 the rule as the rule has.
 
 Defined results: a NULL URL or one without ``://`` has an empty host and path, no rule and the verdict of no evidence,
@@ -18,11 +19,13 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import durable
+
 # Verdict, host, path.
 BASE_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SUPPORT = 0.005
 CONFIDENCE = 0.9
-LONGEST = 2
+PLAIN = 2  # rules up to this length stay even where a shorter one implies them
 DEFAULT = "allow"
 
 
@@ -55,7 +58,7 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, parts), lambda x: F.length(x) > 2))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``rule_tokens, verdict, support, confidence`` from rows of ``tokens, verdict``."""
     label = F.concat(F.lit("v:"), F.col("verdict"))
     baskets = labelled.select(F.concat(F.col("tokens"), F.array(label)).alias("items"))
@@ -66,12 +69,36 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
     of_label = lambda mark: F.filter("items", lambda x: x.startswith("v:") if mark else ~x.startswith("v:"))
     sets = sets.select(F.array_sort(of_label(False)).alias("rule_tokens"), of_label(True).alias("label"), "freq").filter(
-        F.size("rule_tokens").between(1, longest)
+        F.size("rule_tokens") > 0
     )
     alone = sets.filter(F.size("label") == 0).select("rule_tokens", F.col("freq").alias("seen"))
     both = sets.filter(F.size("label") == 1).select("rule_tokens", F.expr("substring(label[0], 3)").alias("verdict"), F.col("freq").alias("support"))
-    rules = both.join(alone, "rule_tokens").withColumn("confidence", F.col("support") / F.col("seen"))
-    return rules.filter(F.col("confidence") >= confidence).select("rule_tokens", "verdict", "support", "confidence")
+    rules = durable(both.join(alone, "rule_tokens").withColumn("confidence", F.col("support") / F.col("seen")), "rules")
+    kept = not_implied(rules)
+    return kept.filter(F.col("confidence") >= confidence).select("rule_tokens", "verdict", "support", "confidence")
+
+
+def not_implied(rules: DataFrame) -> DataFrame:
+    """``rules`` without those of more than ``PLAIN`` tokens that a part of their tokens implies with no lower confidence.
+
+    All parts of a frequent set are frequent, so the best confidence of all parts goes up from length to length.
+    """
+    longest = rules.agg(F.max(F.size("rule_tokens"))).first()[0] or 0
+    kept, best = rules.filter(F.size("rule_tokens") <= PLAIN), None
+    for length in range(1, longest + 1):
+        level = rules.filter(F.size("rule_tokens") == length)
+        if best is None:
+            best = level.select("rule_tokens", "verdict", F.col("confidence").alias("best"))
+            continue
+        parts = level.select(
+            "rule_tokens", "verdict", F.explode(F.transform("rule_tokens", lambda x: F.filter("rule_tokens", lambda y: y != x))).alias("part")
+        )
+        below = parts.join(best.select(F.col("rule_tokens").alias("part"), "verdict", "best"), ["part", "verdict"])
+        judged = durable(level.join(below.groupBy("rule_tokens", "verdict").agg(F.max("best").alias("below")), ["rule_tokens", "verdict"]), "rules")
+        if length > PLAIN:
+            kept = kept.unionByName(judged.filter("below < confidence").select(*rules.columns))
+        best = judged.select("rule_tokens", "verdict", F.greatest("below", "confidence").alias("best"))
+    return kept
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

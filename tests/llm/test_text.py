@@ -149,3 +149,25 @@ def test_urls_match_brute_force(session):
 
 def test_shares_are_exact():
     assert Fraction(licenses.MIN_COVERED) == Fraction(3, 4)
+
+
+def test_url_rules_of_any_length_match_brute_force(session):
+    from itertools import combinations
+
+    sets = [("block", "abcx", 30), ("allow", "aby", 25), ("allow", "acy", 25), ("allow", "bcx", 25), ("block", "de", 20), ("allow", "d", 20), ("block", "defg", 12), ("allow", "efg", 12)]
+    labelled = [(sorted(f"p:{t}" for t in tokens), verdict) for verdict, tokens, n in sets for _ in range(n)]
+    total, seen, support = len(labelled), {}, {}
+    for tokens, verdict in labelled:
+        for n in range(1, len(tokens) + 1):
+            for part in combinations(tokens, n):
+                seen[part] = seen.get(part, 0) + 1
+                support[part, verdict] = support.get((part, verdict), 0) + 1
+    every = {(p, v): c / seen[p] for (p, v), c in support.items() if c >= urls.SUPPORT * total and c / seen[p] >= urls.CONFIDENCE}
+    rules = urls.mine_rules(session.createDataFrame(labelled, "tokens array<string>, verdict string"))
+    found = {(tuple(r["rule_tokens"]), r["verdict"]): r["confidence"] for r in rules.collect()}
+    implied = {k for k, c in every.items() if len(k[0]) > 2 and any(v == k[1] and d >= c and set(p) < set(k[0]) for (p, v), d in every.items())}
+    assert found == {k: c for k, c in every.items() if k not in implied} and any(len(p) > 2 for p, _ in found)
+    asked = [("u1", ["p:a", "p:b", "p:c", "p:z"]), ("u2", ["p:a", "p:b", "p:y"]), ("u3", ["p:z"])]
+    best = {r["url"]: (r["verdict"], r["confidence"]) for r in urls.match_rules(session.createDataFrame(asked, "url string, tokens array<string>"), rules).collect()}
+    want = {u: max((c, v) for (p, v), c in every.items() if set(p) <= set(t)) for u, t in asked if any(set(p) <= set(t) for p, _ in every)}
+    assert best == {u: (v, c) for u, (c, v) in want.items()} and best["u1"] == ("block", 1.0)
