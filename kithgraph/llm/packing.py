@@ -6,8 +6,9 @@ The search for a piece starts at the smallest residual that fits and goes on to
 with the piece, which is then the tightest compatible bin; if there is none a new bin is opened.
 
 A source has as many slots as its share of the words lets one expect in a bin, and one more; a document's slot is a hash.
-So a source with a third of all words still fills bins, and a small source does not fill one alone. Copies (the same
-text) never share a bin.
+So a source with a third of all words still fills bins, and a small source does not fill one alone. Copies never share a
+bin: rows of the same text, of the same id, or of ids in one group of near copies (``clusters``). A row without an id
+conflicts with the same text only.
 
 A text longer than a bin is cut into full bins and a rest, in order, so nothing is dropped. Defined results: a NULL or
 empty text is one piece of size 0; a NULL source is a source; ties go by size, then by id and piece, then by hash of the
@@ -21,8 +22,10 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import connected_components
 from ..session import durable
 from .common import word_count
+from .jaccard import join_similar
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
@@ -54,27 +57,38 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[in
 
 
 def pack_shard(rows: list[dict], capacity: int) -> list[tuple[int, int]]:
-    """Bins of the rows of one shard; bits are numbered by first use, and only clusters met twice need one."""
+    """Bins of the rows of one shard; bits are numbered by first use, and only clusters and texts met twice need one."""
+    named = [[("text", r["same"]), *([] if r["cluster"] is None else [("group", r["cluster"])])] for r in rows]
     seen: dict = {}
-    for r in rows:
-        seen[r["cluster"]] = seen.get(r["cluster"], 0) + 1
+    for names in named:
+        for name in names:
+            seen[name] = seen.get(name, 0) + 1
     bits: dict = {}
     slots: dict = {}
     pieces = []
-    for r in rows:
+    for r, names in zip(rows, named, strict=True):
         key = (r["source"], r["slot"])
         source = 1 << slots.setdefault(key, len(slots))
-        cluster = 1 << bits.setdefault(r["cluster"], len(bits)) if seen[r["cluster"]] > 1 else 0
+        cluster = 0
+        for name in names:
+            if seen[name] > 1:
+                cluster |= 1 << bits.setdefault(name, len(bits))
         pieces.append((r["size"], source, cluster))
     return best_fit(pieces, capacity)
 
 
 def cut_documents(docs: DataFrame, capacity: int) -> DataFrame:
-    """``doc_id, source, cluster, piece, size``: full pieces and the rest of every document."""
-    words = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"))
+    """``doc_id, source, same, piece, size``: full pieces and the rest of every document; ``same`` is a hash of the text."""
+    words = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
     number = F.explode(F.expr(f"sequence(0L, greatest(0L, (words - 1) div {capacity}))"))
     cut = words.withColumn("piece", number)
-    return cut.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("bigint").alias("size"))
+    return cut.select("doc_id", "source", "same", "piece", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("bigint").alias("size"))
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """``id, cluster``: the group of every id that has near copies; all texts of one id are in one group."""
+    labels = join_similar(docs).filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").cast("bigint").alias("a"), F.col("component_id").cast("bigint").alias("b"))
+    return connected_components(durable(labels.distinct(), "labels"), ["a", "b"]).select(F.col("customer_id").alias("id"), F.col("component_id").alias("cluster"))
 
 
 def source_slots(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -91,9 +105,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     # Row numbers are fixed by writing them, so that any number of equal rows is dealt to all shards.
     pieces = durable(cut_documents(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
+    known = pieces.join(clusters(docs), F.col("doc_id").cast("bigint") == F.col("id"), "left").drop("id")
+    pieces = known.withColumn("cluster", F.coalesce("cluster", F.col("doc_id").cast("bigint")))
     keyed = pieces.join(source_slots(pieces, capacity), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     spread = keyed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).withColumn("slot", F.pmod(F.xxhash64("row", F.lit(1)), F.col("slots")))
-    order = [F.desc("size"), F.col("doc_id").asc_nulls_first(), "piece", "cluster"]
+    order = [F.desc("size"), F.col("doc_id").asc_nulls_first(), "piece", "same"]
     names = ["doc_id", "piece", "size", "bin", "offset", "filled"]
 
     def flush(shard, rows):
@@ -119,6 +135,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         if rows:
             yield flush(shard, rows)
 
-    laid = spread.select("shard", F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "size", "source", "slot", "cluster")
+    laid = spread.select("shard", F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "size", "source", "slot", "same", "cluster")
     sorted_ = laid.repartition("shard").sortWithinPartitions("shard", *order)
     return sorted_.mapInArrow(run, "doc_id bigint, piece bigint, size bigint, bin bigint, offset bigint, filled bigint")

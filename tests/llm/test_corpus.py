@@ -166,6 +166,20 @@ def test_packing_keeps_everything(session, sf):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_near_and_cut_copies_do_not_share_a_bin(session):
+    words = [f"g{x}" for x in range(60)]
+    near = [(i, " ".join([*words[:-1], f"h{i}"]), "en", "s1", 1) for i in range(12)]
+    cut = [(100 + i // 2, " ".join(f"c{i // 2}x{x}" for x in range(60 if i % 2 else 20)), "en", "s2", 1) for i in range(24)]
+    others = [(200 + i, " ".join(f"o{i}x{x}" for x in range(40)), "en", "s3", 1) for i in range(40)]
+    twins = [(300, "t u v w x y", "en", "s4", 1), (None, "t u v w x y", "en", "s4", 1)]
+    docs = session.createDataFrame([*near, *cut, *others, *twins], DOCS)
+    rows = packing.pack(docs).collect()
+    assert len(rows) == docs.count() and sum(r["size"] for r in rows) == sum(len(r[1].split()) for r in [*near, *cut, *others, *twins])
+    held = Counter((r["bin"], "near" if r["doc_id"] < 12 else r["doc_id"]) for r in rows if r["doc_id"] is not None)
+    assert max(held.values()) == 1
+    assert len({r["bin"] for r in rows if r["doc_id"] in (300, None)}) == 2
+
+
 def cheapest(roles):
     """Least cost over all sequences of out roles, by trying every one."""
     best = None
