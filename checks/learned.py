@@ -12,8 +12,8 @@ from kithgraph.session import durable
 from . import fixtures as fx
 from .scores import groups, train_test
 
-# Small learners: the checks are about the data flow.
-LEARNERS = ML.Learners(boosting_rounds=10, forest_trees=20, depth=4, forest_depth=6, min_leaf=5)
+# The full models.
+LEARNERS = ML.Learners()
 
 
 def dataset(spark, d) -> Dataset:

@@ -162,3 +162,9 @@ def test_experiment_writes_every_step(spark, data, tmp_path):
     assert rows.count() == 8
     for name in ("split", "split_report", "edges", "features", "connectivity", "predictions/random_forest_combined", "importance/gradient_boosting_tabular"):
         assert not spark.read.parquet(f"{tmp_path}/{name}").isEmpty()
+
+
+def test_registered_queries_use_the_full_learners():
+    from checks import learned
+
+    assert learned.LEARNERS == ML.Learners()
