@@ -2,8 +2,9 @@
 
 The words of a source, in order of document, are packed into blocks of ``BLOCK`` words; the last block may be shorter. A
 source needs a number of words (its target), hence a number of slots of one block each. A slot belongs to an epoch (each
-epoch goes once through all blocks) and to an output shard, which a hash draws: the counts of a source over the shards
-are multinomial. Within an epoch a slot finds its block through a pseudorandom permutation of the source's block numbers
+epoch goes once through all blocks). ``draw_slots`` also draws an output shard for it by hash, so that the counts of a
+source over the shards are multinomial, but the mix has no output shards: neither ``mix_digest`` nor ``mixed_documents``
+uses the draw, and the blocks taken of a document are put back in its order. Within an epoch a slot finds its block through a pseudorandom permutation of the source's block numbers
 (a swap-or-not shuffle, arithmetic only), and slots and blocks are joined by number. The last slot takes only what is
 missing, so a source misses its target by rounding alone, and a document is never taken more often than epochs allow.
 
