@@ -537,10 +537,15 @@ def _label(members: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the one with the smallest id of each group, and all without a word."""
-    labels = durable(join_similar(docs), "labels")
-    stay = labels.filter("n_shingles = 0 or doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    """The documents that stay: one row of each group, with the smallest id (NULL last), and all without a word."""
+    # Rows are told apart by numbers, which are fixed by writing them, so repeated rows and equal or NULL ids are copies too.
+    numbered = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    labels = durable(join_similar(numbered.select(F.col("_row").alias("doc_id"), "text")), "labels").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    key = F.col("doc_id").cast("bigint")
+    placed = labels.filter("n_shingles > 0").join(numbered.select("_row", key.alias("_id")), "_row")
+    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("least"))
+    stay = least.select("least._row").unionByName(labels.filter("n_shingles = 0").select("_row"))
+    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 SQL = r"""

@@ -91,6 +91,15 @@ def test_join_of_empty_table_and_ids(session):
     assert found == [(3, 3), (3, 3), (None, 3)]
 
 
+def test_one_row_of_each_group_stays(session):
+    rows = [(1, "a b c d e f", "en", "s", 1)] * 3 + [(None, "g h i j k l", "en", "s", 1)] * 2 + [(None, "m n o p q r", "en", "s", 1), (4, "m n o p q r", "en", "s", 1)]
+    rows += [(5, "other words here", "en", "s", 1), (5, "A b c d e f", "en", "s", 1), (6, None, None, None, None), (6, "", None, None, None)]
+    left = sorted((tuple(r)[:2] for r in jaccard.one_of_each(session.createDataFrame(rows, DOCS)).collect()), key=repr)
+    want = [(1, "a b c d e f"), (None, "g h i j k l"), (4, "m n o p q r"), (5, "other words here"), (6, None), (6, "")]
+    assert left == sorted(want, key=repr)
+    assert jaccard.one_of_each(session.createDataFrame([], DOCS)).collect() == []
+
+
 def test_mix_targets_and_reruns(session):
     docs = session.createDataFrame([*documents(), *[(900, "a b c", "en", "s1", 5)] * 3], DOCS)
     rows = mixing.mix_digest(docs).collect()
