@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language, licenses, mixing, neighbours, packing, search, secrets, urls
+from . import chat, jaccard, language, licenses, manifest, mixing, neighbours, packing, resampling, scoring, search, secrets, urls
 from .common import prepare, scratch, table
 
 
@@ -51,12 +51,28 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_digest(table(prepare(spark), folder, "documents"))
 
 
+def op11_target_resample(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score_digest(table(prepare(spark), folder, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest_digest(table(prepare(spark), folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_block_search, op2_license_scan, op3_best_fit_packing, op4_secret_ledger, op5_flat_graph_dedup, op6_language, op7_url_rules,
-        op8_shingle_join, op9_chat_repair, op10_source_mix,
+        op8_shingle_join, op9_chat_repair, op10_source_mix, op11_target_resample, op12_backoff_scores, op13_merkle_manifest,
     )
 }
 
-SQL: dict[str, str] = {"op1_block_search": search.SQL, "op7_url_rules": urls.SQL, "op8_shingle_join": jaccard.SQL, "op10_source_mix": mixing.SQL}
+SQL: dict[str, str] = {
+    "op1_block_search": search.SQL, "op7_url_rules": urls.SQL, "op8_shingle_join": jaccard.SQL, "op10_source_mix": mixing.SQL,
+    "op11_target_resample": resampling.SQL, "op12_backoff_scores": scoring.SQL, "op13_merkle_manifest": manifest.SQL,
+}
