@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kithgraph.operators import components as C, edges as E, features as FT, feedback as FB, neighbourhood as N, rings as R
+from kithgraph.operators import communities as CM, components as C, edges as E, features as FT, feedback as FB, neighbourhood as N, rings as R
 from kithgraph.functions.values import risk_level
 from kithgraph.session import durable
+from kithgraph.settings import MAX_RING_SIZE
 
 from . import fixtures as fx
 from .fixtures import edges_of, flags, rounded, sql
@@ -122,6 +123,43 @@ def community_rings(spark, d):
     return R.number_rings(R.candidate_groups(durable(edges_of(spark, d), "edges")))
 
 
+def community_checks(spark, d):
+    """What must hold for the communities of every component above the size of a ring, counted by plain SQL over the stored result.
+
+    Every account is in one community of its component, every ring has two members or more, no community is torn, and no
+    account would raise the modularity of its component by moving to another community.
+    """
+    edges = durable(edges_of(spark, d).select(*E.ENDS, "shared_attribute_count"), "edges")
+    found = durable(C.connected_components(edges), "components")
+    sizes = found.groupBy("component_id").agg(F.count("*").alias("size")).filter(F.col("size") > MAX_RING_SIZE)
+    large = durable(found.join(sizes, "component_id").select("customer_id", "component_id", "size"), "large")
+    inner = durable(E.induced_subgraph(large, edges), "inner")
+    nodes = CM.modularity_partition(inner, large.select("customer_id", "component_id"))[0]
+    nodes = durable(nodes.select("node", "community", "component_id"), "nodes")
+    together = spark.sql("""
+        select source_customer_id, target_customer_id from {n} a join {e} on a.node = source_customer_id
+        join {n} b on b.node = target_customer_id and b.community = a.community""", e=inner, n=nodes)
+    parts = durable(C.connected_components(together), "parts")
+    return spark.sql("""
+        with both as (select source_customer_id as node, target_customer_id as other, double(shared_attribute_count) as w from {e}
+                      union all select target_customer_id, source_customer_id, double(shared_attribute_count) from {e}),
+        strength as (select node, sum(w) as k from both group by node),
+        mass as (select community, sum(k) as mass from {n} join strength using (node) group by community),
+        total as (select component_id, sum(k) as total from {n} join strength using (node) group by component_id),
+        links as (select b.node, o.community, sum(w) as w from both b join {n} o on o.node = b.other group by b.node, o.community),
+        stay as (select n.node, n.component_id, n.community, k, total, coalesce(l.w, 0) / total - k * (mass - k) / total / total as worth
+                 from {n} n join strength s on s.node = n.node join mass m on m.community = n.community join total t on t.component_id = n.component_id
+                 left join links l on l.node = n.node and l.community = n.community),
+        gains as (select s.component_id, count(distinct s.node) as gaining from stay s join links l on l.node = s.node and l.community <> s.community
+                  join mass m on m.community = l.community where l.w / total - k * mass / total / total > worth + 1e-12 group by s.component_id),
+        torn as (select component_id, count(*) as torn from (select n.component_id, n.community from {n} n join {p} p on p.customer_id = n.node
+                 group by n.component_id, n.community having count(distinct p.component_id) > 1) group by component_id),
+        placed as (select component_id, count(*) as placed, count(distinct node) as accounts from {n} group by component_id)
+        select c.component_id, c.size, placed, accounts, coalesce(gaining, 0) as gaining, coalesce(torn, 0) as torn
+        from (select distinct component_id, size from {l}) c left join placed using (component_id) left join gains using (component_id)
+        left join torn using (component_id)""", e=inner, n=nodes, p=parts, l=large)
+
+
 QUERIES = {
     "shared_counts": shared_counts,
     "identity_edges": edges_of,
@@ -149,9 +187,13 @@ QUERIES = {
     "default_members": default_members,
     "boundary_accounts": boundary,
     "community_rings": community_rings,
+    "community_checks": community_checks,
 }
 
 SQL = {
+    "community_checks": sql(f"""
+        select component_id, count(*) as size, count(*) as placed, count(*) as accounts, 0::bigint as gaining, 0::bigint as torn
+        from comp group by 1 having count(*) > {MAX_RING_SIZE}""", "comp"),
     "shared_counts": sql("""
         select customer_id, name, coalesce(phone_shared_count, 0) as phone_shared_count,
                coalesce(email_shared_count, 0) as email_shared_count, coalesce(address_shared_count, 0) as address_shared_count,
