@@ -76,32 +76,42 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
+class _Numbers(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Grams:
     """The n-grams of the texts of a block.
 
-    ``ids`` numbers the tokens of all texts one after the other, each between a start and an end. ``keys[n]`` are the distinct
-    n-grams in rising order, ``at[n]`` tells which of them ends at each token (-1: the text is too short there).
+    All texts stand one after the other, each between a start and an end. ``keys[n]`` are the distinct n-grams in rising order,
+    ``at[n]`` tells which of them ends at each token (-1: too few tokens before it), ``firsts`` where each text starts.
     """
 
     def __init__(self, texts: list[bytes], order: int) -> None:
-        number = {START: 0, END: 1}
-        self.texts = [[0, *[number.setdefault(w, len(number)) for w in text.lower().split()], 1] for text in texts]
-        self.ids = np.fromiter((i for text in self.texts for i in text), np.int64)
-        self.lengths = np.fromiter(map(len, self.texts), np.int64, len(texts))
+        numbers, flat, lengths = _Numbers({START: 0, END: 1}), [], []
+        for text in texts:
+            words = text.lower().split()
+            flat.append(0)
+            flat.extend(map(numbers.__getitem__, words))
+            flat.append(1)
+            lengths.append(len(words) + 2)
+        self.lengths = np.array(lengths, np.int64)
         self.firsts = np.cumsum(self.lengths) - self.lengths
-        place = np.arange(len(self.ids)) - np.repeat(self.firsts, self.lengths)
-        hashes = np.fromiter(map(_key, number), np.uint64, len(number))
-        running = hashes[self.ids]
-        self.words, self.keys, self.at, self.first = len(number), {}, {}, {}
+        place = np.arange(len(flat)) - np.repeat(self.firsts, self.lengths)
+        hashes = np.fromiter(map(_key, numbers), np.uint64, len(numbers))[np.array(flat, np.int64)]
+        running, self.keys, self.at = hashes, {}, {}
         for n in range(1, order + 1):
             if n > 1:
-                before = np.concatenate([[np.uint64(0)], running[:-1]])
-                running = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes[self.ids] + np.uint64(n))
+                before = np.concatenate([np.zeros(1, np.uint64), running[:-1]])
+                running = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes + np.uint64(n))
             whole = np.flatnonzero(place >= n - 1)
-            keys, first, inverse = np.unique(running[whole], return_index=True, return_inverse=True)
-            self.at[n] = np.full(len(self.ids), -1)
+            self.keys[n], inverse = np.unique(running[whole], return_inverse=True)
+            self.at[n] = np.full(len(flat), -1)
             self.at[n][whole] = inverse
-            self.keys[n], self.first[n] = keys, whole[first]
 
     def trained(self, n: int, train: np.ndarray) -> np.ndarray:
         """How often each distinct n-gram occurs in the texts that train."""
@@ -110,67 +120,53 @@ class Grams:
 
 
 class Automaton:
-    """The part of the backoff automaton that the texts of a block can reach; state 0 is the root."""
+    """The part of the backoff automaton that the texts of a block can reach, laid out along their tokens.
+
+    The state of depth m at a token is the context of the m tokens that end there, if it was trained; its failure arc leads to
+    the state of depth m - 1 at the same token and weighs ``back[m]``. An arc of order n is the trained n-gram that ends at the
+    token it takes: from the state of depth n - 1 at the token before, with weight ``arc[n]``, to the state of depth n there, or
+    of depth ``order`` - 1 if that is less. The root has depth 0 and an arc for every token.
+    """
 
     def __init__(self, grams: Grams, counts: dict[int, np.ndarray], tokens: int, vocabulary: int, order: int, strength: float) -> None:
-        offset = {n: 1 + sum(len(grams.keys[m]) for m in range(1, n)) for n in range(1, order)}
-
-        def states(n: int, which: np.ndarray) -> np.ndarray:
-            """State of the n-grams of these numbers, the root for those that training did not meet."""
-            return np.where(counts[n][which] > 0, offset[n] + which, 0) if n in offset else np.zeros(len(which), np.int64)
-
-        self.width, self.back, self.fail = grams.words, [0.0], [0]
-        word_of = grams.ids[grams.first[1]]
-        chance = (counts[1] + 1.0) / (tokens + vocabulary + 1.0)
-        self.weights: list[float] = np.log10(chance).tolist()
-        self.targets: list[int] = states(1, np.arange(len(word_of))).tolist()
-        self.arcs: dict[int, int] = dict(zip(word_of.tolist(), range(len(word_of)), strict=True))
-        for n in range(1, order):
-            self.back += np.log10(strength / (counts[n] + strength)).tolist()
-            lower = grams.at[n - 1][grams.first[n]] if n > 1 else None
-            self.fail += [0] * len(grams.keys[n]) if lower is None else states(n - 1, lower).tolist()
+        self.grams, self.order = grams, order
+        count = {n: np.where(grams.at[n] >= 0, counts[n][grams.at[n]], 0) for n in range(1, order + 1)}
+        chance = (count[1] + 1.0) / (tokens + vocabulary + 1.0)
+        self.met, self.arc, self.back = {1: count[1] > 0}, {1: np.log10(chance)}, {}
         for n in range(2, order + 1):
-            last = grams.first[n]
-            context, lower = grams.at[n - 1][last - 1], grams.at[n - 1][last]
-            base = counts[n - 1][context]
-            chance = (counts[n] + strength * chance[lower]) / (base + strength)
-            # An arc leads to the state of the n-gram itself, or at full length to that of its last tokens.
-            ends = states(n, np.arange(len(last))) if n < order else states(n - 1, lower)
-            met = np.flatnonzero(counts[n] > 0)
-            origin = states(n - 1, context)
-            taken = (origin * self.width + grams.ids[last])[met]
-            self.arcs.update(zip(taken.tolist(), range(len(self.weights), len(self.weights) + len(met)), strict=True))
-            self.weights += np.log10(chance[met]).tolist()
-            self.targets += ends[met].tolist()
-        self.grams, self.counts, self.start = grams, counts[1], int(states(1, grams.at[1][:1])[0])
-        self.root = np.log10((counts[1] + 1.0) / (tokens + vocabulary + 1.0))
+            context = np.concatenate([np.zeros(1, np.int64), count[n - 1][:-1]])
+            chance = (count[n] + strength * chance) / (context + strength)
+            self.met[n], self.arc[n] = count[n] > 0, np.log10(chance)
+            self.back[n - 1] = np.log10(strength / (count[n - 1] + strength))
 
     def _by_text(self, values: np.ndarray) -> np.ndarray:
         """Sums over the tokens of each text; its start is none."""
-        each = values[self.grams.at[1]]
+        each = values.copy()
         each[self.grams.firsts] = 0
         return np.add.reduceat(each, self.grams.firsts)
 
     def known(self) -> np.ndarray:
         """Tokens of each text that training met."""
-        return self._by_text((self.counts > 0).astype(np.int64))
+        return self._by_text(self.met[1].astype(np.int64))
 
     def base_scores(self) -> np.ndarray:
         """Each text's score by root arcs alone."""
-        return self._by_text(self.root)
-
-    def walk(self, words: list[int]) -> float:
-        """log10 of the probability of the tokens of a text, in one traversal."""
-        total, state = 0.0, self.start
-        arcs, width, back, fail, weights, targets = self.arcs, self.width, self.back, self.fail, self.weights, self.targets
-        for word in words:
-            arc = arcs.get(state * width + word)
-            while arc is None:
-                total += back[state]
-                state = fail[state]
-                arc = arcs.get(state * width + word)
-            total += weights[arc]
-            state = targets[arc]
+        return self._by_text(self.arc[1])
+
+    def walk(self, text: int) -> float:
+        """log10 of the probability of the tokens of a text, in one traversal from left to right."""
+        own = slice(self.grams.firsts[text], self.grams.firsts[text] + self.grams.lengths[text])
+        met, arc = {n: v[own].tolist() for n, v in self.met.items()}, {n: v[own].tolist() for n, v in self.arc.items()}
+        back = {n: v[own].tolist() for n, v in self.back.items()}
+        deepest, known, total = self.order - 1, met[1], 0.0
+        depth = min(deepest, 1) if known[0] else 0
+        for at in range(1, len(known)):
+            n = depth + 1
+            while n > 1 and not met[n][at]:
+                n -= 1
+                total += back[n][at - 1]
+            total += arc[n][at]
+            depth = min(n, deepest) if known[at] else 0
         return total
 
 
@@ -266,7 +262,7 @@ def score(
         machine = Automaton(grams, {n: np.concatenate(c).astype(np.int64) for n, c in counts.items()}, tokens, vocabulary, order, strength)
         columns = [
             packed["ids"].combine_chunks().flatten(), packed["held"].combine_chunks().flatten(), pa.array(grams.lengths - 1), pa.array(machine.known()),
-            pa.array(np.full(len(grams.texts), tokens)), pa.array(machine.base_scores()), pa.array([machine.walk(text[1:]) for text in grams.texts]),
+            pa.array(np.full(len(grams.lengths), tokens)), pa.array(machine.base_scores()), pa.array([machine.walk(text) for text in range(len(grams.lengths))]),
         ]
         return pa.table(columns, names)
 
