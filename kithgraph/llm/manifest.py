@@ -111,7 +111,8 @@ def stored_levels(leaves: DataFrame, fan: int = FAN, step: int = STEP) -> list[D
 def _joined(trees: DataFrame, paths: DataFrame) -> DataFrame:
     """Subtrees with the path of their top node."""
     above = paths.select(F.col("grp").alias("_grp"), F.col("at").alias("_at"), "path")
-    return trees.join(above, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("tree") == F.col("_at"))).drop("_grp", "_at")
+    # A path is long and compresses well, so file sizes do not tell whether it may be broadcast.
+    return trees.hint("merge").join(above.hint("merge"), F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("tree") == F.col("_at"))).drop("_grp", "_at")
 
 
 def _paths_below(trees: DataFrame, fan: int, step: int) -> DataFrame:
