@@ -34,14 +34,18 @@ BUCKETS = 10000
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = 2024
+# Distinct lines that one task sums.
+LINES = 200_000
+# Documents that one task of the draw takes.
+DOCUMENTS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The same words before A-Z are lower-cased.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _word = re.compile(WORD.encode())
 
 
-def buckets_of(grams: list[bytes], buckets: int) -> list[int]:
-    return [zlib.crc32(g) % buckets for g in grams]
+def buckets_of(grams: list[bytes], buckets: int) -> np.ndarray:
+    return (np.fromiter(map(zlib.crc32, grams), np.uint32, len(grams)) % np.uint32(buckets)).astype(np.int32)
 
 
 def line_grams(line: bytes, longest: int) -> list[bytes]:
@@ -71,10 +75,9 @@ def seam_grams(text: bytes, longest: int) -> list[bytes]:
     return found
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
+def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)])
-    flat = np.fromiter((b for v in values for b in v), np.int32, ends[-1])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32()))
 
 
 def _featured(rows: DataFrame, text: str, grams, longest: int, buckets: int) -> DataFrame:
@@ -99,8 +102,8 @@ def segments(texts: DataFrame, longest: int = 1, buckets: int = BUCKETS) -> Data
 
 
 def seams(texts: DataFrame, longest: int, buckets: int = BUCKETS) -> DataFrame:
-    """``row, features`` of the runs that cross line ends (``texts``: ``row, text``)."""
-    return _featured(texts.select("row", "text"), "text", seam_grams, longest, buckets)
+    """``texts`` with the runs that cross line ends, as ``features``, in place of ``text``."""
+    return _featured(texts, "text", seam_grams, longest, buckets)
 
 
 def bucket_counts(counted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -128,19 +131,20 @@ def bucket_gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.floor(1000 * np.log((target + 1.0) * size / ((raw + 1.0) * goal))).astype(np.int64)
 
 
-def _gained(featured: DataFrame, key: str, gains: np.ndarray) -> DataFrame:
-    """``key, n, gain``: the number of features of each row and their summed gain."""
-    kind = dict(featured.dtypes)[key]
+def _gained(featured: DataFrame, keys: list[str], gains: np.ndarray) -> DataFrame:
+    """``keys, n, gain``: the number of features of each row and their summed gain."""
+    kinds = dict(featured.dtypes)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column(len(keys))
             sums = np.concatenate([[0], np.cumsum(gains[column.flatten().to_numpy()])])
             ends = column.offsets.to_numpy() - column.offsets[0].as_py()
             n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.diff(sums[ends]), pa.int64())], [key, "n", "gain"])
+            counts = [pa.array(n, pa.int64()), pa.array(np.diff(sums[ends]), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *counts], [*keys, "n", "gain"])
 
-    return featured.select(key, "features").mapInArrow(run, f"{key} {kind}, n bigint, gain bigint")
+    return featured.select(*keys, "features").mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n bigint, gain bigint"]))
 
 
 def document_weights(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = BUCKETS) -> DataFrame:
@@ -152,8 +156,9 @@ def document_weights(docs: DataFrame, target: DataFrame, longest: int = 1, bucke
     if longest > 1:
         places = durable(places, "places")
     lines = durable(segments(docs, longest, buckets), "segments")
-    totals = bucket_counts(lines, buckets)
-    goal = target.select(F.lit(0).cast("bigint").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # Whole tasks of lines are summed before the shuffle, however many files the lines were written to.
+    totals = bucket_counts(lines.coalesce(1 + lines.count() // LINES), buckets)
+    goal = target.select(F.coalesce("text", F.lit("")).alias("text"))
     wanted = bucket_counts(segments(goal, longest, buckets), buckets)
     extra = None
     if longest > 1:
@@ -162,15 +167,13 @@ def document_weights(docs: DataFrame, target: DataFrame, longest: int = 1, bucke
         totals = totals + bucket_counts(extra.select(once, "features"), buckets)
         wanted = wanted + bucket_counts(seams(goal, longest, buckets).select(once, "features"), buckets)
     gains = bucket_gains(totals, wanted)
-    held = durable(places.select("row", "doc_id", "words", F.explode(F.split("text", "\n")).alias("line")).select(
-        "row", "doc_id", "words", F.unhex(F.md5("line")).alias("digest")
-    ), "held")
-    valued = _gained(lines, "digest", gains)
-    met = held.select("row", "digest").hint("merge").join(valued.hint("merge"), "digest").select("row", "n", "gain")
+    about = ["row", "doc_id", "words"]
+    held = durable(places.select(*about, F.explode(F.split("text", "\n")).alias("line")).select(*about, F.unhex(F.md5("line")).alias("digest")), "held")
+    met = held.hint("merge").join(_gained(lines, ["digest"], gains).hint("merge"), "digest").select(*about, "n", "gain")
     if extra is not None:
-        met = met.unionByName(_gained(extra, "row", gains))
-    sums = met.groupBy("row").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
-    whole = held.select("row", "doc_id", "words").distinct().join(sums, "row")
+        met = met.unionByName(_gained(extra, about, gains))
+    # The numbers of a document go along with its lines, which saves a join.
+    whole = met.groupBy(*about).agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
     mean = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.expr("(gain - pmod(gain, n)) div n"))
     # Runs of one word are the words.
     return whole.select("doc_id", F.coalesce("words", "n").alias("n_words"), F.col("n").alias("n_features"), mean.cast("bigint").alias("weight"))
@@ -183,7 +186,8 @@ def resample(
     weighed = document_weights(docs, target, longest, buckets)
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     gumbel = F.floor(-1000 * F.log(-F.log((draw + 0.5) / 4294967296.0)))
-    scored = durable(weighed.withColumn("score", F.col("weight") + gumbel), "scored")
+    # One narrow row per document: few files, however many partitions the lines took.
+    scored = durable(weighed.withColumn("score", F.col("weight") + gumbel).coalesce(1 + docs.count() // DOCUMENTS), "scored")
     able = scored.filter(F.col("n_words") >= least)
     drawn = able.count() * percent // 100
     order = [F.desc("score"), F.col("doc_id").asc_nulls_first(), F.desc("weight"), F.desc("n_features")]
