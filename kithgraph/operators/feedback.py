@@ -1,11 +1,9 @@
-"""The review log and the labels that follow from it."""
+"""Labels, statuses and defaults that follow from the review log."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ordered import with_rank
-
 
 def review_marks(reviews: DataFrame) -> DataFrame:
     """``customer_id, review_id, included, mark`` for every customer a review touches.
@@ -76,26 +74,18 @@ def suggested_members(membership: DataFrame, scores: DataFrame, threshold: float
     return rows.join(some, "ring_id").select("ring_id", "customer_id", (likely | ~F.col("any")).alias("suggested"))
 
 
+def default_included(membership: DataFrame, scores: DataFrame, threshold: float, decision: str) -> DataFrame:
+    """``ring_id, customer_id`` that a decision includes unless the analyst chooses: a dismissal or reset is about all members."""
+    if decision != "confirm":
+        return membership.select("ring_id", "customer_id")
+    return suggested_members(membership, scores, threshold).filter("suggested").select("ring_id", "customer_id")
+
+
 def unknown_members(asked: DataFrame, membership: DataFrame) -> DataFrame:
     """Members named in a review (``ring_id, customer_id``) that are not in the ring."""
     return asked.join(membership.select("ring_id", "customer_id"), ["ring_id", "customer_id"], "left_anti")
 
 
-def append_reviews(path: str, new: DataFrame) -> None:
-    """Add reviews with ids that continue the log, in order of time and target."""
-    spark = new.sparkSession
-    try:
-        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
-    except Exception as missing:  # the first review makes the log
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        last = 0
-    columns = [c for c in new.columns if c != "id"]
-    order = [F.asc("created_at"), F.asc("target_type"), F.asc("target_id"), F.asc("decision")]
-    numbered = with_rank(new.select(*columns), order, "id").withColumn("id", F.col("id") + F.lit(last))
-    numbered.write.mode("append").parquet(path)
-
-
 def review_history(reviews: DataFrame, customer_id: str) -> DataFrame:
     """Reviews of one customer, alone or as a member of a ring."""
     is_ring = F.col("target_type") == "ring"

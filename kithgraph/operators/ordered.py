@@ -44,26 +44,20 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
 
 
 def with_rank_within(df: DataFrame, groups: list[str], order: list[Column], name: str = "position") -> DataFrame:
-    """1-based position inside each group; a group of any size is spread over ranges.
+    """1-based position inside each group; a group of any size is spread over ranges, and rows are sorted once.
 
-    A group that crosses range borders adds the rows it had in earlier ranges. At most one group
-    crosses each border, so the table of these carries is no longer than the number of ranges.
+    A piece is what a group has in one range. A row's position is its place in the range, less the place of the first row of
+    its piece, plus the rows that its group has in earlier ranges. The pieces are written, so their true size tells whether
+    they go to the rows as they lie or, where groups are as many as rows, rows and pieces are joined by a shuffle.
     """
     laid = _ranges(df, [F.col(g) for g in groups] + order)
-    pieces = laid.groupBy("_range", *groups).agg(F.count("*").alias("n"))
+    pieces = laid.groupBy("_range", *groups).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carries = (
-        pieces.withColumn("_carry", F.sum("n").over(earlier)).filter("_carry > 0").drop("n")
-    )
-    inside = F.row_number().over(Window.partitionBy("_range", *groups).orderBy("_at"))
-    carries = carries.select("_carry", *[F.col(g).alias(f"_of_{g}") for g in ["_range", *groups]])
-    # A NULL group crosses borders like any other.
+    carried = pieces.withColumn("_carry", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    carried = durable(carried.select((F.col("_carry") - F.col("_first") + 1).alias("_shift"), *[F.col(g).alias(f"_of_{g}") for g in ["_range", *groups]]), "pieces")
+    # A NULL group is a group like any other.
     same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in ["_range", *groups]])
-    return (
-        laid.withColumn("_inside", inside)
-        .join(F.broadcast(carries), same, "left")
-        .select(*df.columns, (F.col("_inside") + F.coalesce("_carry", F.lit(0))).cast("bigint").alias(name))
-    )
+    return laid.join(carried, same).select(*df.columns, (F.col("_at") + F.col("_shift")).cast("bigint").alias(name))
 
 
 def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], rank: str | None = None) -> DataFrame:

@@ -1,18 +1,21 @@
 """Analyse a dataset, store one version of its results, and retrain with analyst decisions.
 
 Result tables, each partitioned by dataset and version: ``customers``, ``contributions``, ``attributes``,
-``edges``, ``rings``, ``ring_members``, ``events``, ``histogram``, ``importance``, ``experiments``, ``runs``.
+``edges``, ``rings``, ``ring_members``, ``events``, ``histogram``, ``importance``, ``group_importance``, ``hubs``, ``at_k``,
+``pr_curve``, ``roc_curve``, ``levels``, ``experiments``, ``runs``. They become visible together when the version is published,
+and the tables of the steps on the way are deleted.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import settings
-from ..functions.metadata import feature_group
+from ..functions.metadata import InputError, feature_group
 from ..functions.values import risk_level
 from ..model import Dataset, FeatureTable
 from ..operators import (
@@ -20,8 +23,9 @@ from ..operators import (
     rings as rg, scoring,
 )
 from ..operators.models import Learners, Scored
-from ..session import durable
+from ..session import durable, steps
 from ..sources import sinks
+from ..sources.catalog import Catalog
 
 NO_FEEDBACK = "customer_id string, analyst_label int"
 EVALUATION = ["n", "n_positive", "threshold", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "tn", "fp", "fn", "tp"]
@@ -39,7 +43,7 @@ class Version:
     version: int
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return sinks.read_result(spark, self.root, name, self.dataset_id, self.version)
+        return Catalog(spark, self.root).read(name, self.dataset_id, self.version)
 
 
 def scored_customers(
@@ -93,7 +97,9 @@ def _run_row(
     )]
     levels = customers.agg(*[F.count_if(F.col("risk_level") == x).alias(f"n_{x}") for x in ("high", "medium", "low")])
     parts += [levels, rg.detection_quality(rings, membership, data.customers).withColumnsRenamed({"precision": "ring_precision"})]
-    parts += [quality.dataset_summary(data.customers, data.links, edges, data.events), graph.label_mix(data.customers, edges)]
+    summary = quality.dataset_summary(data.customers, data.links, edges, data.events)
+    stats = graph.graph_statistics(data.customers, edges)
+    parts += [summary, stats.select(*[c for c in stats.columns if c not in summary.columns])]
     nothing = F.lit(None).cast("double")
     if result.evaluation is not None:
         parts.append(result.evaluation.select(*[F.col(c).cast("double").alias(f"eval_{c}") for c in EVALUATION], "scope"))
@@ -127,6 +133,35 @@ def analyse(
 ) -> Version:
     """Graph, features, scores, rings, explanations and their storage, as one version of the dataset."""
     spark = data.customers.sparkSession
+    catalog = Catalog(spark, root)
+    if version in catalog.versions(dataset_id):
+        raise InputError(f"Version {version} of {dataset_id} is published already.")
+    with steps(spark):
+        tables = _results(data, root, dataset_id, version, feedback, reference, learners, cap, max_ring, previous)
+        for name, frame in tables.items():
+            sinks.write_result(frame, root, name, dataset_id, version)
+        if previous is None:
+            save_snapshot(data, f"{root}/snapshots/{quote(dataset_id, safe='')}")
+        about = tables["runs"].first().asDict()
+    catalog.publish(dataset_id, version, list(tables), summary={k: about[k] for k in ("mode", "n_customers", "n_links", "n_edges") if k in about})
+    return Version(root, dataset_id, version)
+
+
+def _ranked(result: Scored, customers: DataFrame) -> dict[str, DataFrame]:
+    """Tables about the order of scores, of the accounts that were evaluated or else of all that have a label."""
+    scored = result.evaluated if result.evaluated is not None else customers.select("customer_id", "label", "risk").filter("label is not null")
+    if scored.isEmpty():
+        return {}
+    stepped = durable(m.score_steps(scored), "score_steps")
+    return {"at_k": m.at_k(scored), "pr_curve": m.pr_curve(stepped), "roc_curve": m.roc_curve(stepped)}
+
+
+def _results(
+    data: Dataset, root: str, dataset_id: str, version: int, feedback: DataFrame | None, reference: tuple[Dataset, DataFrame] | None,
+    learners: Learners, cap: int, max_ring: int, previous: Version | None,
+) -> dict[str, DataFrame]:
+    """All result tables of a version by name."""
+    spark = data.customers.sparkSession
     if feedback is None:
         feedback = spark.createDataFrame([], NO_FEEDBACK)
     feedback = durable(feedback.join(data.customers.select("customer_id"), "customer_id", "left_semi"), "feedback")
@@ -153,17 +188,17 @@ def analyse(
         "ring_members": rg.members_in_order(membership, result.scores),
         "histogram": m.risk_histogram(customers.select("risk", "label")),
         "importance": by_feature,
-        "runs": run,
+        "group_importance": attribution.group_importance(by_feature),
+        "hubs": graph.hub_report(data.links, cap),
+        "levels": m.level_counts(customers.select("risk"), result.threshold),
+        **_ranked(result, customers),
+        "runs": durable(run, "runs"),
     }
     if result.experiments is not None:
         tables["experiments"] = result.experiments
     if data.events is not None and previous is None:
         tables["events"] = data.events
-    for name, frame in tables.items():
-        sinks.write_result(frame, root, name, dataset_id, version)
-    if previous is None:
-        save_snapshot(data, f"{root}/snapshots/{dataset_id}")
-    return Version(root, dataset_id, version)
+    return tables
 
 
 def save_snapshot(data: Dataset, path: str) -> None:
@@ -191,9 +226,10 @@ def retrain(
     learners: Learners = Learners(), **options: int,
 ) -> Version:
     """The next version from the stored snapshot and the labels that follow from the review log."""
-    runs = sinks.read_result(spark, root, "runs", dataset_id)
-    last = int(runs.agg(F.max("version")).first()[0])
-    data = load_snapshot(spark, f"{root}/snapshots/{dataset_id}")
+    last = Catalog(spark, root).active_version(dataset_id)
+    if not last:
+        raise InputError(f"{dataset_id} has not been analysed.")
+    data = load_snapshot(spark, f"{root}/snapshots/{quote(dataset_id, safe='')}")
     return analyse(
         data, root, dataset_id, last + 1, fb.feedback_labels(reviews), reference, learners,
         previous=Version(root, dataset_id, last), **options,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.metadata import InputError
-from ..operators import feedback as fb, neighbourhood as nb, views
+from ..operators import edges as graph, feedback as fb, neighbourhood as nb, views
+from ..sources import sinks
+from ..sources.catalog import Catalog
 from .analyse import Version
 
 
@@ -83,8 +85,55 @@ def network(spark: SparkSession, version: Version, reviews: DataFrame, **filters
     return {"rings": shown, "nodes": nodes.join(people, "customer_id").join(_labels(reviews), "customer_id", "left"), "edges": links}
 
 
+def customer_list(spark: SparkSession, version: Version, reviews: DataFrame, **asked) -> dict[str, DataFrame]:
+    """How many accounts fit the filters, and one sorted page of them."""
+    total, page = views.customer_page(version.table(spark, "customers"), _labels(reviews), **asked)
+    return {"total": total, "customers": page}
+
+
+def ring_list(spark: SparkSession, version: Version, reviews: DataFrame, **asked) -> dict[str, DataFrame]:
+    """Rings in scope counted by status, and one page of the queue."""
+    counts, page = views.ring_page(version.table(spark, "rings"), version.table(spark, "customers"), reviews, **asked)
+    return {"counts": counts, "rings": page}
+
+
+def customer_graph(
+    spark: SparkSession, version: Version, reviews: DataFrame, customer_id: str, hops: int = 2, max_nodes: int = 120
+) -> dict[str, DataFrame]:
+    """The accounts around one account with their hop, their scores, and the edges among them; ``cut`` tells whether some were left out."""
+    customers, edges = version.table(spark, "customers"), version.table(spark, "edges").drop("types")
+    _one(customers.filter(F.col("customer_id") == customer_id), "Customer")
+    near, cut = nb.ego_network(edges, customer_id, hops, max_nodes)
+    people = customers.select("customer_id", "name", "risk", "risk_level", "ring_id", "label", "degree")
+    return {
+        "nodes": near.join(people, "customer_id").join(_labels(reviews), "customer_id", "left"),
+        "edges": views.edges_for_people(graph.induced_subgraph(near.select("customer_id"), edges)),
+        "cut": spark.createDataFrame([(cut,)], "cut boolean"),
+    }
+
+
+def export(spark: SparkSession, version: Version, reviews: DataFrame) -> DataFrame:
+    """The scored accounts as people get them, in order of rank."""
+    return sinks.customer_export(version.table(spark, "customers").join(_labels(reviews), "customer_id", "left"))
+
+
+def quality_of_scores(spark: SparkSession, version: Version) -> dict[str, DataFrame]:
+    """What a version stored about the order of its scores and about its graph; tables that it lacks are left out."""
+    stored = ["at_k", "pr_curve", "roc_curve", "levels", "hubs", "group_importance", "experiments"]
+    held = Catalog(spark, version.root).published().filter(
+        (F.col("dataset_id") == version.dataset_id) & (F.col("version") == version.version)
+    ).first()["tables"]
+    return {name: version.table(spark, name) for name in stored if name in held}
+
+
+def datasets(spark: SparkSession, root: str) -> DataFrame:
+    """All datasets with their active version."""
+    return Catalog(spark, root).datasets().orderBy("dataset_id")
+
+
 def history(spark: SparkSession, version: Version) -> DataFrame:
-    """All versions of the dataset with the change of their metrics."""
-    runs = spark.read.parquet(f"{version.root}/runs").filter(F.col("dataset_id") == version.dataset_id)
+    """All visible versions of the dataset with the change of their metrics."""
+    known = Catalog(spark, version.root).versions(version.dataset_id)
+    runs = sinks.read_result(spark, version.root, "runs", version.dataset_id).filter(F.col("version").isin(known))
     evaluated = runs.withColumnsRenamed({c: c[len("eval_"):] for c in runs.columns if c.startswith("eval_")})
     return views.version_history(evaluated)

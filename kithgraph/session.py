@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Folder of the run under way, if its steps are to be deleted together.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+# Folder of the last stage of a chain.
+_left: ContextVar[str | None] = ContextVar("left", default=None)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[str]:
+    """Keep the tables that ``durable`` writes meanwhile in a folder of their own, and delete it at the end.
+
+    Nothing that was read from them may be used afterwards: results are written elsewhere inside the block.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        _delete(spark, folder)
+
+
+@contextmanager
+def stage_steps(spark: SparkSession, first: bool = False) -> Iterator[str]:
+    """Like ``steps`` for one stage of a chain: its tables stay until the next stage begins, since its result still reads them.
+
+    Each stage but the ``first`` must get its input as a written table. The tables of a last stage stay.
+    """
+    last, folder = _left.get(), f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    if last and not first:
+        _delete(spark, last)
+    _left.set(folder)
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+
+
+def step_folder(spark: SparkSession) -> str:
+    """Where tables of steps go at present."""
+    return _run.get() or shared_folder(spark)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -62,7 +114,7 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     column pruning and gives the optimizer true sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{step_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .files import Files
+
 SHEET_FORMULA = "^[=+@-]"
 
 
@@ -27,15 +29,19 @@ def read_result(spark: SparkSession, root: str, table: str, dataset_id: str, ver
     return frame if version is None else frame.filter(F.col("version") == version)
 
 
+def partition_text(value: str) -> str:
+    """A value as Spark writes it into the name of a partition folder."""
+    hidden = set('"#%\'*/:=?\\\x7f{[]^')
+    return "".join(f"%{ord(c):02X}" if c in hidden or ord(c) < 32 else c for c in value)
+
+
 def without_dataset(frame: DataFrame, dataset_id: str) -> DataFrame:
     return frame.filter(~F.col("dataset_id").eqNullSafe(dataset_id))
 
 
 def delete_dataset(spark: SparkSession, root: str, table: str, dataset_id: str) -> bool:
-    """Drop the partitions of one dataset; no data is read or rewritten."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/dataset_id={dataset_id}")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.delete(path, True)
+    """Drop the partitions of one dataset from one table; no data is read or rewritten."""
+    return Files(spark).delete(f"{root}/{table}/dataset_id={partition_text(dataset_id)}")
 
 
 def customer_export(customers: DataFrame) -> DataFrame:

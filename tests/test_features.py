@@ -116,14 +116,6 @@ def test_latest_decision_wins_and_excluded_members_are_cleared(spark):
     assert (row["n_labels"], row["fraud"], row["n_reviews"], row["reviews_since_model"], row["retrain_recommended"]) == (1, 1, 5, 2, True)
 
 
-def test_review_log_appends_with_rising_ids(spark, tmp_path):
-    path = str(tmp_path / "reviews")
-    for day in ("2024-01-01", "2024-01-02"):
-        new = spark.createDataFrame([("customer", c, "confirm", None, [c], [c], 1) for c in "ab"], "target_type string, target_id string, decision string, note string, members array<string>, included array<string>, model_version int")
-        FB.append_reviews(path, new.withColumn("created_at", F.lit(day).cast("timestamp")))
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
-
-
 def test_folds_keep_groups_whole_and_spread_fraud(spark):
     draw = random.Random(8)
     rows = [(f"c{i:03d}", f"g{draw.randrange(60):02d}", None) for i in range(240)]

@@ -7,6 +7,7 @@ from kithgraph.functions.metadata import InputError
 from kithgraph.model import Dataset
 from kithgraph.operators import attribution as AT, explain as X, features as FT, models as ML, scoring as SC
 from kithgraph.plans import analyse as PL, experiment as EX, read as RD
+from kithgraph.plans.review import review_customer, review_ring
 from kithgraph.operators.edges import identity_edges
 from kithgraph.session import durable
 from checks import fixtures as fx
@@ -147,6 +148,25 @@ def test_analyse_then_retrain_keeps_ring_ids(spark, data, tmp_path):
     assert 0 < shown["nodes"].count() <= 100 and not shown["edges"].isEmpty()
     assert [r["version"] for r in RD.history(spark, second).collect()] == [1, 2]
 
+    stored = RD.quality_of_scores(spark, second)
+    assert set(stored) == {"at_k", "pr_curve", "roc_curve", "levels", "hubs", "group_importance", "experiments"}
+    assert {r["k"] for r in stored["at_k"].collect()} == {25, 50, 100} and stored["levels"].agg(F.sum("customers")).first()[0] == 150
+    assert stored["roc_curve"].agg(F.max("tpr")).first()[0] == 1.0 and stored["pr_curve"].count() > 10
+    assert row["n_nodes"] == 150 and row["edges_phone"] + row["edges_email"] > 0
+    assert [(r["dataset_id"], r["active_version"]) for r in RD.datasets(spark, root).collect()] == [("d1", 2)]
+    assert RD.customer_list(spark, second, reviews, q=members[0])["total"].first()[0] == 1
+    assert RD.ring_list(spark, second, reviews, scope="all")["counts"].first()["confirmed"] == 1
+    around = RD.customer_graph(spark, second, reviews, members[0])
+    assert around["nodes"].filter("hop = 0").count() == 1 and not around["edges"].isEmpty()
+    assert RD.export(spark, second, reviews).count() == 150
+    act = review_ring(spark, second, "R-0001", "dismiss", note="known family")
+    assert act["status"].first()["status"] == "dismissed" and act["included"].count() == len(members)
+    assert review_customer(spark, second, members[0], "confirm").first()["fraud"] == 1
+    with pytest.raises(InputError):
+        PL.analyse(data, root, "d1", learners=SMALL)
+    with pytest.raises(InputError):
+        PL.retrain(spark, root, "nothing", reviews)
+
 
 def test_unlabelled_data_is_scored_by_transfer(spark, data, tmp_path):
     hidden = Dataset(data.customers.withColumn("label", F.lit(None).cast("int")).withColumn("truth_ring", F.lit(None).cast("string")), data.links)
