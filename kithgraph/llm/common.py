@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder, tune
+from ..session import step_folder, tune
 
 # Arrow batches stay small enough for very long documents.
 BATCHES = {
@@ -31,8 +31,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder of the cluster."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for tables of steps, under the shared folder of the cluster."""
+    return f"{step_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def word_count(text: Column) -> Column:

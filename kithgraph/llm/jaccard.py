@@ -539,13 +539,13 @@ def _label(members: DataFrame, group: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: one row of each group, with the smallest id (NULL last), and all without a word."""
     # Rows are told apart by numbers, which are fixed by writing them, so repeated rows and equal or NULL ids are copies too.
-    numbered = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    labels = durable(join_similar(numbered.select(F.col("_row").alias("doc_id"), "text")), "labels").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    key = F.col("doc_id").cast("bigint")
-    placed = labels.filter("n_shingles > 0").join(numbered.select("_row", key.alias("_id")), "_row")
-    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("least"))
-    stay = least.select("least._row").unionByName(labels.filter("n_shingles = 0").select("_row"))
-    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+    # All columns of a document travel as one, so that names of any kind cannot clash.
+    numbered = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
+    labels = durable(join_similar(numbered.select(F.col("row").alias("doc_id"), "doc.text")), "labels").select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    placed = labels.filter("n_shingles > 0").join(numbered.select("row", F.col("doc.doc_id").alias("id")), "row")
+    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"))
+    stay = least.select("least.row").unionByName(labels.filter("n_shingles = 0").select("row"))
+    return numbered.join(stay, "row", "left_semi").select("doc.*")
 
 
 SQL = r"""

@@ -1,24 +1,28 @@
 """Mixing sources to target weights, in fixed-length blocks of words, with DataFrame functions only.
 
 The words of a source, in order of document, are packed into blocks of ``BLOCK`` words; the last block may be shorter. A
-source needs a number of words (its target), hence a number of slots of one block each. A slot belongs to an epoch (each
-epoch goes once through all blocks). ``draw_slots`` also draws an output shard for it by hash, so that the counts of a
-source over the shards are multinomial, but the mix has no output shards: neither ``mix_digest`` nor ``mixed_documents``
-uses the draw, and the blocks taken of a document are put back in its order. Within an epoch a slot finds its block through a pseudorandom permutation of the source's block numbers
-(a swap-or-not shuffle, arithmetic only), and slots and blocks are joined by number. The last slot takes only what is
-missing, so a source misses its target by rounding alone, and a document is never taken more often than epochs allow.
+source needs a number of words (its target), hence a number of slots of one block each. How many slots of each source an output
+shard holds is drawn first: every slot of a source falls into a shard by hash, so the counts are multinomial (``shard_counts``).
+The slots are then numbered shard by shard from these counts, the running numbers go through the source's blocks once in every
+epoch, and within an epoch a slot finds its block through a pseudorandom permutation of the source's block numbers (a
+swap-or-not shuffle, arithmetic only). Slots and blocks are joined by number. The last slot takes only what is missing, so a
+source misses its target by rounding alone, and a document is never taken more often than epochs allow.
+
+The mix has three forms: ``mixed_shards`` is the filled shards, slot by slot; ``mixed_documents`` is the stretches of documents
+that were taken, as documents; ``mix_digest`` counts what was taken of each document, and over how many shards it went.
 
 Targets: sources in code-point order, NULL last, weigh 1, 2, 3, 1, ... and share all words; a target stops at three
 times its source's size, and the excess goes to the others by weight until none is above.
 
 Defined results: a NULL text has no words and takes none; a NULL source is a source; repeated rows are documents of their
-own; running totals use ranges, so a source with a third of all rows is spread over tasks; nothing is drawn at random
-outside the hash, so reruns agree; an empty table gives an empty result.
+own; a stretch keeps the white space between its words, a document taken whole keeps all; columns of any name are handed on;
+running totals use ranges, so a source with a third of all rows is spread over tasks; nothing is drawn at random outside the
+hash, so reruns agree; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ordered import with_running_sums
 from ..session import durable
@@ -39,6 +43,13 @@ def _hash(value: str, salt: str) -> str:
     return f"((({first}) % 65536) * {STEPS[1]} + (({first}) div 65536) * {STEPS[0]} + ({salt}) % 65521) % {PRIME}"
 
 
+def _drawn(value: str, salt: str) -> str:
+    """A number below 2^19 for each value, independent of its neighbours' numbers: the hash squared twice, less its low bits."""
+    once = _hash(value, salt)
+    twice = f"(({once}) * ({once}) + ({salt}) % 65521) % {PRIME}"
+    return f"((({twice}) * ({twice}) + 1) % {PRIME}) div 4096"
+
+
 def round_keys() -> list[str]:
     """One key for each round of the permutation of a source and epoch."""
     return [_hash(f"source_nr * 1009 + epoch * 31 + {n * 7907}", f"{n * 15485863 + 11}") for n in range(ROUNDS)]
@@ -82,25 +93,29 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return marked.select("source", "source_nr", "source_size", target.alias("target"))
 
 
-def place_documents(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Documents (columns ``keep``) with ``row_nr``, ``size``, ``source_nr`` and their first word ``start`` in their source; the sources."""
-    sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
-    order = [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("_tie")]
-    laid = with_running_sums(sized, order, {"_through": "_size"}, rank="row_nr")
-    sizes = durable(
-        laid.groupBy("source").agg(F.sum("_size").alias("source_size"), F.min(F.col("_through") - F.col("_size")).alias("_first")), "sizes"
-    )
+def _sized(rows: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+    """``row, doc_id, source, size, tie`` of numbered documents, written once: words are counted a single time."""
+    return durable(rows.select(
+        "row", F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("tie")
+    ), "sized")
+
+
+def place_documents(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, doc_id, size, source_nr, source_size, target, start`` (first word in the source) of every document; the sources."""
+    order = [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
+    laid = with_running_sums(sized, order, {"through": "size"})
+    sizes = durable(laid.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(F.col("through") - F.col("size")).alias("first")), "sizes")
     sources = durable(source_targets(sizes.select("source", "source_size")), "sources")
     firsts = sizes.join(sources.select(F.col("source").alias("_s"), "source_nr", "target"), F.col("source").eqNullSafe(F.col("_s"))).select(
-        F.col("source").alias("_source"), "_first", "source_nr", "source_size", "target"
+        F.col("source").alias("_source"), "first", "source_nr", "source_size", "target"
     )
     placed = laid.join(firsts, F.col("source").eqNullSafe(F.col("_source")))
-    start = F.col("_through") - F.col("_size") - F.col("_first")
-    return placed.withColumn("start", start).withColumnRenamed("_size", "size").drop("_source", "_first", "_through", "_tie"), sources
+    start = (F.col("through") - F.col("size") - F.col("first")).alias("start")
+    return placed.select("row", "doc_id", "size", "source_nr", "source_size", "target", start), sources
 
 
-def draw_slots(sources: DataFrame) -> DataFrame:
-    """``source_nr, block, epoch, slot, shard, words``: every slot of the mix, and how many words it takes of its block."""
+def source_epochs(sources: DataFrame) -> DataFrame:
+    """``source_nr, source_size, blocks, epoch, left, slots, k0, ...``: the epochs of each source, with the keys of their permutations."""
     asked = sources.filter("source_size > 0 and target > 0").select(
         "source_nr", "source_size", F.round("target").cast("bigint").alias("need"),
         F.expr(f"(source_size + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("epoch"),
@@ -108,58 +123,109 @@ def draw_slots(sources: DataFrame) -> DataFrame:
     epochs = asked.withColumn("left", F.least(F.col("need") - F.col("epoch") * F.col("source_size"), F.col("source_size"))).filter("left > 0")
     for number, key in enumerate(round_keys()):
         epochs = epochs.withColumn(f"k{number}", F.expr(key))
-    epochs = _shuffled(epochs, "blocks - 1", list(reversed(range(ROUNDS))), "tail_slot")
     # One slot more than full blocks ask for makes up for the short last block.
-    slots = epochs.withColumn("slots", F.least(F.col("blocks"), F.expr(f"(left + {BLOCK - 1}) div {BLOCK} + 1")))
-    # Runs of 1024 slots are dealt out, so that the slots of a large source are made in many tasks.
-    runs = slots.withColumn("_run", F.explode(F.expr("sequence(0L, (slots - 1) div 1024)"))).repartition("source_nr", "epoch", "_run")
-    each = runs.withColumn("slot", F.explode(F.expr("sequence(_run * 1024, least(slots, _run * 1024 + 1024) - 1)")))
-    each = _shuffled(each, "slot", list(range(ROUNDS)), "block")
+    return epochs.drop("need").withColumn("slots", F.least(F.col("blocks"), F.expr(f"(left + {BLOCK - 1}) div {BLOCK} + 1")))
+
+
+def _dealt(rows: DataFrame, first: str, count: str, name: str) -> DataFrame:
+    """Each row once for every number from ``first`` on, ``count`` of them; runs of 1024 are dealt out over tasks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.filter(F.col(count) > 0).withColumn("_run", F.explode(F.expr(f"sequence(0L, ({count} - 1) div 1024)"))).repartition(tasks, "source_nr", "_run")
+    return runs.withColumn(name, F.explode(F.expr(f"sequence({first} + _run * 1024, {first} + least({count}, _run * 1024 + 1024) - 1)"))).drop("_run")
+
+
+def shard_counts(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``source_nr, shard, slots, first``: the multinomial draw, and the number of each shard's first slot in its source."""
+    slots = source_epochs(sources).groupBy("source_nr").agg(F.sum("slots").alias("all"))
+    shard = F.expr(f"({_drawn('ticket', 'source_nr * 104729 + 3')}) % {shards}").alias("shard")
+    drawn = _dealt(slots.withColumn("zero", F.lit(0).cast("bigint")), "zero", "all", "ticket").select("source_nr", shard)
+    counts = drawn.groupBy("source_nr", "shard").agg(F.count("*").alias("slots"))
+    # At most one row for each shard of a source.
+    earlier = Window.partitionBy("source_nr").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+
+
+def draw_slots(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``source_nr, block, epoch, shard, slot, words``: every slot of the mix, numbered in its source, and how many words it takes of its block."""
+    epochs = source_epochs(sources)
+    epochs = _shuffled(epochs, "blocks - 1", list(reversed(range(ROUNDS))), "tail_slot")
+    blocks = epochs.select("source_nr", "blocks").distinct()
+    numbered = _dealt(shard_counts(sources, shards).join(blocks, "source_nr"), "first", "slots", "slot").select(
+        "source_nr", "shard", "slot", F.expr("int(slot div blocks)").alias("epoch"), F.expr("slot % blocks").alias("at")
+    )
+    each = _shuffled(numbered.join(epochs.drop("slots"), ["source_nr", "epoch"]), "at", list(range(ROUNDS)), "block")
     last = F.col("block") == F.col("blocks") - 1
     short = F.col("source_size") - (F.col("blocks") - 1) * BLOCK
-    before = F.col("slot") * BLOCK - F.when(F.col("tail_slot") < F.col("slot"), BLOCK - short).otherwise(0)
+    before = F.col("at") * BLOCK - F.when(F.col("tail_slot") < F.col("at"), BLOCK - short).otherwise(0)
     words = F.least(F.when(last, short).otherwise(F.lit(BLOCK)), F.greatest(F.col("left") - before, F.lit(0)))
-    shard = F.expr(f"({_hash('slot + epoch * 15485863', 'source_nr * 104729 + 3')}) % {SHARDS}")
-    return each.select("source_nr", "block", "epoch", "slot", shard.alias("shard"), words.cast("bigint").alias("words")).filter("words > 0")
+    return each.select("source_nr", "block", "epoch", "shard", "slot", words.cast("bigint").alias("words")).filter("words > 0")
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """``shard, source_nr, slots``: the multinomial draw."""
-    return slots.groupBy("shard", "source_nr").agg(F.count("*").alias("slots"))
-
-
-def pieces(placed: DataFrame, sources: DataFrame) -> DataFrame:
-    """``row_nr, epoch, shard, low, high``: the stretches of words (from 0, end exclusive) that slots take of documents."""
+def pieces(placed: DataFrame, sources: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``row, source_nr, epoch, shard, slot, low, high``: the stretches of words (from 0, end exclusive) that slots take of documents."""
     # A document is cut at block borders; the pieces of a very long one are ordinary rows.
     met = placed.filter("size > 0").select(
-        "row_nr", "source_nr", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block")
+        "row", "source_nr", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block")
     )
     # The slots are many more than the sources they are made from suggest; they must not be broadcast.
-    taken = met.hint("merge").join(draw_slots(sources).hint("merge"), ["source_nr", "block"])
+    taken = met.hint("merge").join(draw_slots(sources, shards).hint("merge"), ["source_nr", "block"])
     low = F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")
     high = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("words")) - F.col("start")
-    return taken.select("row_nr", "epoch", "shard", low.alias("low"), high.alias("high")).filter("high > low")
+    return taken.select("row", "source_nr", "epoch", "shard", "slot", low.alias("low"), high.alias("high")).filter("high > low")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words the mix takes of it."""
-    placed, sources = place_documents(docs, ["doc_id"])
-    taken = pieces(placed, sources).groupBy("row_nr").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
-    return placed.hint("merge").join(taken.hint("merge"), "row_nr", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
+    """One row per document: its size, its source's size and target, the words the mix takes of it, and over how many shards they go."""
+    placed, sources = place_documents(_sized(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text"), "doc_id", "source", "text"))
+    taken = pieces(placed, sources).groupBy("row").agg(F.sum(F.col("high") - F.col("low")).alias("taken"), F.size(F.collect_set("shard")).alias("shards"))
+    return placed.hint("merge").join(taken.hint("merge"), "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("shards", F.lit(0)).cast("bigint").alias("n_shards")
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc``: all columns of a document as one, so that names of any kind cannot clash."""
+    return durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
+
+
+def _stretch(text: str, low: str, high: str) -> F.Column:
+    """The words from ``low`` to ``high`` of a text with the white space between them."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col(low) + 1).cast("int"), (F.col(high) - F.col(low)).cast("int")), "")
+    return F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: one row per document and epoch that takes words of it, with the words taken, in order."""
-    placed, sources = place_documents(docs, docs.columns)
-    parts = pieces(placed.drop("text"), sources).groupBy("row_nr", "epoch")
-    taken = parts.agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_parts"), F.sum(F.col("high") - F.col("low")).alias("_n"))
-    met = placed.hint("merge").join(taken.hint("merge"), "row_nr")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), " ")
-    text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(cut)
-    return met.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """The mix as documents: one row for each stretch of a document that an epoch takes, with the columns of ``docs``.
+
+    Only numbers are mixed; the texts are joined once, at the end.
+    """
+    rows = _numbered(docs)
+    placed, sources = place_documents(_sized(rows, "doc.doc_id", "doc.source", "doc.text"))
+    order = Window.partitionBy("row", "epoch").orderBy("low")
+    cut = F.coalesce((F.col("low") != F.lag("high").over(order)).cast("int"), F.lit(0))
+    parts = pieces(placed, sources).select("row", "epoch", "low", "high").withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(order))
+    taken = parts.groupBy("row", "epoch", "_part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    sized = placed.select("row", "size").hint("merge").join(taken.hint("merge"), "row")
+    met = rows.hint("merge").join(sized.hint("merge"), "row")
+    whole = (F.col("low") == 0) & (F.col("high") == F.col("size"))
+    text = F.when(whole, F.col("doc.text")).otherwise(_stretch("doc.text", "low", "high"))
+    mixed = met.select(F.col("doc").withField("text", text).alias("doc"))
+    if "n_chars" in docs.columns:
+        mixed = mixed.select(F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)).alias("doc"))
+    return mixed.select("doc.*")
+
+
+def mixed_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The filled output shards: ``shard, slot, source, doc_id, text`` of every piece; a slot holds at most ``BLOCK`` words.
+
+    Pieces of one slot stand in order of their documents. Write it partitioned by ``shard`` to get a file set for each.
+    """
+    rows = _numbered(docs)
+    placed, sources = place_documents(_sized(rows, "doc.doc_id", "doc.source", "doc.text"))
+    taken = pieces(placed, sources, shards).select("row", "shard", "slot", "low", "high")
+    met = rows.hint("merge").join(taken.hint("merge"), "row")
+    return met.select("shard", "slot", F.col("doc.source").alias("source"), F.col("doc.doc_id").alias("doc_id"), _stretch("doc.text", "low", "high").alias("text"))
 
 
 def _sql() -> str:
@@ -184,18 +250,23 @@ epochs as (select source_nr, source_size, cast(round(target) as bigint) as need,
     unnest(range({MOST})) as epoch from targets where source_size > 0 and target > 0),
 lefts as (select *, least(need - epoch * source_size, source_size) as words_left, {keys} from epochs),
 each as (select *, slot as x from (select *, unnest(range(least(blocks, (words_left + {BLOCK - 1}) // {BLOCK} + 1))) as slot from lefts where words_left > 0)),
+tickets as (select source_nr, shard, row_number() over (partition by source_nr order by shard) - 1 as number from (
+    select source_nr, ({duck(_drawn('ticket', 'source_nr * 104729 + 3'))}) % {SHARDS} as shard
+    from (select source_nr, unnest(range(count(*))) as ticket from each group by source_nr))),
 {rounds}
 tails as (select source_nr, epoch, slot as tail_slot from {before} where x = blocks - 1),
-slots as (select r.source_nr, r.x as block, least(case when x = blocks - 1 then source_size - (blocks - 1) * {BLOCK} else {BLOCK} end,
+slots as (select r.source_nr, r.x as block, tickets.shard, least(case when x = blocks - 1 then source_size - (blocks - 1) * {BLOCK} else {BLOCK} end,
     greatest(words_left - (slot * {BLOCK} - case when tail_slot < slot then {BLOCK} - (source_size - (blocks - 1) * {BLOCK}) else 0 end), 0)) as words
-    from {before} r left join tails using (source_nr, epoch)),
+    from {before} r left join tails using (source_nr, epoch) join tickets on tickets.source_nr = r.source_nr and tickets.number = r.epoch * r.blocks + r.slot),
 placed as (select doc_id, size, source_nr, d.source, sum(size) over (partition by d.source order by doc_id rows unbounded preceding) - size as start, source_size, target
     from docs d join targets t on d.source is not distinct from t.source),
 cut as (select doc_id, source_nr, start, size, unnest(range(cast(start as bigint) // {BLOCK}, (cast(start as bigint) + size - 1) // {BLOCK} + 1)) as block
     from placed where size > 0),
-taken as (select doc_id, source_nr, start, sum(greatest(0, least(start + size, block * {BLOCK} + words) - greatest(start, block * {BLOCK}))) as taken
-    from cut join slots using (source_nr, block) group by all)
-select p.doc_id, p.size, p.source_size, p.target, cast(case when p.size > 0 then coalesce(t.taken, 0) else 0 end as bigint) as taken
+parts as (select doc_id, source_nr, start, shard, least(start + size, block * {BLOCK} + words) - greatest(start, block * {BLOCK}) as n
+    from cut join slots using (source_nr, block)),
+taken as (select doc_id, source_nr, start, sum(n) as taken, count(distinct shard) as n_shards from parts where n > 0 group by all)
+select p.doc_id, p.size, p.source_size, p.target, cast(case when p.size > 0 then coalesce(t.taken, 0) else 0 end as bigint) as taken,
+    case when p.size > 0 then coalesce(t.n_shards, 0) else 0 end as n_shards
 from placed p left join taken t on p.doc_id = t.doc_id and p.source_nr = t.source_nr and p.start = t.start
 """
 

@@ -5,10 +5,10 @@ ordered by what is left in them. A bin carries two bitmaps: the source slots it
 The search for a piece starts at the smallest residual that fits and goes on to the successors until a bin shares no bit
 with the piece, which is then the tightest compatible bin; if there is none a new bin is opened.
 
-A source has as many slots as its share of the words lets one expect in a bin, and one more; a document's slot is a hash.
-So a source with a third of all words still fills bins, and a small source does not fill one alone. Copies never share a
-bin: rows of the same text, of the same id, or of ids in one group of near copies (``clusters``). A row without an id
-conflicts with the same text only.
+A source has as many slots as its share of the pieces lets one expect in a bin, and one more; its pieces take the slots in
+turn. So a source with a third of all words still fills bins, and a small source does not fill one alone. Copies never share a
+bin: rows of the same text, of the same id, or of ids in one group of near copies (``clusters``; a caller that knows them, or
+knows that there are none, hands them in). A row without an id conflicts with the same text only.
 
 A text longer than a bin is cut into full bins and a rest, in order, so nothing is dropped. Defined results: a NULL or
 empty text is one piece of size 0; a NULL source is a source; ties go by size, then by id and piece, then by hash of the
@@ -29,7 +29,6 @@ from .jaccard import join_similar
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
-MOST_SLOTS = 64
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
@@ -65,10 +64,11 @@ def pack_shard(rows: list[dict], capacity: int) -> list[tuple[int, int]]:
             seen[name] = seen.get(name, 0) + 1
     bits: dict = {}
     slots: dict = {}
+    turns: dict = {}
     pieces = []
     for r, names in zip(rows, named, strict=True):
-        key = (r["source"], r["slot"])
-        source = 1 << slots.setdefault(key, len(slots))
+        turn = turns[r["source"]] = turns.get(r["source"], -1) + 1
+        source = 1 << slots.setdefault((r["source"], turn % r["slots"]), len(slots))
         cluster = 0
         for name in names:
             if seen[name] > 1:
@@ -96,19 +96,26 @@ def source_slots(pieces: DataFrame, capacity: int) -> DataFrame:
     by = pieces.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     words, n = by.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     in_bin = capacity * n / max(words, 1)
-    slots = F.least(F.lit(MOST_SLOTS), 1 + F.ceil(F.col("n") / F.lit(max(n, 1)) * F.lit(float(in_bin)))).cast("int")
+    slots = (1 + F.ceil(F.col("n") / F.lit(max(n, 1)) * F.lit(float(in_bin)))).cast("bigint")
     return by.select(F.col("source").alias("_source"), slots.alias("slots"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``doc_id, piece, size, bin, offset, filled``: where each piece of each document goes."""
+def pack(docs: DataFrame, groups: DataFrame | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``doc_id, piece, size, bin, offset, filled``: where each piece of each document goes.
+
+    ``groups`` (``id, cluster``) names the group of every id that has near copies; without it only copies of one id and equal
+    texts conflict.
+    """
     # Row numbers are fixed by writing them, so that any number of equal rows is dealt to all shards.
     pieces = durable(cut_documents(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
-    known = pieces.join(clusters(docs), F.col("doc_id").cast("bigint") == F.col("id"), "left").drop("id")
-    pieces = known.withColumn("cluster", F.coalesce("cluster", F.col("doc_id").cast("bigint")))
+    own = F.col("doc_id").cast("bigint")
+    if groups is None:
+        pieces = pieces.withColumn("cluster", own)
+    else:
+        pieces = pieces.join(groups, own == F.col("id"), "left").drop("id").withColumn("cluster", F.coalesce("cluster", own))
     keyed = pieces.join(source_slots(pieces, capacity), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    spread = keyed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).withColumn("slot", F.pmod(F.xxhash64("row", F.lit(1)), F.col("slots")))
+    spread = keyed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     order = [F.desc("size"), F.col("doc_id").asc_nulls_first(), "piece", "same"]
     names = ["doc_id", "piece", "size", "bin", "offset", "filled"]
 
@@ -135,6 +142,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         if rows:
             yield flush(shard, rows)
 
-    laid = spread.select("shard", F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "size", "source", "slot", "same", "cluster")
+    laid = spread.select("shard", F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "size", "source", "slots", "same", "cluster")
     sorted_ = laid.repartition("shard").sortWithinPartitions("shard", *order)
     return sorted_.mapInArrow(run, "doc_id bigint, piece bigint, size bigint, bin bigint, offset bigint, filled bigint")

@@ -19,7 +19,8 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(prepare(spark), folder, "documents"))
+    docs = table(prepare(spark), folder, "documents")
+    return packing.pack(docs, packing.clusters(docs))
 
 
 def op4_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:

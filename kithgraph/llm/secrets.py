@@ -152,16 +152,20 @@ def secret_digest(docs: DataFrame, ledger: str) -> DataFrame:
 def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced by ``mark``; overlapping spans are replaced as one."""
     spans = blob_spans(scan_history(docs, ledger))
-    keyed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = keyed.join(spans.select(F.col("sha").alias("_sha"), F.col("spans").alias("_spans")), "_sha", "left")
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha")
+    # All columns of a document travel as one, so that names of any kind cannot clash.
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), sha).join(spans, "sha", "left")
+    given = F.col("doc.text")
     # Walk the spans in order: text so far, and where the next plain piece begins.
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(state, span):
-        plain = F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(span["start"] - state["at"], F.lit(0)).cast("int"))
+        plain = F.substring(given, (state["at"] + 1).cast("int"), F.greatest(span["start"] - state["at"], F.lit(0)).cast("int"))
         marked = F.when(span["start"] >= state["at"], F.concat(state["out"], plain, F.lit(mark))).otherwise(state["out"])
         return F.struct(marked.alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
 
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(given, (s["at"] + 1).cast("int"), F.length(given))))
+    changed = joined.select(F.col("doc").withField("text", F.when(F.col("spans").isNull(), given).otherwise(clean)).alias("doc"))
+    if "n_chars" in docs.columns:
+        changed = changed.select(F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)).alias("doc"))
+    return changed.select("doc.*")

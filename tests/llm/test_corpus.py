@@ -131,18 +131,75 @@ def test_slots_permute_blocks(session):
     for source, epoch, words in ((1, 0, 1000), (1, 1, 1000), (1, 2, 500), (2, 0, 64), (3, 0, 7)):
         mine = [r for r in slots if (r["source_nr"], r["epoch"]) == (source, epoch)]
         assert sum(r["words"] for r in mine) == words and len({r["block"] for r in mine}) == len(mine)
-    assert mixing.shard_counts(mixing.draw_slots(sources)).agg({"slots": "sum"}).first()[0] == len(slots)
+    counts = {(r["source_nr"], r["shard"]): r["slots"] for r in mixing.shard_counts(sources).collect()}
+    # Only slots that take words are kept; the counts are drawn for all.
+    assert sum(counts.values()) >= len(slots) and {(r["source_nr"], r["shard"]) for r in slots} <= set(counts)
+    assert all(len({s["slot"] for s in slots if (s["source_nr"], s["shard"]) == key}) <= n for key, n in counts.items())
+
+
+def test_shard_counts_are_multinomial(session):
+    """Slots of a source fall into shards independently and evenly, and each shard's slots are numbered on from the last one's."""
+    sources = session.createDataFrame([("a", 1, 64 * 20000, 64.0 * 50000), ("b", 2, 64 * 3000, 64.0 * 3000)], "source string, source_nr long, source_size long, target double")
+    rows = mixing.shard_counts(sources, 16).collect()
+    for source, n in ((1, 50001), (2, 3000)):
+        mine = sorted((r["shard"], r["slots"], r["first"]) for r in rows if r["source_nr"] == source)
+        assert [s for s, _, _ in mine] == list(range(16)) and sum(c for _, c, _ in mine) == n
+        assert [f for _, _, f in mine] == [sum(c for _, c, _ in mine[:i]) for i in range(16)]
+        chi = sum((c - n / 16) ** 2 / (n / 16) for _, c, _ in mine)
+        assert 3 < chi < 38  # 15 degrees of freedom: neither lopsided nor dealt in turn
+
+
+def test_shards_hold_the_mix(session):
+    docs = session.createDataFrame(documents(), DOCS)
+    digest = {r["doc_id"]: r for r in mixing.mix_digest(docs).collect()}
+    found, slots = defaultdict(lambda: [0, set()]), Counter()
+    texts = {r[0]: r[1] for r in documents()}
+    for r in mixing.mixed_shards(docs).collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+        assert r["text"] in texts[r["doc_id"]] and r["text"].strip() == r["text"]
+        found[r["doc_id"]][0] += n
+        found[r["doc_id"]][1].add(r["shard"])
+        slots[r["source"], r["slot"]] += n
+    assert {k: (v[0], len(v[1])) for k, v in found.items()} == {k: (r["taken"], r["n_shards"]) for k, r in digest.items() if r["taken"]}
+    assert max(slots.values()) <= mixing.BLOCK
 
 
 def test_mixed_documents_hold_the_taken_words(session):
     docs = session.createDataFrame(documents(), DOCS)
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix_digest(docs).collect()}
-    words = defaultdict(int)
+    words, texts = defaultdict(int), {r[0]: r[1] for r in documents()}
     for r in mixing.mixed_documents(docs).collect():
         words[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        # A stretch stands in its text as it is.
+        assert r["text"] in texts[r["doc_id"]] and r["n_chars"] == len(r["text"])
     assert {k: v for k, v in taken.items() if v} == dict(words)
 
 
+def test_line_breaks_and_columns_of_any_name_survive_the_stages(session, tmp_path):
+    from pyspark.sql import functions as F
+
+    lines = [(i, "\n".join(f"The cat of house {i} and {j} went\tto the  dog number {i * j} with words" for j in range(30)), "en", f"s{i % 3}", 1) for i in range(30)]
+    clash = ["size", "epoch", "target", "row_nr", "row", "start", "source_nr", "source_size", "score", "lang_pred", "_in", "doc", "sha", "spans", "low", "high", "shard", "tie", "_row", "_id", "_sha", "_spans"]
+    docs = session.createDataFrame(lines, DOCS).select("*", *[F.lit(f"given {c}").alias(c) for c in clash])
+    texts = {r[0]: r[1] for r in lines}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(session, docs, "")
+        docs.write.parquet(f"{tmp_path}/{number}")
+        docs = session.read.parquet(f"{tmp_path}/{number}")
+        rows = docs.collect()
+        assert rows and all(r[c] == f"given {c}" for r in rows for c in clash), name
+        assert all(r["text"] in texts[r["doc_id"]] for r in rows)
+    assert any("\n" in r["text"] and r["text"] != texts[r["doc_id"]] for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](session, docs, "").count() >= len(rows)
+
+
+def test_small_texts_of_one_source_fill_their_bins(session):
+    docs = session.createDataFrame([(i, f"a{i} b{i} c{i} d{i}", "en", "one", 1) for i in range(4000)], DOCS)
+    filled = {r["bin"]: r["filled"] for r in packing.pack(docs).collect()}
+    assert sum(filled.values()) == 16000 and sum(filled.values()) / (len(filled) * packing.CAPACITY) >= 0.85
+    assert sorted(filled.values())[-7] >= 0.95 * packing.CAPACITY
+
+
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 3), st.integers(0, 5)), max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_best_fit_matches_brute_force(items):
@@ -159,7 +216,7 @@ def test_best_fit_matches_brute_force(items):
 
 def test_packing_keeps_everything(session, sf):
     docs = table(session, sf, "documents").unionByName(session.createDataFrame([*documents(), *[(7, "same text here", "en", "s1", 1)] * 50], DOCS))
-    rows = packing.pack(docs, shard_rows=100).collect()
+    rows = packing.pack(docs, packing.clusters(docs), shard_rows=100).collect()
     assert sum(r["size"] for r in rows) == docs.select(mixing.word_count(docs["text"]).alias("n")).agg({"n": "sum"}).first()[0]
     by = defaultdict(list)
     for r in rows:
@@ -182,7 +239,7 @@ def test_near_and_cut_copies_do_not_share_a_bin(session):
     others = [(200 + i, " ".join(f"o{i}x{x}" for x in range(40)), "en", "s3", 1) for i in range(40)]
     twins = [(300, "t u v w x y", "en", "s4", 1), (None, "t u v w x y", "en", "s4", 1)]
     docs = session.createDataFrame([*near, *cut, *others, *twins], DOCS)
-    rows = packing.pack(docs).collect()
+    rows = packing.pack(docs, packing.clusters(docs)).collect()
     assert len(rows) == docs.count() and sum(r["size"] for r in rows) == sum(len(r[1].split()) for r in [*near, *cut, *others, *twins])
     held = Counter((r["bin"], "near" if r["doc_id"] < 12 else r["doc_id"]) for r in rows if r["doc_id"] is not None)
     assert max(held.values()) == 1
