@@ -264,14 +264,23 @@ SQL.update({
 })
 
 
-def membership(spark: SparkSession, folder: str) -> DataFrame:
-    """Every connected component as one ring: with no component above 50 none is split, so SQL can follow."""
+def graph_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, edges and rings, each made and written once.
+
+    Every connected component is one ring: with no component above 50 none is split, so SQL can follow.
+    """
     from kithgraph.operators import edges as e, rings as r
     from kithgraph.session import durable
 
-    groups = durable(e.linking_groups(links(spark, folder)), "groups")
-    found = r.candidate_groups(e.edges_from_groups(groups, TYPES), max_size=50, stars=e.stars_from_groups(groups))
-    return durable(r.number_rings(found), "membership")
+    found_links = durable(links(spark, folder), "links")
+    groups = durable(e.linking_groups(found_links), "groups")
+    edges = durable(e.edges_from_groups(groups, TYPES), "edges")
+    found = r.candidate_groups(edges, max_size=50, stars=e.stars_from_groups(groups))
+    return found_links, edges, durable(r.number_rings(found), "membership")
+
+
+def membership(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_of(spark, folder)[2]
 
 
 def edges_of(spark: SparkSession, folder: str) -> DataFrame:

@@ -73,8 +73,8 @@ def propagated(spark, d):
 
 
 def _summary(spark, d):
-    m = fx.membership(spark, d)
-    return R.summarise_rings(m, edges_of(spark, d), fx.links(spark, d), fx.customers(spark, d), fx.scores(spark, d), THRESHOLD), m
+    links, edges, m = fx.graph_of(spark, d)
+    return R.summarise_rings(m, edges, links, fx.customers(spark, d), fx.scores(spark, d), THRESHOLD), m
 
 
 def ring_summary(spark, d):

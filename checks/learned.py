@@ -1,15 +1,18 @@
-"""Models: fitted, so checked by rows and by the invariants in the tests, not by SQL."""
+"""Models: fitted, so checked by rows and by what must hold for every row, not by their numbers."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kithgraph.functions.metadata import feature_group
 from kithgraph.model import Dataset, FeatureTable
-from kithgraph.operators import features as FT, models as ML, scoring as SC
+from kithgraph.operators import features as FT, models as ML, scoring as SC, trees as TR
 from kithgraph.operators.attribution import shapley
 from kithgraph.operators.features import NETWORK_TOTALS, count_feature
 from kithgraph.session import durable
 
 from . import fixtures as fx
+from .fixtures import sql
 from .scores import groups, train_test
 
 # The full models.
@@ -75,6 +78,25 @@ def contributions(spark, d):
     return shapley(model, frame.select("customer_id", *t.network), FT.typical_legitimate(frame, t.network))
 
 
+def boosting_by_trees(spark, d):
+    """Whether the trees of a boosting model, read back as a table and walked by joins, give every customer the model's own score."""
+    t = table(spark, d)
+    frame = durable(t.frame.join(fx.customers(spark, d).select("customer_id", "label"), "customer_id"), "frame")
+    model = ML.fit(frame, t.network, LEARNERS.boosting())
+    nodes = durable(TR.tree_table(model, spark), "trees")
+    walked = TR.score_by_trees(nodes, frame.select("customer_id", *t.network), TR.depth_of(model)).withColumnRenamed("risk", "walked")
+    own = model.score(frame.select("customer_id", *t.network)).select("customer_id", "risk")
+    same = (F.abs(F.col("risk") - F.col("walked")) < 1e-9).cast("int")
+    return own.join(walked, "customer_id", "left").select("customer_id", F.coalesce(same, F.lit(0)).alias("same"))
+
+
+def contribution_sums(spark, d):
+    """Whether the contributions to every customer's score and the baseline add up to the score."""
+    rows = contributions(spark, d)
+    total = sum((F.col(c) for c in rows.columns if c.startswith("phi_")), F.col("baseline_score"))
+    return rows.select("customer_id", (F.abs(F.col("risk") - total) < 1e-9).cast("int").alias("adds_up"), F.col("risk").between(0, 1).cast("int").alias("is_share"))
+
+
 def linear_probe(spark, d):
     """Logistic regression on features averaged over the neighbourhood."""
     t = table(spark, d)
@@ -91,5 +113,11 @@ QUERIES = {
     "tree_importance": tree_importance,
     "shapley_contributions": contributions,
     "linear_probe": linear_probe,
+    "boosting_by_trees": boosting_by_trees,
+    "contribution_sums": contribution_sums,
+}
+# What must hold for every customer; the numbers themselves come from fitted models.
+SQL = {
+    "boosting_by_trees": sql("select customer_id, 1 as same from cust", "cust"),
+    "contribution_sums": sql("select customer_id, 1 as adds_up, 1 as is_share from cust", "cust"),
 }
-SQL: dict[str, str] = {}

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014), on dense numbers.
+
+Ids that are no numbers are numbered once, in their order, by ranges and prefix counts. The rounds then see 64-bit numbers
+only, so minima are aggregated by hash, and the number of a component is turned back into its smallest id at the end.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import durable
 from .edges import ENDS
+from .ordered import with_rank
 
 
 def _large_star(stars: DataFrame) -> DataFrame:
@@ -37,20 +42,34 @@ def _finished(stars: DataFrame) -> bool:
     return roles.filter("leaf + centre > 1").isEmpty()
 
 
-def connected_components(edges: DataFrame, ends: list[str] = ENDS) -> DataFrame:
-    """``customer_id, component_id`` for every linked customer; the id is the smallest member.
+def star_components(pairs: DataFrame) -> DataFrame:
+    """``hi, lo``: every node but the smallest of each component (pairs ``hi > lo`` of numbers) with the smallest.
 
-    The rounds needed grow with the logarithm of the longest path. Each round is written to the
-    shared folder, so the plan stays one round long and survives lost executors.
+    The rounds needed grow with the logarithm of the longest path. Each round is written to the shared folder, so the plan
+    stays one round long and survives lost executors.
     """
-    a, b = F.col(ends[0]), F.col(ends[1])
-    first = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    stars = durable(_small_star(_large_star(first)), "stars")
+    stars = durable(_small_star(_large_star(pairs)), "stars")
     while not _finished(stars):
         stars = durable(_small_star(_large_star(stars)), "stars")
-    members = stars.select(F.col("hi").alias("customer_id"), F.col("lo").alias("component_id"))
-    roots = stars.select(F.col("lo").alias("customer_id"), F.col("lo").alias("component_id")).distinct()
-    return members.unionByName(roots)
+    return stars
+
+
+def connected_components(edges: DataFrame, ends: list[str] = ENDS) -> DataFrame:
+    """``customer_id, component_id`` for every linked customer; the id is the smallest member."""
+    a, b = F.col(ends[0]), F.col(ends[1])
+    given = edges.filter(a != b).select(a.alias("a"), b.alias("b"))
+    if all(kind == "bigint" for _, kind in given.dtypes):
+        stars = star_components(given.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+        members = stars.select(F.col("hi").alias("customer_id"), F.col("lo").alias("component_id"))
+        roots = stars.select(F.col("lo").alias("customer_id"), F.col("lo").alias("component_id")).distinct()
+        return members.unionByName(roots)
+    ids = durable(with_rank(given.select(F.explode(F.array("a", "b")).alias("id")).distinct(), [F.asc("id")], "nr"), "ids")
+    numbered = given.join(ids.select(F.col("id").alias("a"), F.col("nr").alias("x")), "a").join(ids.select(F.col("id").alias("b"), F.col("nr").alias("y")), "b")
+    stars = star_components(numbered.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")))
+    named = ids.join(stars.withColumnRenamed("hi", "nr"), "nr", "left").select("id", F.coalesce("lo", "nr").alias("lo"))
+    return named.join(ids.select(F.col("nr").alias("lo"), F.col("id").alias("least")), "lo").select(
+        F.col("id").alias("customer_id"), F.col("least").alias("component_id")
+    )
 
 
 def component_of(customers: DataFrame, edges: DataFrame) -> DataFrame:

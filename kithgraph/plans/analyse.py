@@ -147,9 +147,8 @@ def analyse(
     return Version(root, dataset_id, version)
 
 
-def _ranked(result: Scored, customers: DataFrame) -> dict[str, DataFrame]:
-    """Tables about the order of scores, of the accounts that were evaluated or else of all that have a label."""
-    scored = result.evaluated if result.evaluated is not None else customers.select("customer_id", "label", "risk").filter("label is not null")
+def ranked_tables(scored: DataFrame) -> dict[str, DataFrame]:
+    """Tables about the order of scores (``customer_id, label, risk``): precision and recall among the first K, and both curves."""
     if scored.isEmpty():
         return {}
     stepped = durable(m.score_steps(scored), "score_steps")
@@ -191,7 +190,8 @@ def _results(
         "group_importance": attribution.group_importance(by_feature),
         "hubs": graph.hub_report(data.links, cap),
         "levels": m.level_counts(customers.select("risk"), result.threshold),
-        **_ranked(result, customers),
+        # Of the accounts that were evaluated, or else of all that have a label.
+        **ranked_tables(customers.select("customer_id", "label", "risk").filter("label is not null") if result.evaluated is None else result.evaluated),
         "runs": durable(run, "runs"),
     }
     if result.experiments is not None:

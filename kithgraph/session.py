@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # First rows of a group are picked before the shuffle however many are asked for.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
