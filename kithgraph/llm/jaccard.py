@@ -22,6 +22,8 @@ are one token; repeated rows are copies; a NULL id is never the smallest; an emp
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -155,23 +157,31 @@ def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: int) -> np.ndarra
     return np.unique(np.concatenate(found))
 
 
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def _texts(batch: pa.RecordBatch, column: int):
     return (value.as_py() or b"" for value in batch.column(column).cast(pa.binary()))
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``doc_id, n, key, bits`` and partial sketches ``slice, counts``, both written once from one pass over the texts."""
+    """Members ``doc_id, n, key, digest, bits`` and partial sketches ``slice, counts``, both written once from one pass over the texts.
+
+    ``digest`` is of the whole text: it finds the text of a set again without its tokens.
+    """
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "key", "bits", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "key", "digest", "bits", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
-            sizes, keys, bits, places, held = [], [], [], [], 0
+            sizes, keys, digests, bits, places, held = [], [], [], [], [], 0
             for text in _texts(batch, 1):
                 tokens = shingles(text)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens))
+                digests.append(_digest(text))
                 bits.append(parity(tokens))
                 places.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 held += len(tokens)
@@ -181,15 +191,15 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     places = []
             if places:
                 np.add(counts, np.bincount(np.concatenate(places), minlength=len(counts)).astype(np.uint32), out=counts)
-            columns = [batch.column(0).to_pylist(), sizes, keys, bits, [None] * len(sizes), [None] * len(sizes)]
+            columns = [batch.column(0).to_pylist(), sizes, keys, digests, bits, [None] * len(sizes), [None] * len(sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         for number, data in _slices(counts):
-            columns = [[None], [None], [None], [None], [number], [data]]
+            columns = [[None], [None], [None], [None], [None], [number], [data]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, bits binary, slice int, counts binary"), "survey")
-    return both.filter("slice is null").select("doc_id", "n", "key", "bits"), both.filter("slice is not null").select("slice", "counts")
+    both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, digest binary, bits binary, slice int, counts binary"), "survey")
+    return both.filter("slice is null").select("doc_id", "n", "key", "digest", "bits"), both.filter("slice is not null").select("slice", "counts")
 
 
 def _slices(counts: np.ndarray):
@@ -326,9 +336,16 @@ def runs(signed: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "sig bigint, a bigint, b bigint, n int")
 
 
-def blobs_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key, blob``: one compressed text for each key; a sketch of the keys keeps most other texts from the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(key_sketch(keys) > 0)
+def blobs_of(docs: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
+    """``key, blob``: one compressed text for each key; a sketch of the digests keeps most other texts from the shuffle.
+
+    Texts are known by their digests, so their tokens are not made again.
+    """
+    # A set held by very many documents is one row before it is joined.
+    first = members.groupBy("key").agg(F.min("digest").alias("digest"))
+    wanted = durable(first.hint("merge").join(keys.hint("merge"), "key", "left_semi"), "wanted")
+    slots = wanted.select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint").alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(key_sketch(slots) > 0)
 
     def pack(batches):
         # A set fills eight bytes a token; the compressed text is less and gives the same tokens.
@@ -336,26 +353,27 @@ def blobs_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             found = [], []
             for text in _texts(batch, 0):
-                key = set_key(shingles(text))
-                if key not in done and shared.value[_slot(np.array([key], np.int64))[0]]:
-                    done.add(key)
-                    found[0].append(key)
+                digest = _digest(text)
+                if digest not in done and shared.value[_slot(np.array([int.from_bytes(digest[:7])], np.int64))[0]]:
+                    done.add(digest)
+                    found[0].append(digest)
                     found[1].append(shrink.compress(text))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], ["key", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["digest", "blob"])
 
-    texts = docs.select("text").mapInArrow(pack, "key bigint, blob binary")
-    return durable(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("blob").alias("blob")), "texts")
+    texts = docs.select("text").mapInArrow(pack, "digest binary, blob binary")
+    return durable(texts.hint("merge").join(wanted.hint("merge"), "digest").groupBy("key").agg(F.first("blob").alias("blob")), "texts")
 
 
 def verify(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose texts reach the similarity, judged on whole sets."""
-    partners = pairs.join(blobs.select(F.col("key").alias("b"), "blob"), "b").select("a", "b", "blob")
-    own = blobs.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), "blob")
-    # One item with very many partners is dealt to several tasks, each with the item's own text.
+    # One item with very many partners is dealt to several tasks, each with the item's own text. Own texts and those of the
+    # partners are fetched in one join.
     parts = 16
-    dealt = partners.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
-    needed = dealt.select("a", "part").distinct().join(own, "a").select("a", "b", "blob", "part")
-    laid = dealt.select("a", "b", "blob", "part").unionByName(needed).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("own"))
+    own = dealt.select("a", F.col("a").alias("b"), "part").distinct().withColumn("own", F.lit(True))
+    asked = dealt.unionByName(own).hint("merge").join(blobs.select(F.col("key").alias("b"), "blob").hint("merge"), "b")
+    rows = asked.select("a", F.when(~F.col("own"), F.col("b")).alias("b"), "blob", "part")
+    laid = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         unpack, a, mine = zstandard.ZstdDecompressor(), None, None
@@ -514,7 +532,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     long_runs = durable(found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct(), "long_runs")
     # Pairs of one signature are within a long run or hold both of its items, so these are all keys that can be asked for.
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long_runs.select("key"))
-    blobs = blobs_of(docs, durable(keys.distinct(), "keys"))
+    blobs = blobs_of(docs, durable(keys.distinct(), "keys"), members)
     links = verify(blobs, pairs)
     group = durable(_groups(links), "groups")
     late = durable(late_candidates(long_runs, members, group), "late")
