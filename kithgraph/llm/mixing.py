@@ -115,7 +115,9 @@ def place_documents(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def source_epochs(sources: DataFrame) -> DataFrame:
-    """``source_nr, source_size, blocks, epoch, left, slots, k0, ...``: the epochs of each source, with the keys of their permutations."""
+    """``source_nr, source_size, blocks, epoch, left, slots, k0, ..., tail_slot``: the epochs of each source, with the keys of their
+    permutations and the slot of the short last block. At most three rows for each source, written once.
+    """
     asked = sources.filter("source_size > 0 and target > 0").select(
         "source_nr", "source_size", F.round("target").cast("bigint").alias("need"),
         F.expr(f"(source_size + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("epoch"),
@@ -124,7 +126,8 @@ def source_epochs(sources: DataFrame) -> DataFrame:
     for number, key in enumerate(round_keys()):
         epochs = epochs.withColumn(f"k{number}", F.expr(key))
     # One slot more than full blocks ask for makes up for the short last block.
-    return epochs.drop("need").withColumn("slots", F.least(F.col("blocks"), F.expr(f"(left + {BLOCK - 1}) div {BLOCK} + 1")))
+    epochs = epochs.drop("need").withColumn("slots", F.least(F.col("blocks"), F.expr(f"(left + {BLOCK - 1}) div {BLOCK} + 1")))
+    return durable(_shuffled(epochs, "blocks - 1", list(reversed(range(ROUNDS))), "tail_slot"), "epochs")
 
 
 def _dealt(rows: DataFrame, first: str, count: str, name: str) -> DataFrame:
@@ -134,23 +137,21 @@ def _dealt(rows: DataFrame, first: str, count: str, name: str) -> DataFrame:
     return runs.withColumn(name, F.explode(F.expr(f"sequence({first} + _run * 1024, {first} + least({count}, _run * 1024 + 1024) - 1)"))).drop("_run")
 
 
-def shard_counts(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``source_nr, shard, slots, first``: the multinomial draw, and the number of each shard's first slot in its source."""
-    slots = source_epochs(sources).groupBy("source_nr").agg(F.sum("slots").alias("all"))
+def shard_counts(epochs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``source_nr, shard, slots, first, blocks``: the multinomial draw, and the number of each shard's first slot in its source."""
+    slots = epochs.groupBy("source_nr", "blocks").agg(F.sum("slots").alias("all"))
     shard = F.expr(f"({_drawn('ticket', 'source_nr * 104729 + 3')}) % {shards}").alias("shard")
-    drawn = _dealt(slots.withColumn("zero", F.lit(0).cast("bigint")), "zero", "all", "ticket").select("source_nr", shard)
-    counts = drawn.groupBy("source_nr", "shard").agg(F.count("*").alias("slots"))
+    drawn = _dealt(slots.withColumn("zero", F.lit(0).cast("bigint")), "zero", "all", "ticket").select("source_nr", "blocks", shard)
+    counts = drawn.groupBy("source_nr", "blocks", "shard").agg(F.count("*").alias("slots"))
     # At most one row for each shard of a source.
     earlier = Window.partitionBy("source_nr").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+    return durable(counts.withColumn("first", F.coalesce(F.sum("slots").over(earlier), F.lit(0))), "shard-counts")
 
 
 def draw_slots(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``source_nr, block, epoch, shard, slot, words``: every slot of the mix, numbered in its source, and how many words it takes of its block."""
     epochs = source_epochs(sources)
-    epochs = _shuffled(epochs, "blocks - 1", list(reversed(range(ROUNDS))), "tail_slot")
-    blocks = epochs.select("source_nr", "blocks").distinct()
-    numbered = _dealt(shard_counts(sources, shards).join(blocks, "source_nr"), "first", "slots", "slot").select(
+    numbered = _dealt(shard_counts(epochs, shards), "first", "slots", "slot").select(
         "source_nr", "shard", "slot", F.expr("int(slot div blocks)").alias("epoch"), F.expr("slot % blocks").alias("at")
     )
     each = _shuffled(numbered.join(epochs.drop("slots"), ["source_nr", "epoch"]), "at", list(range(ROUNDS)), "block")

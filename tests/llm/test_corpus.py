@@ -131,7 +131,7 @@ def test_slots_permute_blocks(session):
     for source, epoch, words in ((1, 0, 1000), (1, 1, 1000), (1, 2, 500), (2, 0, 64), (3, 0, 7)):
         mine = [r for r in slots if (r["source_nr"], r["epoch"]) == (source, epoch)]
         assert sum(r["words"] for r in mine) == words and len({r["block"] for r in mine}) == len(mine)
-    counts = {(r["source_nr"], r["shard"]): r["slots"] for r in mixing.shard_counts(sources).collect()}
+    counts = {(r["source_nr"], r["shard"]): r["slots"] for r in mixing.shard_counts(mixing.source_epochs(sources)).collect()}
     # Only slots that take words are kept; the counts are drawn for all.
     assert sum(counts.values()) >= len(slots) and {(r["source_nr"], r["shard"]) for r in slots} <= set(counts)
     assert all(len({s["slot"] for s in slots if (s["source_nr"], s["shard"]) == key}) <= n for key, n in counts.items())
@@ -140,7 +140,7 @@ def test_slots_permute_blocks(session):
 def test_shard_counts_are_multinomial(session):
     """Slots of a source fall into shards independently and evenly, and each shard's slots are numbered on from the last one's."""
     sources = session.createDataFrame([("a", 1, 64 * 20000, 64.0 * 50000), ("b", 2, 64 * 3000, 64.0 * 3000)], "source string, source_nr long, source_size long, target double")
-    rows = mixing.shard_counts(sources, 16).collect()
+    rows = mixing.shard_counts(mixing.source_epochs(sources), 16).collect()
     for source, n in ((1, 50001), (2, 3000)):
         mine = sorted((r["shard"], r["slots"], r["first"]) for r in rows if r["source_nr"] == source)
         assert [s for s, _, _ in mine] == list(range(16)) and sum(c for _, c, _ in mine) == n
@@ -291,6 +291,15 @@ def test_repair_is_legal_and_cheapest(session, monkeypatch, stretch):
     assert chat.format_chats(empty).collect() == []
 
 
+def test_very_long_turns_stay_whole(session):
+    long = "word " * 300_000
+    rows = [(1, 1, "user", long), (1, 2, "assistant", "short"), (2, 1, "assistant", long)]
+    found = chat.format_chats(session.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == 3 and sum(long.strip() in r["piece"] for r in found) == 2
+    for key in (1, 2):
+        legal("".join(r["piece"] for r in sorted((r for r in found if r["conv_id"] == key), key=lambda r: r["position"])))
+
+
 def test_pipeline_on_odd_rows(session, tmp_path):
     rows = [(i, f"The cat and the dog went to the house number {i} with token=abcdef{i:06d} and more words {i * 7}", "en", f"s{i % 3}", 1) for i in range(40)]
     rows += [(100 + i, rows[0][1], "en", None, 1) for i in range(5)] + [(200, None, None, None, None), (201, "", "en", "s0", 0), (202, "123 456", "en", "s0", 7)]

@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -147,8 +146,14 @@ def test_urls_match_brute_force(session):
     assert urls.judge_urls(pages.limit(0)).collect() == []
 
 
-def test_shares_are_exact():
-    assert Fraction(licenses.MIN_COVERED) == Fraction(3, 4)
+def test_a_very_long_text_is_scanned_whole(session):
+    text = "word " * 400_000 + "password=hunter22"
+    docs = session.createDataFrame([(1, text), (2, text), (3, "é" * 500_000 + " " + "0f" * 12)], "doc_id long, text string")
+    ledger = secrets.open_ledger(session, scratch(session, "ledger"))
+    rows = {r["doc_id"]: r for r in secrets.secret_digest(docs, ledger).collect()}
+    assert rows[1]["spans"] == rows[2]["spans"] == "assign:2000000:2000017" and rows[3]["spans"] == "hex:500001:500025"
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, ledger).collect()}
+    assert clean[1] == clean[2] == "word " * 400_000 + "[secret]" and clean[3] == "é" * 500_000 + " [secret]"
 
 
 def test_url_rules_of_any_length_match_brute_force(session):
