@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import settings
+from ..session import durable
 from .edges import ENDS, both_directions, induced_subgraph, type_array
 
 BOUNDARY_ROWS = 40
@@ -29,27 +30,25 @@ def high_risk_neighbours(edges: DataFrame, levels: DataFrame) -> DataFrame:
 def ego_network(edges: DataFrame, customer_id: str, hops: int = 2, max_nodes: int = 120) -> tuple[DataFrame, bool]:
     """``customer_id, hop`` of the accounts within ``hops`` links, nearest first, then by id.
 
-    Each hop asks only for the places still free (plus one, to know whether any were left out), so
-    the frontier and the broadcast are bounded by ``max_nodes`` however many links an account has.
+    Each hop asks only for the places still free (plus one, to know whether any were left out), so a frontier has at most
+    ``max_nodes`` rows however many links an account has. Frontiers are written tables; only their sizes reach the driver.
     """
     spark = edges.sparkSession
-    schema = "customer_id string, hop int"
-    found = [(customer_id, 0)]
-    frontier = [customer_id]
+    found = spark.createDataFrame([(customer_id, 0)], "customer_id string, hop int")
     both = both_directions(edges.select(*ENDS))
-    truncated = False
+    frontier, free, truncated = found, max_nodes - 1, False
     for hop in range(1, hops + 1):
-        free = max_nodes - len(found)
-        if not frontier:
+        near = both.join(frontier.select("customer_id"), "customer_id", "left_semi").select(F.col("other_id").alias("customer_id")).distinct()
+        fresh = near.join(found.select("customer_id"), "customer_id", "left_anti")
+        # The list is as short as the node limit, so one task numbers it.
+        reached = durable(fresh.orderBy("customer_id").limit(free + 1).withColumn("_n", F.expr("row_number() over (order by customer_id)")), "reached")
+        n = reached.count()
+        truncated = truncated or n > free
+        frontier = reached.filter(F.col("_n") <= free).select("customer_id", F.lit(hop).alias("hop"))
+        found, free = found.unionByName(frontier), free - min(n, free)
+        if not n:
             break
-        seen = F.broadcast(spark.createDataFrame([(c,) for c, _ in found], "other_id string"))
-        start = F.broadcast(spark.createDataFrame([(c,) for c in frontier], "customer_id string"))
-        near = both.join(start, "customer_id", "left_semi").join(seen, "other_id", "left_anti").select("other_id").distinct()
-        reached = [r[0] for r in near.orderBy("other_id").limit(free + 1).collect()]
-        truncated = truncated or len(reached) > free
-        frontier = reached[:free]
-        found += [(c, hop) for c in frontier]
-    return spark.createDataFrame(found, schema), truncated
+    return found, truncated
 
 
 def boundary_accounts(membership: DataFrame, edges: DataFrame, ring_id: str, top: int | None = BOUNDARY_ROWS) -> DataFrame:

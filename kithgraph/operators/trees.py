@@ -21,17 +21,16 @@ def tree_table(model: ScoringModel, spark) -> DataFrame:
     """
     path = f"{step_folder(spark)}/model-{uuid.uuid4().hex}"
     model.model.write().save(path)
-    nodes, trees = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/treesMetadata")
     names = F.array(*[F.lit(f) for f in model.features])
+    weights = F.array(*[F.lit(float(w)) for w in model.model.treeWeights])
     node, inside = F.col("nodeData"), F.col("nodeData.leftChild") >= 0
-    weights = trees.select(F.col("treeID").alias("_t"), F.col("weights").alias("weight"))
-    rows = nodes.join(weights, F.col("treeID") == F.col("_t"))
-    return rows.select(
+    return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").cast("int").alias("tree"), node["id"].cast("int").alias("node"),
-        F.when(inside, F.get(names, node["split.featureIndex"])).alias("feature"),
-        F.when(inside, F.get(node["split.leftCategoriesOrThreshold"], F.lit(0))).alias("split"),
+        F.when(inside, F.get(names, F.col("nodeData.split.featureIndex"))).alias("feature"),
+        F.when(inside, F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(0))).alias("split"),
         F.when(inside, node["leftChild"]).cast("int").alias("left"), F.when(inside, node["rightChild"]).cast("int").alias("right"),
-        F.when(~inside, node["prediction"]).alias("leaf"), node["rawCount"].cast("bigint").alias("samples"), "weight",
+        F.when(~inside, node["prediction"]).alias("leaf"), node["rawCount"].cast("bigint").alias("samples"),
+        F.get(weights, F.col("treeID")).alias("weight"),
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions.metadata import InputError
 from kithgraph.model import Dataset
-from kithgraph.operators import attribution as AT, explain as X, features as FT, models as ML, scoring as SC
+from kithgraph.operators import attribution as AT, explain as X, features as FT, models as ML, scoring as SC, trees as TR
 from kithgraph.plans import analyse as PL, experiment as EX, read as RD
 from kithgraph.plans.review import review_customer, review_ring
 from kithgraph.operators.edges import identity_edges
@@ -184,6 +184,20 @@ def test_experiment_writes_every_step(spark, data, tmp_path):
         assert not spark.read.parquet(f"{tmp_path}/{name}").isEmpty()
 
 
+def test_trees_read_back_score_like_the_model(spark, data):
+    table = FT.assemble_features(data, identity_edges(data.links, fx.TYPES), fx.TYPES)
+    frame = durable(table.frame.join(data.customers.select("customer_id", "label"), "customer_id"))
+    features = ["income", "network_degree", "shared_attribute_count"]
+    model = ML.fit(frame, features, SMALL.boosting())
+    nodes = TR.tree_table(model, spark)
+    inner, leaves = nodes.filter("leaf is null").count(), nodes.filter("leaf is not null").count()
+    trees = nodes.select("tree").distinct().count()
+    assert leaves == inner + trees and nodes.filter("leaf is null and (feature is null or left is null or right is null)").count() == 0
+    walked = TR.score_by_trees(nodes, frame.select("customer_id", *features), TR.depth_of(model))
+    both = model.score(frame).select("customer_id", "risk").join(walked.withColumnRenamed("risk", "w"), "customer_id")
+    assert both.count() == 150 and both.agg(F.max(F.abs(F.col("risk") - F.col("w")))).first()[0] < 1e-9
+
+
 def test_registered_queries_use_the_full_learners():
     from checks import learned
 
