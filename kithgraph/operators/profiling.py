@@ -6,24 +6,21 @@ and value with partial aggregation, and the tests run once per distinct value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import settings
 from ..functions import metadata as md, vocabulary as v
 from ..functions.values import parse_label, to_moment, to_number
-from ..sources.tables import ROW
+from ..sources.tables import ROW, spread
 
 EXAMPLES = 3
 
 
 def _cells(frame: DataFrame) -> DataFrame:
-    """Distinct values per column with their count and first row."""
+    """Distinct values per column with their count."""
     columns = [c for c in frame.columns if c != ROW]
     cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
-    return (
-        frame.select(ROW, cell.alias("c")).select(ROW, "c.*")
-        .groupBy("column", "value").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
-    )
+    return spread(frame).select(cell.alias("c")).select("c.*").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def column_statistics(frame: DataFrame) -> DataFrame:
@@ -45,12 +42,24 @@ def column_statistics(frame: DataFrame) -> DataFrame:
 
 
 def column_examples(frame: DataFrame, count: int = EXAMPLES) -> DataFrame:
-    """The first few distinct values per column; the row-number limit is pushed below the shuffle."""
-    order = Window.partitionBy("column").orderBy("first", "value")
-    kept = _cells(frame).filter("value is not null").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= count)
-    return kept.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("e")).select(
-        "column", F.transform("e", lambda e: e["value"]).alias("examples")
-    )
+    """The first few distinct values per column.
+
+    Rows are spread once; each pass over them finds the next value of every column as one aggregate row, so no cell is kept or sorted.
+    """
+    columns = [c for c in frame.columns if c != ROW]
+    dealt = spread(frame)
+    found = None
+    for _ in range(count):
+        rows = dealt if found is None else dealt.crossJoin(F.broadcast(found))
+        step = []
+        for i, c in enumerate(columns):
+            new = F.col(c).isNotNull() if found is None else ~F.array_contains(f"_found{i}", F.col(c))
+            following = F.min(F.when(new, F.struct(F.col(ROW).alias("first"), F.col(c).alias("value"))))
+            values = F.array_compact(F.array(following["value"]))
+            step.append((values if found is None else F.concat(F.first(f"_found{i}"), values)).alias(f"_found{i}"))
+        found = rows.agg(*step)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_found{i}").alias("examples")) for i, c in enumerate(columns)]))
+    return found.select(each.alias("c")).select("c.*").filter(F.size("examples") > 0)
 
 
 def profile_columns(frame: DataFrame) -> DataFrame:

@@ -24,6 +24,14 @@ def _row_position():
     ).alias(ROW)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows dealt over all shuffle partitions by their position, for steps that sort or explode them.
+
+    A small file may hold many rows, and one of them would else be the work of one task.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), ROW)
+
+
 def as_text(frame: DataFrame) -> DataFrame:
     """Every column as trimmed text, blank as NULL; column names trimmed."""
     if ROW in frame.columns:
