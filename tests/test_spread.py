@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kithgraph.operators import canonical as C, profiling as P
+from kithgraph.operators import canonical as C, edges as E, profiling as P
 from kithgraph.sources.tables import ROW, spread
 
 ROLES = {"id": "customer_id", "phone": "phone", "mail": "email"}
@@ -53,3 +53,13 @@ def test_links_and_merged_rows_start_from_spread_rows(spark):
     by_id = {r["id"]: r for r in merged.collect()}
     assert len(by_id) == 200 and by_id["C1"]["phone"] == "5550000002" and by_id["C1"][ROW]["at"] == 1
     assert C.links_from_columns(rows, ROLES).count() == 150 + 295  # no id has a phone or mail twice
+
+
+def test_evidence_is_joined_on_spread_rows(spark):
+    values = {"a": "xyz", "b": "xy", "c": "yz", "d": "w"}
+    links = spark.createDataFrame([(c, "phone", x, x.upper()) for c, held in values.items() for x in held], "customer_id string, attribute_type string, attribute_id string, attribute_value string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d")], "source_customer_id string, target_customer_id string")
+    found = E.shared_evidence(edges, links)
+    assert "REPARTITION_BY_NUM" in plan_of(found)
+    rows = sorted((r["source_customer_id"], r["target_customer_id"], r["attribute_value"]) for r in found.collect())
+    assert rows == [("a", "b", "X"), ("a", "b", "Y"), ("a", "c", "Y"), ("a", "c", "Z"), ("b", "c", "Y")]
