@@ -2,8 +2,12 @@
 
 Every sampled order switches a customer's features one by one to a typical customer's values. The
 switched sets of all orders are laid out up front: each distinct set carries the credit its score
-gives to every feature. A row is exploded over this fixed list inside its own task, scored by the
-JVM model, and summed back by customer before the shuffle, so only one row per customer moves.
+gives to every feature.
+
+A tree model sees of a value only between which of its splits it lies, and it has few splits a feature. So rows are first
+brought together by these places: all rows of one cell get the same score whatever is switched. Each cell is exploded over
+the fixed list inside its own task, scored by the JVM model and summed back before the shuffle, and every customer takes the
+numbers of its cell. Where no two rows share a cell this scores what it would score row by row.
 """
 
 from __future__ import annotations
@@ -12,10 +16,12 @@ import json
 import random
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
+from ..session import durable
 from .models import ScoringModel
+from .trees import tree_table
 
 # Fixed value: orders per customer, at every table size.
 ORDERS = 12
@@ -69,18 +75,37 @@ def shapley(model: ScoringModel, frame: DataFrame, baseline: dict[str, float], o
     typical_values = F.array(*[F.lit(float(baseline[f])) for f in moving])
     values = F.array(*[F.col(f).cast("double") for f in moving])
     still = {f: F.lit(float(baseline[f])) for f in features if f not in moving}
-    rows = frame.select("customer_id", values.alias("_x"), F.explode(layout).alias("_s"))
+    splits = splits_of(model, spark)
+    cell = F.array(*[place_among(F.col(f).cast("double"), splits.get(f, [])) for f in moving])
+    laid = durable(frame.select("customer_id", cell.alias("_cell"), values.alias("_x")), "cells")
+    cells = laid.groupBy("_cell").agg(F.first("_x").alias("_x")).select("_cell", "_x", F.explode(layout).alias("_s"))
     mixed = F.transform("_x", lambda x, i: F.when(F.get("_s.off", i), F.get(typical_values, i)).otherwise(x))
-    rows = rows.select("customer_id", mixed.alias("_m"), "_s")
+    rows = cells.select("_cell", mixed.alias("_m"), "_s")
     ordered = [still[f] if f in still else F.get("_m", F.lit(moving.index(f))) for f in features]
-    scored = model.model.transform(rows.select("customer_id", "_s", array_to_vector(F.array(*ordered)).alias("features")))
+    scored = model.model.transform(rows.select("_cell", "_s", array_to_vector(F.array(*ordered)).alias("features")))
     p = F.get(vector_to_array("probability"), F.lit(1))
     phi = {f: F.sum(p * F.get("_s.credit", F.lit(i))) for i, f in enumerate(moving)}
-    return scored.groupBy("customer_id").agg(
+    by_cell = scored.groupBy("_cell").agg(
         F.max(F.when(~F.exists("_s.off", lambda o: o), p)).alias("risk"),
-        F.lit(baseline_score).alias("baseline_score"),
         *[(phi[f] if f in phi else F.lit(0.0)).alias(f"phi_{f}") for f in features],
     )
+    # One row a cell on this side, so a cell of very many customers is split by the skew join.
+    found = laid.select("customer_id", "_cell").join(durable(by_cell, "cell-scores"), "_cell")
+    return found.groupBy("customer_id").agg(
+        F.max("risk").alias("risk"), F.lit(baseline_score).alias("baseline_score"), *[F.sum(f"phi_{f}").alias(f"phi_{f}") for f in features]
+    )
+
+
+def splits_of(model: ScoringModel, spark) -> dict[str, list[float]]:
+    """The values at which the trees of a model split each feature, ascending; MLlib bounds their number by its bins."""
+    at = tree_table(model, spark).filter("split is not null").groupBy("feature").agg(F.sort_array(F.collect_set("split")).alias("splits"))
+    return {r["feature"]: r["splits"] for r in at.collect()}
+
+
+def place_among(value: Column, splits: list[float]) -> Column:
+    """Number of splits below a value, which then goes right there (NaN: all of them); -1 for a missing value."""
+    below = F.size(F.filter(F.array(*[F.lit(float(s)) for s in splits]), lambda s: s < value)) if splits else F.lit(0)
+    return F.when(value.isNull(), -1).otherwise(below)
 
 
 def importance(contributions: DataFrame, features: list[str], groups: dict[str, str], labels: dict[str, str]) -> DataFrame:
