@@ -27,8 +27,7 @@ def dataset(spark, d) -> Dataset:
 
 
 def table(spark, d) -> FeatureTable:
-    t = FT.assemble_features(dataset(spark, d), fx.edges_of(spark, d), fx.TYPES)
-    return FeatureTable(durable(t.frame, "features"), t.tabular, t.network, t.temporal, t.labels)
+    return FT.assemble_features(dataset(spark, d), fx.edges_of(spark, d), fx.TYPES)
 
 
 def experiments(spark, d):

@@ -8,6 +8,7 @@ from ..functions import vocabulary as v
 from ..functions.metadata import feature_label
 from ..functions.values import log_standardised
 from ..model import Dataset, FeatureTable
+from ..session import durable
 from .activity import temporal_features
 from .edges import ENDS, both_directions, network_features, restrict_edges
 from .medians import medians
@@ -78,6 +79,8 @@ def assemble_features(data: Dataset, edges: DataFrame, types: list[str]) -> Feat
         frame = attach(frame, temporal_features(data.events), v.TEMPORAL_FEATURES)
     else:
         frame = frame.withColumns({c: F.lit(0.0) for c in v.TEMPORAL_FEATURES})
+    # Written once: the check for signal and every later use read it, and the graph and the events are gone through once.
+    frame = durable(frame, "features")
     shared = columns_with_signal(frame, [count_feature(t) for t in types])
     labels = {c: feature_label(c, data.labels) for c in frame.columns if c != "customer_id"}
     return FeatureTable(frame, list(data.tabular), shared + NETWORK_TOTALS if shared else [], temporal, labels)
