@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import durable
 from .components import connected_components
 from .edges import ENDS
+from .ordered import with_rank
 
 # Movers of one source or target that a round looks at, best first; the others may move in the next round. It bounds the rows
 # that meet in one task.
@@ -118,15 +119,31 @@ def _connected_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
 
 
+def _with_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Numbers of customers and communities turned back into ids; a community is named by a member."""
+    node = ids.select(F.col("nr").alias("node"), F.col("id").alias("_node"))
+    community = ids.select(F.col("nr").alias("community"), F.col("id").alias("_community"))
+    return nodes.join(node, "node").join(community, "community").select(
+        F.col("_node").alias("node"), F.col("_community").alias("community"), "component_id", "strength", "total"
+    )
+
+
 def modularity_partition(edges: DataFrame, component: DataFrame) -> tuple[DataFrame, int]:
     """``node, community, component_id, strength, total`` of every linked customer, and the rounds it took.
 
     Levels of ever larger communities first; then single customers move again until none gains, and communities that fell
-    apart on the way are cut, until both hold: every community is connected and no customer gains by moving.
+    apart on the way are cut, until both hold: every community is connected and no customer gains by moving. The rounds see
+    customers as numbers in the order of their ids, so ties go as they go among ids.
     """
+    ids = durable(with_rank(edges.select(F.explode(F.array(*ENDS)).alias("id")).filter("id is not null").distinct(), [F.asc("id")], "nr"), "ids")
+    known = edges.select(*ENDS, "shared_attribute_count")
+    for end in ENDS:
+        known = known.join(ids.select(F.col("id").alias(end), F.col("nr").alias(f"_{end}")), end)
+    edges = durable(known.select(*[F.col(f"_{end}").alias(end) for end in ENDS], "shared_attribute_count"), "numbered")
     adjacency = durable(_adjacency(edges), "adjacency")
-    strength = adjacency.groupBy(F.col("node").alias("customer_id")).agg(F.sum("weight").alias("strength"))
-    placed = strength.join(component, "customer_id")
+    strength = adjacency.groupBy(F.col("node").alias("nr")).agg(F.sum("weight").alias("strength"))
+    owned = component.join(ids.withColumnRenamed("id", "customer_id"), "customer_id").select(F.col("nr"), "component_id")
+    placed = strength.join(owned, "nr").withColumnRenamed("nr", "customer_id")
     total = placed.groupBy("component_id").agg(F.sum("strength").alias("total"))
     first = durable(
         placed.join(total, "component_id").select(
@@ -156,7 +173,7 @@ def modularity_partition(edges: DataFrame, component: DataFrame) -> tuple[DataFr
         named = nodes.join(parts, "node").select("node", F.col("part").alias("community"), "component_id", "strength", "total")
         kept, cut = nodes.select("community").distinct().count(), parts.select("part").distinct().count()
         if kept == cut:
-            return named, rounds
+            return _with_ids(named, ids), rounds
         nodes = named
 
 

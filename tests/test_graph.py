@@ -223,3 +223,14 @@ def test_adjacency_is_symmetric_with_self_loops(spark):
 def test_packing_stops_at_the_first_ring_that_does_not_fit(spark):
     rings = spark.createDataFrame([("R-1", 0.9, 4), ("R-2", 0.8, 9), ("R-3", 0.7, 2)], "ring_id string, score double, size long")
     assert [r["ring_id"] for r in N.packed_rings(rings, 10).collect()] == ["R-1"]
+
+
+def test_rounds_of_moves_see_numbers_and_results_see_ids(spark, monkeypatch):
+    seen = []
+    moves = CM.local_moves
+    monkeypatch.setattr(CM, "local_moves", lambda nodes, adjacency: seen.append(dict(nodes.dtypes + adjacency.dtypes)) or moves(nodes, adjacency))
+    edges = edge_frame(spark, [("b", "c"), ("b", "d"), ("c", "d"), ("d", "w"), ("w", "x"), ("w", "y"), ("x", "y")])
+    component = spark.createDataFrame([(n, "b") for n in "bcdwxy"], "customer_id string, component_id string")
+    place = {r["node"]: (r["community"], r["component_id"]) for r in CM.modularity_partition(edges, component)[0].collect()}
+    assert {x[c] for x in seen for c in ("node", "community", "other")} == {"bigint"}
+    assert place == {**dict.fromkeys("bcd", ("b", "b")), **dict.fromkeys("wxy", ("w", "b"))}
