@@ -11,7 +11,7 @@ Frequencies come from a count sketch over all tokens of all documents. Its size
 size of the input; an error in it changes the order and the cost, never the result, because all documents use the same.
 
 Equal sets are one item. Signatures are shuffled and sorted, and a run of equal signatures gives pairs of neighbours by
-length first. These are verified on the whole texts and connected. Only runs whose items are then still in several
+length first. Those that the parity bitmaps of the two sets leave possible are verified on the whole texts and connected. Only runs whose items are then still in several
 components are looked at again: an item is compared with every larger component that it meets in a run, unless the
 parity bitmaps of the two sets already tell that too many tokens differ. For that, items and members are packed, so a
 component of thousands of near copies costs a few packs and not a row for each pair, and no link is lost.
@@ -40,6 +40,8 @@ FREQUENT = 64
 WINDOW = 3
 CLASS_TOKENS = 32
 FLUSH = 1 << 16
+CHUNK = 1 << 16
+SEEN_MOST = (1 << 20) - 1
 BITS_LEAST, BITS_MOST = 256, 8192
 PACK_ROWS, PACK_BYTES, PACK_PARTS = 256, 2 << 20, 16
 
@@ -67,44 +69,78 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z lower-cased."""
-    b = np.frombuffer(text.lower(), np.uint8)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts with A-Z lower-cased, where each word starts and stops in them, and the number of words of each text."""
+    b = np.frombuffer(b" ".join(texts).lower(), np.uint8)
     inside = np.r_[False, ~_SPACE[b], False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, stops = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    last = np.cumsum([len(t) + 1 for t in texts])
+    return b, starts, stops, np.diff(np.searchsorted(starts, last), prepend=0)
+
+
+def word_counts(batch: pa.RecordBatch, column: int) -> pa.Array:
+    """Number of words between white space of each text of a batch; 0 for NULL."""
+    return pa.array([n for texts in _chunks(batch, column) for n in _words(texts)[3].tolist()], pa.int64())
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, with A-Z lower-cased, text after text, and the number of words of each text."""
+    b, starts, stops, counts = _words(texts)
     power, inverse = _power(len(b))
     sums = np.r_[np.uint64(0), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)]
-    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _MUL)
+    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _MUL), counts
+
+
+def token_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of each text, sorted, text after text, and the number of tokens of each text."""
+    words, counts = word_hashes(texts)
+    begins = np.cumsum(counts) - counts
+    runs = np.where(counts < SHINGLE, counts > 0, counts - SHINGLE + 1)
+    stops = np.cumsum(runs)
+    starts = stops - runs
+    padded = np.r_[words, np.zeros(SHINGLE, np.uint64)]
+    summed = np.full(len(words), SHINGLE, np.uint64) * _MUL
+    for i in range(SHINGLE):
+        summed += padded[i : len(words) + i] * _MIX[i]
+    total = summed[np.repeat(begins - starts, runs) + np.arange(len(words) and stops[-1])]
+    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    if len(short):  # all words are one run
+        whole = counts[short].astype(np.uint64) * _MUL
+        for i in range(SHINGLE - 1):
+            whole += np.where(counts[short] > i, padded[begins[short] + i] * _MIX[i], np.uint64(0))
+        total[starts[short]] = whole
+    total = mix(total)
+    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+        total[a:b].sort()
+    keep = np.ones(len(total), bool)
+    keep[1:] = total[1:] != total[:-1]
+    keep[starts[runs > 0]] = True
+    before = np.r_[0, np.cumsum(keep)]
+    return total[keep], before[stops] - before[starts]
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The distinct tokens of a text, sorted."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    size = min(SHINGLE, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64) * _MUL
-    for i in range(size):
-        total += words[i : len(words) - size + 1 + i] * _MIX[i]
-    return np.unique(mix(total))
+    return token_sets([text])[0]
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """One number for a set."""
-    if not len(tokens):
-        return 0
-    total = np.add.reduce(mix(tokens ^ _MUL), keepdims=True) + np.full(1, len(tokens), np.uint64) * _MUL
-    return int(mix(total).view(np.int64)[0])
+def set_keys(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One number for each set; 0 for an empty one."""
+    keys, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(some):
+        sums = np.add.reduceat(mix(tokens ^ _MUL), (np.cumsum(sizes) - sizes)[some])
+        keys[some] = mix(sums + sizes[some].astype(np.uint64) * _MUL)
+    return keys.view(np.int64)
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """A bitmap, about as long as the set, of the parities of token slots; sets that differ in d tokens differ in d bits at most."""
-    width = min(BITS_MOST, max(BITS_LEAST, 1 << int(len(tokens)).bit_length()))
-    slots = (tokens & np.uint64(width - 1)).astype(np.int64)
-    return np.packbits(np.bincount(slots, minlength=width).astype(np.uint8) & 1).tobytes()
+def parities(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bitmap for each set, about as long as the set, of the parities of token slots; sets that differ in d tokens differ in d bits at most."""
+    widths = np.clip(1 << np.frexp(sizes)[1].astype(np.int64), BITS_LEAST, BITS_MOST)
+    stops = np.cumsum(widths)
+    slots = (tokens & np.repeat(widths - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(stops - widths, sizes)
+    packed = np.packbits(np.bincount(slots, minlength=int(stops[-1])).astype(np.uint8) & 1).tobytes()
+    return [packed[a:b] for a, b in zip(((stops - widths) // 8).tolist(), (stops // 8).tolist(), strict=True)]
 
 
 def folded(bits: list[bytes], width: int) -> np.ndarray:
@@ -129,16 +165,23 @@ def bands() -> np.ndarray:
 _BANDS = bands()
 
 
+def ranks(tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """A number of each token that orders tokens rarest first: a rare token's signature."""
+    return (np.minimum(seen, SEEN_MOST).astype(np.uint64) << np.uint64(44)) | (tokens >> np.uint64(20))
+
+
 def signatures(tokens: np.ndarray, seen: np.ndarray, frequent: int) -> np.ndarray:
     """The signatures of a set of tokens, given how often each is seen at most in the corpus (by the sketch)."""
     n = len(tokens)
-    order = np.lexsort((tokens, seen))
-    tokens, seen = tokens[order], seen[order]
     wanted = n - (LEAST_PERCENT * n + 99) // 100 + 1
-    rare = int(np.searchsorted(seen, frequent, side="right"))
+    alone = seen <= min(frequent, SEEN_MOST - 1)
+    rare = int(np.count_nonzero(alone))
+    ranked = ranks(tokens[alone], seen[alone])
     if rare >= wanted:
-        return tokens[:wanted]
-    found, common = [tokens[:rare]], tokens[rare:]
+        ranked.sort()
+        return ranked[:wanted]
+    found, common = [ranked], tokens[~alone]
+    common = common[np.lexsort((common, seen[~alone]))]
     band = int(np.searchsorted(_BANDS, n, side="right")) - 1
     for b in (band, band + 1):
         classes = max(1, int(_BANDS[b]) // CLASS_TOKENS)
@@ -162,7 +205,20 @@ def _digest(text: bytes) -> bytes:
 
 
 def _texts(batch: pa.RecordBatch, column: int):
-    return (value.as_py() or b"" for value in batch.column(column).cast(pa.binary()))
+    return (value or b"" for value in batch.column(column).cast(pa.binary()).to_pylist())
+
+
+def _chunks(batch: pa.RecordBatch, column: int):
+    """The texts of a batch in stretches of up to CHUNK bytes; a longer text is alone."""
+    held, size = [], 0
+    for text in _texts(batch, column):
+        if held and size + len(text) > CHUNK:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,21 +232,14 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         names = ["doc_id", "n", "key", "digest", "bits", "slice", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
-            sizes, keys, digests, bits, places, held = [], [], [], [], [], 0
-            for text in _texts(batch, 1):
-                tokens = shingles(text)
-                sizes.append(len(tokens))
-                keys.append(set_key(tokens))
-                digests.append(_digest(text))
-                bits.append(parity(tokens))
-                places.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                held += len(tokens)
-                if held > 1 << 20:
-                    held = 0
-                    np.add(counts, np.bincount(np.concatenate(places), minlength=len(counts)).astype(np.uint32), out=counts)
-                    places = []
-            if places:
-                np.add(counts, np.bincount(np.concatenate(places), minlength=len(counts)).astype(np.uint32), out=counts)
+            sizes, keys, digests, bits = [], [], [], []
+            for texts in _chunks(batch, 1):
+                tokens, lengths = token_sets(texts)
+                sizes += lengths.tolist()
+                keys += set_keys(tokens, lengths).tolist()
+                digests += map(_digest, texts)
+                bits += parities(tokens, lengths)
+                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             columns = [batch.column(0).to_pylist(), sizes, keys, digests, bits, [None] * len(sizes), [None] * len(sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         for number, data in _slices(counts):
@@ -270,14 +319,16 @@ def index(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         counts, done = shared.value, set()
         for batch in batches:
             found, keys, sizes = [], [], []
-            for text in _texts(batch, 0):
-                tokens = shingles(text)
-                key = set_key(tokens)
-                if len(tokens) and key not in done:
-                    done.add(key)
-                    found.append(signatures(tokens, counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], frequent))
-                    keys.append(key)
-                    sizes.append(len(tokens))
+            for texts in _chunks(batch, 0):
+                tokens, lengths = token_sets(texts)
+                seen = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                stops = np.cumsum(lengths).tolist()
+                for key, size, stop in zip(set_keys(tokens, lengths).tolist(), lengths.tolist(), stops, strict=True):
+                    if size and key not in done:
+                        done.add(key)
+                        found.append(signatures(tokens[stop - size : stop], seen[stop - size : stop], frequent))
+                        keys.append(key)
+                        sizes.append(size)
             if found:
                 lengths = [len(s) for s in found]
                 yield pa.RecordBatch.from_arrays(
@@ -303,8 +354,12 @@ def runs(signed: DataFrame) -> DataFrame:
             near = (sig[gap:] == sig[:-gap]) & _similar_length(n[gap:], n[:-gap])
             one, two = key[gap:][near], key[:-gap][near]
             if len(one):
-                pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int32())], names)
+                low, high = np.minimum(one, two), np.maximum(one, two)
+                by = np.lexsort((high, low))
+                low, high = low[by], high[by]
+                new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+                count = int(new.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(count, pa.int64()), pa.array(low[new]), pa.array(high[new]), pa.nulls(count, pa.int32())], names)
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         lengths = np.diff(np.r_[starts, len(sig)])
         parts = long & (np.arange(len(starts)) == 0)
@@ -317,8 +372,8 @@ def runs(signed: DataFrame) -> DataFrame:
 
     def run(batches):
         rest, long = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)], False
-        for batch in batches:
-            sig, key, n = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True))
+        for columns in _stretches(batches):
+            sig, key, n = (np.concatenate([r, c]) for r, c in zip(rest, columns, strict=True))
             if not len(sig):
                 continue
             cut = int(np.searchsorted(sig, sig[-1]))  # the last run may go on
@@ -364,6 +419,31 @@ def blobs_of(docs: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
     return durable(texts.hint("merge").join(wanted.hint("merge"), "digest").groupBy("key").agg(F.first("blob").alias("blob")), "texts")
 
 
+def plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that the parity bitmaps leave possible: no text is fetched for the others."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    bits = members.join(ends, "key", "left_semi").groupBy("key").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    side = lambda end: bits.select(F.col("key").alias(end), F.struct("n", "bits").alias(f"of_{end}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a.n", "of_a.bits", F.col("of_b.n").alias("m"), F.col("of_b.bits").alias("others"))
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            apart = np.zeros(len(total), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                one, two = folded([x, y], min(len(x), len(y)))
+                apart[i] = np.bitwise_count(one ^ two).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(_near(apart, total)))
+
+    return known.mapInArrow(run, "a bigint, b bigint")
+
+
+def _near(apart: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of ``total`` tokens together, whose bitmaps differ in ``apart`` bits, may be similar."""
+    # At most this share of all tokens of two similar sets is in only one of them.
+    return apart * (100 + LEAST_PERCENT) <= (100 - LEAST_PERCENT) * total
+
+
 def verify(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose texts reach the similarity, judged on whole sets."""
     # One item with very many partners is dealt to several tasks, each with the item's own text. Own texts and those of the
@@ -425,8 +505,7 @@ def late_candidates(long_runs: DataFrame, members: DataFrame, group: DataFrame)
                 for w in range(one.shape[1]):
                     apart += np.bitwise_count(one[:, w, None] ^ two[None, :, w])
                 total = n[a][:, None] + n[b][None]
-                # At most this share of all tokens of two similar sets is in only one of them.
-                near = apart * (100 + LEAST_PERCENT) <= (100 - LEAST_PERCENT) * total
+                near = _near(apart, total)
                 near &= _similar_length(n[a][:, None], n[b][None]) & (component[a][:, None] != component[b][None])
                 x, y = np.nonzero(near)
                 x, y = x + i, y + j
@@ -454,6 +533,18 @@ def late_candidates(long_runs: DataFrame, members: DataFrame, group: DataFrame)
     return rows.mapInArrow(run, "key bigint, component bigint").distinct()
 
 
+def _stretches(batches):
+    """The columns of batches, FLUSH rows or more at a time."""
+    held, size = [], 0
+    for last, batch in _with_end(batches):
+        if batch is not None:
+            held.append(batch)
+            size += batch.num_rows
+        if held and (last or size >= FLUSH):
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held, size = [], 0
+
+
 def _with_end(batches):
     for batch in batches:
         yield False, batch
@@ -528,9 +619,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, key``: the group of every document under links of at least 0.8."""
     members, parts = survey(docs)
     found = durable(runs(index(docs, sum_sketch(parts))), "runs")
-    pairs = durable(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = durable(plausible(found.filter("b is not null").select("a", "b").distinct(), members), "pairs")
     long_runs = durable(found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct(), "long_runs")
-    # Pairs of one signature are within a long run or hold both of its items, so these are all keys that can be asked for.
+    # An item is compared in a pair or in a long run, so these are all keys that can be asked for.
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long_runs.select("key"))
     blobs = blobs_of(docs, durable(keys.distinct(), "keys"), members)
     links = verify(blobs, pairs)

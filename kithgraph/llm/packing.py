@@ -21,11 +21,11 @@ from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..session import durable
-from .common import word_count
-from .jaccard import join_similar
+from .jaccard import join_similar, word_counts
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
@@ -79,7 +79,13 @@ def pack_shard(rows: list[dict], capacity: int) -> list[tuple[int, int]]:
 
 def cut_documents(docs: DataFrame, capacity: int) -> DataFrame:
     """``doc_id, source, same, piece, size``: full pieces and the rest of every document; ``same`` is a hash of the text."""
-    words = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
+    chosen = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), "text")
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], word_counts(batch, 3)], ["doc_id", "source", "same", "words"])
+
+    words = chosen.mapInArrow(count, StructType([*chosen.schema.fields[:3], StructField("words", LongType())]))
     number = F.explode(F.expr(f"sequence(0L, greatest(0L, (words - 1) div {capacity}))"))
     cut = words.withColumn("piece", number)
     return cut.select("doc_id", "source", "same", "piece", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("bigint").alias("size"))

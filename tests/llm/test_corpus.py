@@ -246,6 +246,33 @@ def test_near_and_cut_copies_do_not_share_a_bin(session):
     assert len({r["bin"] for r in rows if r["doc_id"] in (300, None)}) == 2
 
 
+def test_texts_of_a_stretch_give_the_tokens_of_each_alone():
+    texts = [(r[1] or "").encode() for r in documents(3, 40)]
+    together, sizes = jaccard.token_sets(texts)
+    alone = [jaccard.token_sets([t])[0] for t in texts]
+    assert sizes.tolist() == [len(x) for x in alone] and np.array_equal(together, np.concatenate(alone))
+    keys, bits = jaccard.set_keys(together, sizes), jaccard.parities(together, sizes)
+    for text, tokens, key, bitmap in zip(texts, alone, keys.tolist(), bits, strict=True):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+        assert len(tokens) == len({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, len(words) > 0))})
+        width = 8 * len(bitmap)
+        odd = {slot for slot, n in Counter(int(t) % width for t in tokens).items() if n % 2}
+        assert {i for i in range(width) if bitmap[i // 8] >> (7 - i % 8) & 1} == odd
+        assert jaccard.set_keys(tokens, np.array([len(tokens)])).tolist() == [key] and (key != 0 or not words)
+    assert jaccard.word_counts(jaccard.pa.record_batch([[*(t.decode() for t in texts), None]], ["text"]), 0).to_pylist() == [*(len(re.findall(rb"[^\x20\x09-\x0D]+", t)) for t in texts), 0]
+
+
+def test_only_plausible_pairs_ask_for_texts(session):
+    rows = [(i, " ".join(f"w{i}x{x if x != i else 'y'}" for x in range(80)), "en", "s", 1) for i in range(30)]
+    rows += [(100 + i, " ".join(f"w{i}x{x}" for x in range(80)), "en", "s", 1) for i in range(30)]
+    members, _ = jaccard.survey(session.createDataFrame(rows, DOCS))
+    keys = {r["doc_id"]: r["key"] for r in members.collect()}
+    pairs = [(keys[i], keys[j]) for i in range(30) for j in range(100, 130)]
+    left = {tuple(r) for r in jaccard.plausible(session.createDataFrame(pairs, "a long, b long"), members).collect()}
+    near = {(keys[i], keys[100 + i]) for i in range(30)}
+    assert near <= left and len(left) < 2 * len(near)
+
+
 def cheapest(roles):
     """Least cost over all sequences of out roles, by trying every one."""
     best = None
