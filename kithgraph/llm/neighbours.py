@@ -5,7 +5,9 @@ bounded size, and a vector goes to its ``overlap`` nearest pivots, so the cells
 shard each vector gets robust-pruned neighbours; the lists of all shards are united. Then a beam search over the united
 lists starts from the shard's medoid and the vector itself, and once it is within range it expands through everything in
 range. A search leaves its shard: round by round it goes on in the other shards of what is in range and of the best
-points that it met, entering by these points, until there is no such shard left. Pairs are verified by cosine in double
+points that it met, entering by these points, until there is no such shard left. Of the best points only those are
+followed that are within twice the angle, since others are in range of nothing in range; instead a search also visits the
+shards next in line to its own, ``PROBES`` at each level, from their medoids. Pairs are verified by cosine in double
 precision. Last, the links of a fixed-size sample of vectors, drawn by hash whatever was found, are compared with brute
 force over all rows; if too few were found, by vector or by link, the shards are rebuilt with more overlap.
 
@@ -36,6 +38,7 @@ BEAM = 16
 HOPS = 60
 SEARCHES = 64
 OVERLAPS = (2, 4, 8)
+PROBES = 1
 AUDIT_ROWS = 4096
 LEAST_RECALL = 0.95
 
@@ -67,11 +70,19 @@ def _by_cell(batches):
 
 def shards_of(points: DataFrame, overlap: int) -> DataFrame:
     """``cell, id, vector``: cells of at most ``CELL`` points; each level sends a point to its nearest pivots."""
+    return placed(points, overlap).filter("member").drop("member")
+
+
+def placed(points: DataFrame, overlap: int) -> DataFrame:
+    """``cell, id, vector, member``: the members of each cell, and the points that only visit it.
+
+    A member visits the cells of the next ``PROBES`` pivots; a visitor of a large cell visits the nearest of its cells.
+    """
     wide = F.concat_ws("/", "label", F.length("vector").cast("string"))
-    laid = durable(points.select(wide.alias("cell"), "id", "vector"), "cells")
+    laid = durable(points.select(wide.alias("cell"), "id", "vector", F.lit(True).alias("member")), "cells")
     done, before = None, None
     while True:
-        counts = laid.groupBy("cell").agg(F.count("*").alias("n"))
+        counts = laid.filter("member").groupBy("cell").agg(F.count("*").alias("n"))
         size = counts.agg(F.max("n")).first()[0] or 0
         # Rows that no pivot can part any more (nearly all at one point) stay together.
         if size <= CELL or (before and size > 0.9 * before):
@@ -82,24 +93,27 @@ def shards_of(points: DataFrame, overlap: int) -> DataFrame:
         large = rows.filter(F.col("n") > CELL)
         wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(4), F.ceil(F.col("n") * overlap * 2 / CELL)))
         order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
-        chosen = large.withColumn("at", F.row_number().over(order)).filter((F.col("at") <= PIVOTS) & (F.col("at") <= wanted))
+        chosen = large.filter("member").withColumn("at", F.row_number().over(order)).filter((F.col("at") <= PIVOTS) & (F.col("at") <= wanted))
         pivots = chosen.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("at", "vector"))).alias("pivots"))
 
         def deal(batches):
             for batch in batches:
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 cells = {}
-                for cell, key, vector, near in zip(*(batch.column(i) for i in range(4)), strict=True):
-                    if cell.as_py() not in cells:
-                        cells[cell.as_py()] = _unit([p["vector"] for p in near.as_py()])
+                for cell, key, vector, member, near in zip(*(batch.column(i) for i in range(5)), strict=True):
+                    cell, member = cell.as_py(), member.as_py()
+                    if cell not in cells:
+                        cells[cell] = _unit([p["vector"] for p in near.as_py()])
                     x = np.frombuffer(vector.as_py(), np.float64)
-                    for p in np.argsort(-(cells[cell.as_py()] @ x), kind="stable")[:overlap]:
-                        for column, value in zip(out, (f"{cell.as_py()}.{p}", key.as_py(), vector.as_py()), strict=True):
+                    line = np.argsort(-(cells[cell] @ x), kind="stable")[: overlap + PROBES * member]
+                    for turn, p in enumerate(line.tolist()):
+                        for column, value in zip(out, (f"{cell}.{p}", key.as_py(), vector.as_py(), member and turn < overlap), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["cell", "id", "vector"])
+                kinds = [pa.string(), pa.int64(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["cell", "id", "vector", "member"])
 
-        met = large.join(pivots, "cell").select("cell", "id", "vector", F.col("pivots").alias("near"))
-        laid = durable(met.mapInArrow(deal, "cell string, id bigint, vector binary"), "cells")
+        met = large.join(pivots, "cell").select("cell", "id", "vector", "member", F.col("pivots").alias("near"))
+        laid = durable(met.mapInArrow(deal, "cell string, id bigint, vector binary, member boolean"), "cells")
 
 
 def robust_prune(unit: np.ndarray, own: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -220,13 +234,13 @@ def visit_cells(laid: DataFrame, least: float) -> DataFrame:
     """One row for each search in a cell: what is in range, the best points, and the other cells of what is in range.
 
     ``laid`` has ``cell, part, asks, id, vector, near, homes``: the points of a cell, then the vectors that ask there with the
-    points they enter by. A point that asks in its own cell enters by itself and the medoid.
+    points they enter by (none: the medoid). A point that asks in its own cell enters by itself and the medoid.
     """
 
     def answer(cell, names, raw, unit, lists, homes, place, asks):
         medoid = int(np.argmax(unit @ unit.mean(axis=0)))
         asked = _unit([r[4] for r in asks])
-        entries = [np.unique([medoid, place[r[3]]]) if r[5] is None else np.array([place[x] for x in r[5]], int) for r in asks]
+        entries = [np.unique([medoid, place[r[3]]]) if r[5] is None else np.array([place[x] for x in r[5]] or [medoid], int) for r in asks]
         a, b, best = search_range(unit, lists, least - 1e-9, asked, entries)
         own = np.array([r[3] for r in asks])
         keep = names[b] != own[a]
@@ -289,12 +303,13 @@ def _shard(cell, points):
     return names, raw, unit, lists, homes, place
 
 
-def next_visits(state: DataFrame, last: DataFrame) -> DataFrame:
+def next_visits(state: DataFrame, last: DataFrame, least: float) -> DataFrame:
     """``q, cell, entries``: where searches go on in other cells.
 
     A point in range is entered in each of its cells where it was not met. Of all points that a vector met, the ``BEAM``
-    best are entered in each of their cells that the vector has not asked yet.
+    best, if within twice the angle of ``least``, are entered in each of their cells that the vector has not asked yet.
     """
+    far = 2 * least * least - 1 - 1e-6 if least > 0 else -1.0
     done = state.groupBy("q", "cell").agg(F.flatten(F.collect_list(F.concat("inside", "entries"))).alias("done"))
     moves = last.select("q", F.explode("moves").alias("m")).select("q", "m.cell", F.col("m.ids").alias("ids"))
     inside = moves.groupBy("q", "cell").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).join(done, ["q", "cell"], "left")
@@ -302,14 +317,16 @@ def next_visits(state: DataFrame, last: DataFrame) -> DataFrame:
     mine = state.join(last.select("q").distinct(), "q", "left_semi").groupBy("q")
     best = mine.agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("beam"))), False), 1, BEAM).alias("beam"))
     # The cell that met a point is left out of its homes; the vector has asked there.
-    near = best.select("q", F.explode("beam").alias("b")).select("q", "b.id", F.explode("b.homes").alias("cell"))
+    near = best.select("q", F.explode("beam").alias("b")).filter(F.col("b.score") >= far).select("q", "b.id", F.explode("b.homes").alias("cell"))
     greedy = near.join(state.select("q", "cell").distinct(), ["q", "cell"], "left_anti").groupBy("q", "cell").agg(F.collect_set("id").alias("entries"))
     return ranged.unionByName(greedy).groupBy("q", "cell").agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))
 
 
 def link_pairs(points: DataFrame, overlap: int, least: float = LEAST_COSINE) -> DataFrame:
     """``a, b`` (a < b): linked points of one label, found by the graph and verified."""
-    cells = durable(shards_of(points, overlap).repartition("cell").sortWithinPartitions("cell", "id"), "shards")
+    dealt = durable(placed(points, overlap).repartition("cell").sortWithinPartitions("cell", "id"), "shards")
+    cells = dealt.filter("member").drop("member")
+    probes = dealt.filter("not member").select(F.col("id").alias("q"), "cell", F.array().cast("array<bigint>").alias("entries"))
 
     def build(batches):
         for cell, rows in _by_cell(batches):
@@ -326,15 +343,19 @@ def link_pairs(points: DataFrame, overlap: int, least: float = LEAST_COSINE) ->
     own = members.withColumn("part", F.lit(0)).withColumn("asks", F.lit(2))
     last = durable(visit_cells(own.repartition("cell").sortWithinPartitions(*order), least), "visits")
     state = last
+    first = True
     while True:
-        visits = durable(next_visits(state, last), "moves")
+        moves = next_visits(state, last, least)
+        if first:  # a cell that is entered by points too needs no other entry
+            moves = moves.unionByName(probes.join(moves, ["q", "cell"], "left_anti"))
+        visits, first = durable(moves, "moves"), False
         # A cell that many ask is searched in several tasks of bounded size.
         parts = visits.groupBy("cell").agg(F.expr(f"cast((count(*) + {CELL - 1}) div {CELL} as int)").alias("parts"))
         if visits.isEmpty():
             break
         base = members.join(parts, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("asks", F.lit(0)).drop("parts")
-        dealt = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
-        asking = dealt.join(points.select(F.col("id").alias("q"), "vector"), "q").select(
+        parted = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
+        asking = parted.join(points.select(F.col("id").alias("q"), "vector"), "q").select(
             "cell", F.col("q").alias("id"), "vector", F.col("entries").alias("near"), F.lit(None).cast("array<string>").alias("homes"), "part", F.lit(1).alias("asks")
         )
         last = durable(visit_cells(base.unionByName(asking).repartition("cell", "part").sortWithinPartitions(*order), least), "visits")

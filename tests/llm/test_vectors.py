@@ -118,3 +118,24 @@ def test_audit_sees_missing_isolated_pairs(session):
     some = [(a, b) for a, b in sorted(links) if b < 120 or a % 20 == 0]
     assert whole == 1.0 and len(some) > 0.95 * len(links)
     assert neighbours.recall(points, session.createDataFrame(some, "a long, b long")) < 0.5
+
+
+def test_far_points_are_not_followed_and_next_shards_are_visited(session, monkeypatch):
+    beam = [(0.95, 2, ["c"]), (0.8, 3, ["d", "a"]), (0.5, 4, ["b"])]
+    state = session.createDataFrame([("a", 1, [], [2], beam, [("c", [2])])], neighbours.VISIT)
+    assert {(r["q"], r["cell"]): r["entries"] for r in neighbours.next_visits(state, state, 0.93).collect()} == {(1, "c"): [2], (1, "d"): [3]}
+    monkeypatch.setattr(neighbours, "CELL", 60)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    both = np.concatenate([base, 0.95 * base + np.sqrt(1 - 0.95**2) * side])
+    rows = [(i, [float(np.float32(x)) for x in v], 0, "x", "y") for i, v in enumerate(both)]
+    points = neighbours._valid(session.createDataFrame(rows, SCHEMA)).withColumnRenamed("vec_id", "id")
+    laid = [tuple(r) for r in neighbours.placed(points, 2).select("cell", "id", "member").collect()]
+    assert len(laid) == len({r[:2] for r in laid}) and {r[1] for r in laid if not r[2]} == set(range(300))
+    links = brute_links(rows, 0.93)
+    found = {tuple(r) for r in neighbours.link_pairs(points, 2).collect()}
+    assert found <= links and len(found) >= 0.97 * len(links) and len(links) >= 150
