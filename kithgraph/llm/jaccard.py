@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
-from ..session import durable
+from ..session import durable, few_files
 
 SHINGLE = 5
 LEAST_PERCENT = 80
@@ -221,7 +221,7 @@ def _chunks(batch: pa.RecordBatch, column: int):
         yield held
 
 
-def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def survey(docs: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Members ``doc_id, n, key, digest, bits`` and partial sketches ``slice, counts``, both written once from one pass over the texts.
 
     ``digest`` is of the whole text: it finds the text of a set again without its tokens.
@@ -247,7 +247,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, digest binary, bits binary, slice int, counts binary"), "survey")
+    both = durable(chosen.mapInArrow(run, "doc_id bigint, n bigint, key bigint, digest binary, bits binary, slice int, counts binary"), "survey", rows)
     return both.filter("slice is null").select("doc_id", "n", "key", "digest", "bits"), both.filter("slice is not null").select("slice", "counts")
 
 
@@ -391,14 +391,14 @@ def runs(signed: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "sig bigint, a bigint, b bigint, n int")
 
 
-def blobs_of(docs: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
+def blobs_of(docs: DataFrame, keys: DataFrame, members: DataFrame, rows: int | None = None) -> DataFrame:
     """``key, blob``: one compressed text for each key; a sketch of the digests keeps most other texts from the shuffle.
 
     Texts are known by their digests, so their tokens are not made again.
     """
     # A set held by very many documents is one row before it is joined.
     first = members.groupBy("key").agg(F.min("digest").alias("digest"))
-    wanted = durable(first.hint("merge").join(keys.hint("merge"), "key", "left_semi"), "wanted")
+    wanted = durable(first.hint("merge").join(keys.hint("merge"), "key", "left_semi"), "wanted", rows)
     slots = wanted.select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint").alias("key"))
     shared = docs.sparkSession.sparkContext.broadcast(key_sketch(slots) > 0)
 
@@ -416,7 +416,7 @@ def blobs_of(docs: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["digest", "blob"])
 
     texts = docs.select("text").mapInArrow(pack, "digest binary, blob binary")
-    return durable(texts.hint("merge").join(wanted.hint("merge"), "digest").groupBy("key").agg(F.first("blob").alias("blob")), "texts")
+    return durable(texts.hint("merge").join(wanted.hint("merge"), "digest").groupBy("key").agg(F.first("blob").alias("blob")), "texts", rows)
 
 
 def plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -444,7 +444,7 @@ def _near(apart: np.ndarray, total: np.ndarray) -> np.ndarray:
     return apart * (100 + LEAST_PERCENT) <= (100 - LEAST_PERCENT) * total
 
 
-def verify(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(blobs: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """The pairs ``a, b`` whose texts reach the similarity, judged on whole sets."""
     # One item with very many partners is dealt to several tasks, each with the item's own text. Own texts and those of the
     # partners are fetched in one join.
@@ -452,8 +452,8 @@ def verify(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("own"))
     own = dealt.select("a", F.col("a").alias("b"), "part").distinct().withColumn("own", F.lit(True))
     asked = dealt.unionByName(own).hint("merge").join(blobs.select(F.col("key").alias("b"), "blob").hint("merge"), "b")
-    rows = asked.select("a", F.when(~F.col("own"), F.col("b")).alias("b"), "blob", "part")
-    laid = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    texts = asked.select("a", F.when(~F.col("own"), F.col("b")).alias("b"), "blob", "part")
+    laid = texts.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         unpack, a, mine = zstandard.ZstdDecompressor(), None, None
@@ -468,7 +468,7 @@ def verify(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
                     out[1].append(y)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    return durable(laid.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    return durable(laid.mapInArrow(run, "a bigint, b bigint").distinct(), "links", rows)
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -579,13 +579,13 @@ def _packs(rows: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "component bigint, part int, keys array<bigint>, blobs array<binary>")
 
 
-def verify_late(blobs: DataFrame, candidates: DataFrame, group: DataFrame) -> DataFrame:
+def verify_late(blobs: DataFrame, candidates: DataFrame, group: DataFrame, rows: int | None = None) -> DataFrame:
     """``a, b``: for each item and component at least one link, if there is any."""
     asked = _packs(candidates.join(blobs, "key")).select("component", F.col("keys").alias("asks"), F.col("blobs").alias("ask_blobs"))
     targets = candidates.select("component").distinct()
     lone = targets.join(group.select("component").distinct(), "component", "left_anti").select("component", F.col("component").alias("key"))
     inside = group.join(targets, "component", "left_semi").select("component", "key").unionByName(lone)
-    own = durable(_packs(inside.join(blobs, "key")), "packs")
+    own = durable(_packs(inside.join(blobs, "key")), "packs", rows)
     # Items go to the parts that their component has: one for a lone item, PACK_PARTS for a large component.
     spread = asked.join(own.select("component", "part").distinct(), "component")
     met = spread.join(own, ["component", "part"]).select("asks", "ask_blobs", "keys", "blobs")
@@ -612,28 +612,30 @@ def verify_late(blobs: DataFrame, candidates: DataFrame, group: DataFrame) -> Da
                         out[1].append(keys[similar[0]])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    return durable(met.mapInArrow(run, "a bigint, b bigint").filter("a <> b"), "links")
+    return durable(met.mapInArrow(run, "a bigint, b bigint").filter("a <> b"), "links", rows)
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, key``: the group of every document under links of at least 0.8."""
-    members, parts = survey(docs)
-    found = durable(runs(index(docs, sum_sketch(parts))), "runs")
-    pairs = durable(plausible(found.filter("b is not null").select("a", "b").distinct(), members), "pairs")
-    long_runs = durable(found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct(), "long_runs")
+    # Tables of steps get files in proportion to the documents, however many partitions a shuffle has.
+    rows = docs.count()
+    members, parts = survey(docs, rows)
+    found = durable(runs(index(docs, sum_sketch(parts))), "runs", rows)
+    pairs = durable(plausible(found.filter("b is not null").select("a", "b").distinct(), members), "pairs", rows)
+    long_runs = durable(found.filter("b is null").select("sig", F.col("a").alias("key"), F.col("n").cast("bigint").alias("n")).distinct(), "long_runs", rows)
     # An item is compared in a pair or in a long run, so these are all keys that can be asked for.
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long_runs.select("key"))
-    blobs = blobs_of(docs, durable(keys.distinct(), "keys"), members)
-    links = verify(blobs, pairs)
-    group = durable(_groups(links), "groups")
-    late = durable(late_candidates(long_runs, members, group), "late")
+    blobs = blobs_of(docs, durable(keys.distinct(), "keys", rows), members, rows)
+    links = verify(blobs, pairs, rows)
+    group = durable(_groups(links, rows), "groups", rows)
+    late = durable(late_candidates(long_runs, members, group), "late", rows)
     if not late.isEmpty():
-        group = _groups(links.unionByName(verify_late(blobs, late, group)))
+        group = _groups(links.unionByName(verify_late(blobs, late, group, rows)), rows)
     return _label(members, group)
 
 
-def _groups(links: DataFrame) -> DataFrame:
-    return connected_components(links, ["a", "b"]).select(F.col("customer_id").alias("key"), F.col("component_id").alias("component"))
+def _groups(links: DataFrame, rows: int | None = None) -> DataFrame:
+    return connected_components(links, ["a", "b"], rows).select(F.col("customer_id").alias("key"), F.col("component_id").alias("component"))
 
 
 def _label(members: DataFrame, group: DataFrame) -> DataFrame:
@@ -649,12 +651,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: one row of each group, with the smallest id (NULL last), and all without a word."""
     # Rows are told apart by numbers, which are fixed by writing them, so repeated rows and equal or NULL ids are copies too.
     # All columns of a document travel as one, so that names of any kind cannot clash.
-    numbered = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
-    labels = durable(join_similar(numbered.select(F.col("row").alias("doc_id"), "doc.text")), "labels").select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    rows = docs.count()
+    numbered = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered", rows)
+    labels = durable(join_similar(numbered.select(F.col("row").alias("doc_id"), "doc.text")), "labels", rows).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
     placed = labels.filter("n_shingles > 0").join(numbered.select("row", F.col("doc.doc_id").alias("id")), "row")
     least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"))
     stay = least.select("least.row").unionByName(labels.filter("n_shingles = 0").select("row"))
-    return numbered.join(stay, "row", "left_semi").select("doc.*")
+    return few_files(numbered.join(stay, "row", "left_semi").select("doc.*"), rows)
 
 
 SQL = r"""

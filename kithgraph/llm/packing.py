@@ -94,7 +94,8 @@ def cut_documents(docs: DataFrame, capacity: int) -> DataFrame:
 def clusters(docs: DataFrame) -> DataFrame:
     """``id, cluster``: the group of every id that has near copies; all texts of one id are in one group."""
     labels = join_similar(docs).filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").cast("bigint").alias("a"), F.col("component_id").cast("bigint").alias("b"))
-    return connected_components(durable(labels.distinct(), "labels"), ["a", "b"]).select(F.col("customer_id").alias("id"), F.col("component_id").alias("cluster"))
+    rows = docs.count()
+    return connected_components(durable(labels.distinct(), "labels", rows), ["a", "b"], rows).select(F.col("customer_id").alias("id"), F.col("component_id").alias("cluster"))
 
 
 def source_slots(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -113,7 +114,7 @@ def pack(docs: DataFrame, groups: DataFrame | None = None, capacity: int = CAPAC
     texts conflict.
     """
     # Row numbers are fixed by writing them, so that any number of equal rows is dealt to all shards.
-    pieces = durable(cut_documents(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = durable(cut_documents(docs, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces", docs.count())
     shards = max(1, -(-pieces.count() // shard_rows))
     own = F.col("doc_id").cast("bigint")
     if groups is None:

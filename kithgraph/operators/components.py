@@ -42,30 +42,33 @@ def _finished(stars: DataFrame) -> bool:
     return roles.filter("leaf + centre > 1").isEmpty()
 
 
-def star_components(pairs: DataFrame) -> DataFrame:
+def star_components(pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """``hi, lo``: every node but the smallest of each component (pairs ``hi > lo`` of numbers) with the smallest.
 
     The rounds needed grow with the logarithm of the longest path. Each round is written to the shared folder, so the plan
     stays one round long and survives lost executors.
     """
-    stars = durable(_small_star(_large_star(pairs)), "stars")
+    stars = durable(_small_star(_large_star(pairs)), "stars", rows)
     while not _finished(stars):
-        stars = durable(_small_star(_large_star(stars)), "stars")
+        stars = durable(_small_star(_large_star(stars)), "stars", rows)
     return stars
 
 
-def connected_components(edges: DataFrame, ends: list[str] = ENDS) -> DataFrame:
-    """``customer_id, component_id`` for every linked customer; the id is the smallest member."""
+def connected_components(edges: DataFrame, ends: list[str] = ENDS, rows: int | None = None) -> DataFrame:
+    """``customer_id, component_id`` for every linked customer; the id is the smallest member.
+
+    ``rows``: about how many customers there are, if known; the tables of the rounds then get files in proportion.
+    """
     a, b = F.col(ends[0]), F.col(ends[1])
     given = edges.filter(a != b).select(a.alias("a"), b.alias("b"))
     if all(kind == "bigint" for _, kind in given.dtypes):
-        stars = star_components(given.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+        stars = star_components(given.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), rows)
         members = stars.select(F.col("hi").alias("customer_id"), F.col("lo").alias("component_id"))
         roots = stars.select(F.col("lo").alias("customer_id"), F.col("lo").alias("component_id")).distinct()
         return members.unionByName(roots)
     ids = durable(with_rank(given.select(F.explode(F.array("a", "b")).alias("id")).distinct(), [F.asc("id")], "nr"), "ids")
     numbered = given.join(ids.select(F.col("id").alias("a"), F.col("nr").alias("x")), "a").join(ids.select(F.col("id").alias("b"), F.col("nr").alias("y")), "b")
-    stars = star_components(numbered.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")))
+    stars = star_components(numbered.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")), rows)
     named = ids.join(stars.withColumnRenamed("hi", "nr"), "nr", "left").select("id", F.coalesce("lo", "nr").alias("lo"))
     return named.join(ids.select(F.col("nr").alias("lo"), F.col("id").alias("least")), "lo").select(
         F.col("id").alias("customer_id"), F.col("least").alias("component_id")

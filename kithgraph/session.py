@@ -109,13 +109,28 @@ def _delete(spark: SparkSession, folder: str) -> None:
     place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+ROWS_A_FILE = 8192
+
+
+def few_files(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` in the partitions that about ``rows`` rows need, two a core at least, if it has more; unchanged if they are not known.
+
+    A small table in hundreds of files costs a task for each file that is read, and on local disks several processes that the
+    executor begins for each file that is written (200 files: 1246 processes), each as large as the executor for a moment.
+    """
+    if rows is None:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+
+
+def durable(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; in few files where about ``rows`` rows are known to be few.
 
     Cuts lineage like a checkpoint, survives lost executors, and unlike an RDD checkpoint keeps
     column pruning and gives the optimizer true sizes.
     """
     spark = df.sparkSession
+    df = few_files(df, rows)
     path = f"{step_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from hypothesis import given, settings, strategies as st
 import corpus_pipeline
 from kithgraph.llm import chat, jaccard, mixing, packing
 from kithgraph.llm.common import prepare, table
+from kithgraph.session import steps
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,6 +102,33 @@ def test_one_row_of_each_group_stays(session):
     assert jaccard.one_of_each(session.createDataFrame([], DOCS)).collect() == []
 
 
+@pytest.fixture
+def many_partitions(session):
+    """Shuffles of 64 partitions that are not merged: what a small table is dealt over on a large cluster."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: session.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        session.conf.set(key, value)
+    yield session
+    for key, value in old.items():
+        session.conf.set(key, value)
+
+
+def files_by_table(folder):
+    return Counter(path.parent.name for path in Path(folder.removeprefix("file://")).glob("*/part-*.parquet"))
+
+
+@pytest.mark.parametrize("work", [lambda docs: packing.pack(docs, packing.clusters(docs)), jaccard.one_of_each], ids=["packing", "near copies"])
+def test_steps_on_few_rows_write_few_files(many_partitions, work):
+    rows = [(i, " ".join(f"w{(i // 2 * 31 + k * (i // 2 + 7)) % 997}" for k in range(40)), "en", "s", 200) for i in range(400)]
+    docs = many_partitions.createDataFrame(rows, DOCS).repartition(64)
+    with steps(many_partitions) as folder:
+        assert work(docs).count() == (400 if work is not jaccard.one_of_each else 200)
+        files = files_by_table(folder)
+    assert {"survey", "runs", "texts", "links", "stars", "groups"} <= {name.split("-")[0] for name in files}
+    assert max(files.values()) <= 2 * many_partitions.sparkContext.defaultParallelism
+
+
 def test_mix_targets_and_reruns(session):
     docs = session.createDataFrame([*documents(), *[(900, "a b c", "en", "s1", 5)] * 3], DOCS)
     rows = mixing.mix_digest(docs).collect()
