@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kithgraph.llm import jaccard, language, mixing, packing, secrets
 from kithgraph.llm.common import prepare, scratch
-from kithgraph.session import shared_folder, stage_steps
+from kithgraph.session import few_files, shared_folder, stage_steps
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     with stage_steps(prepare(spark), first=True):
         nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
         judged = language.predict(nested, language.fit(docs), "doc.text").filter(F.col("lang_pred") != language.UNKNOWN)
-        return judged.select(F.col("doc").withField("lang", F.col("lang_pred")).alias("doc")).select("doc.*")
+        return few_files(judged.select(F.col("doc").withField("lang", F.col("lang_pred")).alias("doc")).select("doc.*"), docs.count())
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,13 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     with stage_steps(prepare(spark)):
-        return secrets.redact(docs, secrets.open_ledger(spark, scratch(spark, "ledger")))
+        return few_files(secrets.redact(docs, secrets.open_ledger(spark, scratch(spark, "ledger"))), docs.count())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often, and with as many of their words, as the targets of their sources ask for."""
     with stage_steps(prepare(spark)):
-        return mixing.mixed_documents(docs)
+        return few_files(mixing.mixed_documents(docs), docs.count())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``row, doc``: all columns of a document as one, so that names of any kind cannot clash."""
-    return durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
+    return durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered", docs.count())
 
 
 def _stretch(text: str, low: str, high: str) -> F.Column:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import few_files
 from .common import scratch
 
 # The base kinds, in this order, and the kinds added here.
@@ -112,7 +113,8 @@ def scan_history(paths: DataFrame, ledger: str, text: str = "text", rule_version
     scanned = spark.read.schema(_SCANNED).parquet(f"{ledger}/scanned").filter(F.col("rule_version") == rule_version).select("sha")
     unseen = _blobs(paths.select(F.col(text).alias("text"))).repartition("sha").join(scanned, "sha", "left_anti")
     news = scratch(spark, "blobs")
-    unseen.mapInArrow(_scan, "sha binary, kind string, start bigint, end bigint").write.parquet(news)
+    scans = unseen.mapInArrow(_scan, "sha binary, kind string, start bigint, end bigint")
+    few_files(scans, paths.count()).write.parquet(news)
     fresh = spark.read.parquet(news).withColumn("rule_version", F.lit(rule_version))
     fresh.filter("kind is not null").select("sha", "rule_version", "kind", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
     fresh.filter("kind is null").select("sha", "rule_version").write.mode("append").parquet(f"{ledger}/scanned")
