@@ -201,10 +201,11 @@ def shared_evidence(edges: DataFrame, links: DataFrame) -> DataFrame:
     Driven by the edges: the values of one end are looked up, then kept where the other end holds the
     same value, so a value held by everyone adds one row per edge and never pairs of its holders. The values looked up are
     many and compress well, so they are dealt over all shuffle partitions rather than over as few as their bytes suggest; no
-    end and value comes more often than the end has edges.
+    end and value comes more often than the end has edges. Both joins sort and merge: edges and links made from a small table
+    by exploding it are taken for small ones, and would else be sent whole through the driver.
     """
     mine = links.select(F.col("customer_id").alias(ENDS[0]), *VALUE)
     theirs = links.select(F.col("customer_id").alias(ENDS[1]), *VALUE, "attribute_value")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = edges.select(*ENDS).join(mine, ENDS[0]).repartition(parts, ENDS[1], *VALUE)
-    return held.join(theirs, [ENDS[1], *VALUE])
+    held = edges.select(*ENDS).join(mine.hint("merge"), ENDS[0]).repartition(parts, ENDS[1], *VALUE)
+    return held.join(theirs.hint("merge"), [ENDS[1], *VALUE])

@@ -63,3 +63,23 @@ def test_evidence_is_joined_on_spread_rows(spark):
     assert "REPARTITION_BY_NUM" in plan_of(found)
     rows = sorted((r["source_customer_id"], r["target_customer_id"], r["attribute_value"]) for r in found.collect())
     assert rows == [("a", "b", "X"), ("a", "b", "Y"), ("a", "c", "Y"), ("a", "c", "Z"), ("b", "c", "Y")]
+
+
+def test_evidence_of_links_exploded_from_a_small_table_is_not_broadcast(spark):
+    """The planner takes edges and links for as small as the table they are made from."""
+    k = F.col("id")
+    values = {"phone": k % 40, "email": k % 7, "ip": F.lit(0)}  # everyone holds the one ip, so it makes no edge
+    cells = F.array(*[F.struct(F.lit(t).alias("t"), x.cast("string").alias("x")) for t, x in values.items()])
+    links = spark.range(0, 120, 1, 1).select(F.format_string("c%03d", k).alias("customer_id"), F.explode(cells).alias("c")).select(
+        "customer_id", F.col("c.t").alias("attribute_type"), F.concat("c.t", F.lit(":"), "c.x").alias("attribute_id"), F.col("c.x").alias("attribute_value")
+    )
+    found = E.shared_evidence(E.identity_edges(links, ["phone", "email", "ip"]), links)
+    rows = sorted((r["source_customer_id"], r["target_customer_id"], r["attribute_type"], r["attribute_value"]) for r in found.collect())
+    plan = plan_of(found)  # as run, with what was decided on the way
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+    expected = []
+    for a in range(120):
+        for b in range(a + 1, 120):
+            shared = [(t, str(a % m)) for t, m in (("phone", 40), ("email", 7)) if a % m == b % m]
+            expected += [(f"c{a:03d}", f"c{b:03d}", *s) for s in shared + [("ip", "0")] * bool(shared)]
+    assert rows == sorted(expected)
